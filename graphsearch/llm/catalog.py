@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from graphsearch.llm import url_filter
+from graphsearch.llm import decontaminate, url_filter
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.query,
     "op10_url_filter": url_filter.query,
 }
 ORACLES = {
+    "op1_decontaminate": decontaminate.ORACLE,
     "op10_url_filter": url_filter.ORACLE,
 }
