@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from graphsearch.llm import decontaminate, minhash, url_filter
+from graphsearch.llm import decontaminate, minhash, substring, url_filter
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
     "op8_minhash_dedup": minhash.query,
+    "op9_substring_dedup": substring.query,
     "op10_url_filter": url_filter.query,
 }
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE,
     "op8_minhash_dedup": minhash.ORACLE,
+    "op9_substring_dedup": substring.ORACLE,
     "op10_url_filter": url_filter.ORACLE,
 }

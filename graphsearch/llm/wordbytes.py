@@ -150,3 +150,12 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[
         to = max(at + 1, int(np.searchsorted(ends, base + most, side="right")))
         yield batch.slice(at, to - at)
         at = to
+
+
+def span_hashes(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each run of values [begin, end)."""
+    power, inverse = _power_tables(len(hashes) + 1)
+    sums = np.empty(len(hashes) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum(hashes * power[: len(hashes)], out=sums[1:])
+    return mix((sums[end] - sums[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
