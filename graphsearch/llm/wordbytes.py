@@ -66,7 +66,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _piece(data: np.ndarray, breaks: np.ndarray, kind: WordClass, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _piece(data: np.ndarray, breaks: np.ndarray, kind: WordClass, at: int, prefixes: tuple[int, ...]) -> tuple[np.ndarray, ...]:
     member = kind.member[data]
     before = np.empty(len(member) + 1, dtype=bool)
     before[0] = False
@@ -81,13 +81,21 @@ def _piece(data: np.ndarray, breaks: np.ndarray, kind: WordClass, at: int) -> tu
     sums[0] = 0
     np.cumsum(kind.values[data] * power[: len(data)], out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * inverse[starts])
-    return starts + at, ends + at, hashes
+    parts = []
+    for n in prefixes:
+        part = mix((sums[np.minimum(starts + n, len(data))] - sums[starts]) * inverse[starts] + _U(n))
+        part[ends - starts <= n] = 0
+        parts.append(part)
+    return starts + at, ends + at, hashes, *parts
 
 
 class Words:
-    """Words of a run of texts: doc[i] is the text that holds word i, at bytes start[i]:end[i] of data."""
+    """Words of a run of texts: doc[i] is the text that holds word i, at bytes start[i]:end[i] of data.
 
-    def __init__(self, texts: pa.Array, kind: WordClass):
+    prefixes[k][i] is a hash of the first so many bytes of word i, 0 if it has no more than these.
+    """
+
+    def __init__(self, texts: pa.Array, kind: WordClass, prefixes: tuple[int, ...] = ()):
         texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
         if pa.types.is_string(texts.type):
             texts = texts.cast(pa.large_string())
@@ -111,10 +119,11 @@ class Words:
                 to = to + int(ahead[0]) if len(ahead) else min(to + CHUNK, size)
             first, last = np.searchsorted(self.offsets, [at, to])
             breaks = self.offsets[first : last + (last < len(self.offsets) and self.offsets[last] == to)] - at
-            pieces.append(_piece(self.data[at:to], breaks, kind, at))
+            pieces.append(_piece(self.data[at:to], breaks, kind, at, prefixes))
             at = to
         join = lambda k, t: np.concatenate([p[k] for p in pieces]) if pieces else np.zeros(0, t)
         self.start, self.end, self.hash = join(0, np.int64), join(1, np.int64), join(2, np.uint64)
+        self.prefixes = [join(3 + k, np.uint64) for k in range(len(prefixes))]
         #: Word numbers where each text begins, and their number at the end.
         self.first = np.searchsorted(self.start, self.offsets).astype(np.int64)
         self.count = np.diff(self.first)
