@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from graphsearch.llm import decontaminate, minhash, substring, toxicity, url_filter
+from graphsearch.llm import decontaminate, merges, minhash, permutation_index, substring, toxicity, url_filter
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
     "op3_toxicity": toxicity.query,
+    "op5_sentencepiece": merges.query,
+    "op7_permutation_index": permutation_index.query,
     "op8_minhash_dedup": minhash.query,
     "op9_substring_dedup": substring.query,
     "op10_url_filter": url_filter.query,
