@@ -7,10 +7,11 @@
    each member is first compared with the two likeliest of its buckets' centres (least id, least hash
    of the id), signatures first, then whole sets.
 3. Confirmed links become components (large-star, small-star).
-4. What is left are pairs in one bucket but in different components.  In each bucket the members
-   outside its largest component meet all members of other components; signatures, then whole sets
-   decide, and new links join components once more.  So every pair that shares a bucket and whose
-   link could matter has been compared.
+4. What is left are links between different components that share a bucket.  They are found by
+   prefixes: the shingles of the sets in such buckets are put in one order, rarest first, and two sets
+   that reach the limit share one of their first few.  A text with many shingles of its own so leaves
+   without meeting the group that it almost belongs to.  Pairs that do meet are decided by signatures,
+   then whole sets, and new links join components once more.
 
 A pair at similarity 0.8 misses all bands with a probability of 5e-8, and falls under the signature
 limit (five standard deviations below) with 3e-7.
@@ -137,6 +138,23 @@ def _with_both(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two")
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.frombuffer(v.as_buffer(), np.int64) for v in batch.column("shingles")]
+        sizes = np.array([len(s) for s in sets], np.int64)
+        take = pa.array(np.repeat(np.arange(len(batch)), sizes))
+        yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("component").take(take), pa.array(sizes).take(take), pa.array([int(s.sum()) for s in sets], pa.int64()).take(take), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))], ["id", "component", "n", "mark", "token"])
+
+
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """Of (id, component, shingles): the first shingles of each set, rarest first, as many as any link needs; place counts from 1."""
+    tokens = stored(sets.select("id", "component", "shingles").mapInArrow(_tokens, "id bigint, component bigint, n bigint, mark bigint, token bigint"))
+    counts = tokens.groupBy("token").agg(F.count("*").alias("times"))
+    order = Window.partitionBy("id", "n", "mark").orderBy("times", "token")
+    placed = tokens.join(counts, "token").withColumn("place", F.dense_rank().over(order))  # a repeated row shares its places
+    return placed.where(F.col("place") <= F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1).where("times > 1").select("token", "id", "component", "n", "place")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each row of docs: id (bigint), n_shingles, component_id, kept.
 
@@ -181,8 +199,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id: str
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     placed = stored(placed.join(mixed, "key"))
     largest = placed.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
-    outside = placed.join(largest, "key").where("component <> largest").select("key", "largest", F.col("id").alias("x"), F.col("component").alias("x_component"))
-    met = outside.join(placed, "key").where("component <> x_component AND (component = largest OR x < id)")
+    outside = placed.join(largest, "key").where("component <> largest").select("id").distinct()
+    ranked = stored(_prefixes(whole.join(placed.select("id", "component").distinct(), "id"), percent))
+    # Two sets of sizes n and m that reach the limit share at least this many shingles, so one of the first size - share + 1 of each.
+    share = F.ceil(F.lit(percent) * (F.col("n") + F.col("m")) / (100 + percent))
+    one = ranked.join(outside, "id").select("token", F.col("id").alias("x"), F.col("n"), F.col("place").alias("x_place"), F.col("component").alias("x_component"))
+    two = ranked.select("token", "id", F.col("n").alias("m"), "place", "component")
+    met = one.join(two, (one["token"] == two["token"]) & (F.col("component") != F.col("x_component")) & (F.col("x_place") <= F.col("n") - share + 1) & (F.col("place") <= F.col("m") - share + 1))
     rest = _pair(met, "x", "id").distinct().join(_pair(first, "a", "b"), ["a", "b"], "left_anti")
     more = stored(confirmed(alike(rest)))
     if not more.isEmpty():
