@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphsearch.llm.tables import read, stored
-from graphsearch.llm.wordbytes import ALNUM_FOLDED, Words, grams, inside, pieces
+from graphsearch.llm.wordbytes import SPACED_FOLDED, Words, grams, inside, pieces
 
 BUCKETS, LONGEST = 10_000, 2
 #: Part of the rows that is sampled.
@@ -28,7 +28,7 @@ FEW = 5_000
 
 def _ngrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Text number and bucket of every n-gram."""
-    words = Words(texts, ALNUM_FOLDED)
+    words = Words(texts, SPACED_FOLDED)
     docs, values = [], []
     for n in range(1, LONGEST + 1):
         at = np.flatnonzero(inside(words, n))
