@@ -1,0 +1 @@
+"""graphsearch: search over text corpora with an entity graph, as DataFrame transformations."""
