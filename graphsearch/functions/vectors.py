@@ -24,7 +24,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 def normalized(a: Column) -> Column:
     n = norm(a)
-    return F.transform(a, lambda x: x.cast("double") / F.when(n > 0, n).otherwise(F.lit(1e-8)))
+    # The norm is a field of a row of one, so it is computed once and not for each component.
+    once = F.array(F.struct(a.alias("v"), F.when(n > 0, n).otherwise(F.lit(1e-8)).alias("n")))
+    return F.transform(once, lambda s: F.transform(s["v"], lambda x: x.cast("double") / s["n"]))[0]
 
 
 def token_slot(token: Column, width: int) -> Column:
@@ -38,6 +40,7 @@ def hashed_counts(text: Column, width: int = 256) -> Column:
 
 def encode(text: Column, width: int = 256) -> Column:
     """A unit vector of log token counts by slot: the stand-in for a sentence encoder."""
-    slots = hashed_counts(text, width)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.log1p(F.size(F.filter(slots, lambda s: s == k)).cast("double")))
-    return normalized(counts)
+    zero = F.array_repeat(F.lit(0), width)
+    bump = lambda v, k: F.concat(F.slice(v, 1, k), F.array(v[k] + 1), F.slice(v, k + 2, width))
+    counts = F.aggregate(hashed_counts(text, width), zero, bump)
+    return normalized(F.transform(counts, lambda c: F.log1p(c.cast("double"))))

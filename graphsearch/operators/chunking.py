@@ -8,6 +8,7 @@ from itertools import accumulate
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphsearch.functions import text
 
@@ -28,7 +29,7 @@ def windows(sentences: list[str], most: int = MOST, least: int = LEAST, overlap:
     return out
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _windows(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in batches:
         yield batch.map(lambda s: windows(list(s)) if s is not None else [])

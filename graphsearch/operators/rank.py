@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Size up to which power iteration is one task's work.
+SMALL_EDGES, SMALL_QUERIES = 200_000, 256
+
+
 def max_normalized(df: DataFrame, score: str, by: list[str] | None = None) -> DataFrame:
     """Divided by the largest (of each group); unchanged where that is 0."""
     top = df.groupBy(*(by or [])).agg(F.max(score).alias("top_score"))
@@ -19,9 +23,13 @@ def pagerank(edges: DataFrame, seeds: DataFrame | None = None, damping: float =
     Weights of parallel edges add up, and the rank of nodes without out-edges goes to the
     personalisation: uniform, or with seeds 0.1 uniform and 0.9 over those seeds that are nodes.
     With a tolerance it stops when no query's ranks change by more than that a node.
-    Each iteration joins on the node and sums by (query, node); lineage is cut every five.
+    Each iteration joins on the node and sums by (query, node), and ends in a checkpoint.  A graph of
+    at most SMALL_EDGES edges, for at most SMALL_QUERIES queries, is one task's arrays instead.
     """
-    flat = edges.groupBy("subj", "obj").agg(F.sum("weight").alias("w"))
+    flat = edges.groupBy("subj", "obj").agg(F.sum("weight").alias("w")).persist()
+    n_queries = 1 if seeds is None else seeds.select("qid").distinct().count()
+    if flat.count() <= SMALL_EDGES and n_queries <= SMALL_QUERIES:
+        return _small_pagerank(flat, seeds, damping, iterations, tolerance, uniform)
     out = flat.groupBy("subj").agg(F.sum("w").alias("out"))
     step = flat.join(out, "subj").select(F.col("subj").alias("entity"), "obj", (F.col("w") / F.col("out")).alias("share")).persist()
     names = flat.select(F.col("subj").alias("entity")).unionAll(flat.select("obj")).distinct()
@@ -36,12 +44,11 @@ def pagerank(edges: DataFrame, seeds: DataFrame | None = None, damping: float =
         base = names.crossJoin(F.broadcast(share.select("qid"))).join(extra, ["qid", "entity"], "left").select("qid", "entity", (F.lit(uniform / max(n, 1)) + F.coalesce("extra", F.lit(0.0))).alias("p"))
     base = base.join(sinks, "entity", "left").select("qid", "entity", "p", F.coalesce("sink", F.lit(0.0)).alias("sink")).persist()
     ranks = base.select("qid", "entity", F.lit(1.0 / max(n, 1)).alias("rank"))
-    for k in range(iterations):
+    for _ in range(iterations):
         moved = ranks.join(step, "entity").groupBy("qid", F.col("obj").alias("entity")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         lost = ranks.join(base.where("sink > 0").select("qid", "entity"), ["qid", "entity"]).groupBy("qid").agg(F.sum("rank").alias("lost"))
         new = base.join(moved, ["qid", "entity"], "left").join(F.broadcast(lost), "qid", "left").select("qid", "entity", (damping * (F.coalesce("got", F.lit(0.0)) + F.coalesce("lost", F.lit(0.0)) * F.col("p")) + (1 - damping) * F.col("p")).alias("rank"))
-        if k % 5 == 4 or tolerance is not None:
-            new = _cut(new)
+        new = _cut(new)
         if tolerance is not None:
             change = new.join(ranks.withColumnRenamed("rank", "was"), ["qid", "entity"]).groupBy("qid").agg(F.sum(F.abs(F.col("rank") - F.col("was"))).alias("d")).agg(F.max("d")).first()[0]
             ranks = new
@@ -51,6 +58,48 @@ def pagerank(edges: DataFrame, seeds: DataFrame | None = None, damping: float =
     return ranks
 
 
+def _small_pagerank(flat: DataFrame, seeds: DataFrame | None, damping: float, iterations: int, tolerance: float | None, uniform: float) -> DataFrame:
+    import numpy as np
+    import pyarrow as pa
+
+    personal = seeds is not None
+
+    def run(rows: pa.Table) -> pa.Table:
+        subj, obj, w, qid = (rows.column(c).to_pylist() for c in ("subj", "obj", "w", "qid"))
+        edge = [(s, o, x) for s, o, x in zip(subj, obj, w, strict=True) if o is not None]
+        names = sorted({e[0] for e in edge} | {e[1] for e in edge})
+        at = {x: k for k, x in enumerate(names)}
+        n = len(names)
+        i, j, x = np.array([at[e[0]] for e in edge], int), np.array([at[e[1]] for e in edge], int), np.array([e[2] for e in edge], float)
+        out = np.bincount(i, x, n)
+        share = x / out[i]
+        sink = out == 0
+        wanted: dict[int, set[int]] = {} if personal else {0: set()}
+        for s, o, q in zip(subj, obj, qid, strict=True):
+            if o is None and s in at:
+                wanted.setdefault(q, set()).add(at[s])
+        found = {"qid": [], "entity": [], "rank": []}
+        for q, mine in sorted(wanted.items()):
+            p = np.full(n, (uniform if mine else 1.0) / n)
+            p[sorted(mine)] += (1 - uniform) / max(len(mine), 1)
+            rank = np.full(n, 1.0 / n)
+            for _ in range(iterations):
+                new = damping * (np.bincount(j, rank[i] * share, n) + rank[sink].sum() * p) + (1 - damping) * p
+                change = np.abs(new - rank).sum()
+                rank = new
+                if tolerance is not None and change < n * tolerance:
+                    break
+            found["qid"] += [q] * n
+            found["entity"] += names
+            found["rank"] += rank.tolist()
+        return pa.table({"qid": pa.array(found["qid"], pa.int64()), "entity": pa.array(found["entity"], pa.string()), "rank": pa.array(found["rank"], pa.float64())})
+
+    rows = flat.select(F.lit(None).cast("bigint").alias("qid"), "subj", "obj", "w")
+    if seeds is not None:
+        rows = rows.unionAll(seeds.select(F.col("qid").cast("bigint"), "entity", F.lit(None).cast("string"), F.lit(None).cast("double")))
+    return rows.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(run, "qid bigint, entity string, rank double")
+
+
 def _cut(df: DataFrame) -> DataFrame:
     """df without its lineage, kept where spark.checkpoint.dir says."""
     sc = df.sparkSession.sparkContext
