@@ -20,7 +20,7 @@ def to_day(c: Column) -> Column:
 
 
 def decay(day: Column, as_of: Column, half: float = 365.0, missing: float = 0.85) -> Column:
-    return F.coalesce(F.exp(-F.greatest(F.datediff(as_of, day), F.lit(0)) / half), F.lit(missing))
+    return F.when(day.isNull(), F.lit(missing)).otherwise(F.exp(-F.greatest(F.datediff(as_of, day), F.lit(0)) / half))
 
 
 def decayed(score: Column, day: Column, as_of: Column, weight: float = 0.08) -> Column:

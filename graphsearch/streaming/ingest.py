@@ -4,16 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def first_seen_stream(events: DataFrame, key: str, time: str = "ts", delay: str = "1 day") -> DataFrame:
     return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 
-def windowed_counts(events: DataFrame, by: str, time: str = "ts", size: str = "1 day", delay: str = "1 hour") -> DataFrame:
-    """(start, by, n, total) of tumbling windows; on a stream they are final once the watermark has passed them."""
-    timed = events.withColumn(time, F.col(time).cast("timestamp"))
-    timed = timed.withWatermark(time, delay) if events.isStreaming else timed
+def windowed_counts(events: DataFrame, by: str, time: str = "ts", size: str = "1 day", delay: str | None = "1 hour") -> DataFrame:
+    """(start, by, n, total) of tumbling windows; on a stream they are final once the watermark has passed them.
+
+    delay is the watermark's, None if events have one.
+    """
+    timed = events if events.schema[time].dataType == T.TimestampType() else events.withColumn(time, F.col(time).cast("timestamp"))
+    if events.isStreaming and delay is not None:
+        timed = timed.withWatermark(time, delay)
     return timed.groupBy(F.window(time, size).alias("w"), by).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), by, "n", "total")
 
 
