@@ -66,7 +66,7 @@ class Encoder:
         self.older: list[dict[str, bytes]] = [{} for _ in self.known]
 
     def word(self, word: str, variant: int) -> bytes:
-        """The pieces of a word as int32 bytes."""
+        """The pieces of a word as int32 bytes; they are checked to be the word."""
         scores, below = self.v.scores, self.below
         base = zlib.crc32(word.encode(), zlib.crc32(b"%d %d" % (self.seed, variant))) if below else 0
         symbol: list[str | None] = list(word)
@@ -112,6 +112,8 @@ class Encoder:
                     out.extend(self.v.bytes_at[b] for b in s.encode())
                 else:
                     out.append(i)
+        if b"".join([self.v.text[i] for i in out]) != word.encode():
+            raise ValueError(f"the pieces of {word!r} are another text")
         return np.array(out, np.int32).tobytes()
 
     def encode(self, text: str, key: int = 0) -> np.ndarray:
@@ -157,9 +159,10 @@ def _encoder(vocabulary: Vocabulary, *parameters) -> Encoder:
 
 
 def encode_texts(docs: DataFrame, vocabulary: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each row of docs: id, ids (array of int), n_tokens, lossless (whether the ids decode to the text).
+    """A row for each row of docs: id, ids (array of int), n_tokens.
 
-    Null texts have null ids and count 0 tokens, and are lossless; the empty text has no id.  The
+    Each word's pieces are checked to be the word when it is first met, so that ids always decode to
+    the text.  Null texts have null ids and count 0 tokens; the empty text has no id.  The
     variant of a word depends on the row's id and the word's place; rows without id share one.
     White space, characters beyond the vocabulary (as bytes) and the space mark itself all come back.
     """
@@ -171,17 +174,16 @@ def encode_texts(docs: DataFrame, vocabulary: str = MODEL, dropout: float = DROP
         encoder = _encoder(shared.value, vocabulary, dropout, seed)
         for batch in batches:
             for piece in runs(batch, "text", 1 << 20):
-                ids, sizes, whole = [], [], []
+                ids, sizes = [], []
                 for key, value in zip(piece.column("key").to_pylist(), piece.column("text").to_pylist(), strict=True):
                     found = encoder.encode(value or "", key)
                     ids.append(found)
                     sizes.append(len(found))
-                    whole.append(encoder.decode(found.tolist()) == (value or ""))
                 ends = np.append(0, np.cumsum(sizes)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)), mask=piece.column("text").is_null())
-                yield pa.RecordBatch.from_arrays([piece.column("id"), lists, pa.array(sizes, pa.int64()), pa.array(whole)], ["id", "ids", "n_tokens", "lossless"])
+                yield pa.RecordBatch.from_arrays([piece.column("id"), lists, pa.array(sizes, pa.int64())], ["id", "ids", "n_tokens"])
 
-    schema = T.StructType([source.schema["id"], *T.StructType.fromDDL("ids array<int>, n_tokens bigint, lossless boolean").fields])
+    schema = T.StructType([source.schema["id"], *T.StructType.fromDDL("ids array<int>, n_tokens bigint").fields])
     return source.mapInArrow(run, schema).withColumnRenamed("id", id)
 
 
