@@ -6,8 +6,9 @@ both reference and queries are routed to the shard that can matter.
 
 1. Each window has a minimiser: the least hash of the runs of SHORT words in it.  It depends on the
    window's words alone, so equal windows have equal minimisers.  Minimisers that one document alone
-   has rule their windows out; only these hashes are shuffled, about two for nine words.
-2. What is left of each document is cut into segments of windows with one minimiser.  Equal segments
+   has rule their windows out; only these hashes are shuffled, about two for seven words.  Rows with
+   equal texts count as one document here, since all but the least id of them go as a whole.
+2. What is left of each text is cut into segments of windows with one minimiser.  Equal segments
    become one, with the least id that has it.
 3. All segments with one minimiser are a reference shard.  Its automaton is built in order of ids, so
    a state's label is the least document that has its strings.  The same segments stream through it,
@@ -24,14 +25,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from graphsearch.llm.tables import partitions, read, stored
+from graphsearch.llm.tables import partitions, read, release, stored
 from graphsearch.llm.wordbytes import SPACED, Words, grams, inside, mix, pieces, span_hashes
 
 WINDOW = 13
-SHORT = 6
+SHORT = 8
 #: Segments of one shard, windows of one segment: they bound an automaton.
 MOST_SEGMENTS = 2048
 MOST_WINDOWS = 64
@@ -58,23 +60,33 @@ def _runs(at: np.ndarray, *same: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _offer(window: int, short: int, buckets: int):
-    """Rows for each bucket: minimisers and the one document of this run of rows that has each, or _MANY; and rows (bucket null) of minimisers that are shared within the run."""
+def _packed(marks: np.ndarray, values: np.ndarray, groups: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(group, marks, values) of pairs; a mark's group is fixed."""
+    group = (marks.view(np.uint64) % np.uint64(groups)).astype(np.int64)
+    order = np.lexsort([marks, group])
+    cut = np.searchsorted(group[order], np.arange(groups + 1))
+    for g in np.flatnonzero(np.diff(cut)):
+        some = order[cut[g] : cut[g + 1]]
+        yield int(g), marks[some], values[some]
+
+
+def _offer(window: int, short: int, buckets: int, groups: int):
+    """Rows for each bucket: minimisers and the mark of the one text of this run of rows that has each, or _MANY; and rows with the marks and minimisers that are shared within the run, by group of marks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "text"):
                 words = Words(piece.column("text"), SPACED)
                 at, least = _minimisers(words, window, short)
-                doc = words.doc[at]
-                first = _runs(at, least, doc)
+                ids, kind = np.unique(np.asarray(piece.column("mark"), dtype=np.int64), return_inverse=True)
+                doc = kind[words.doc[at]]
+                first = _runs(at, least, words.doc[at])
                 value, doc = least[first], doc[first]
                 order = np.lexsort([doc, value])
                 value, doc = value[order], doc[order]
                 keep = np.ones(len(value), bool)
                 keep[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])
                 value, doc = value[keep], doc[keep]
-                ids = np.asarray(piece.column("id"), dtype=np.int64)
                 begin = np.flatnonzero(np.append(True, value[1:] != value[:-1])) if len(value) else np.zeros(0, np.int64)
                 times = np.diff(np.append(begin, len(value)))
                 many = np.repeat(times > 1, times)
@@ -85,49 +97,63 @@ def _offer(window: int, short: int, buckets: int):
                 key, owner, bucket = key[order], owner[order], bucket[order]
                 cut = np.searchsorted(bucket, np.arange(buckets + 1))
                 rows = [(b, None, key[a:z].tobytes(), owner[a:z].tobytes()) for b, (a, z) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if a < z]
-                order = np.argsort(doc[many], kind="stable")
-                own_doc, own = doc[many][order], value[many][order]
-                cut = np.flatnonzero(np.append(True, own_doc[1:] != own_doc[:-1])) if len(own) else np.zeros(0, np.int64)
-                rows += [(-1 - int(d) % buckets, int(ids[d]), v.tobytes(), None) for d, v in zip(own_doc[cut], np.split(own, cut[1:]), strict=True) if len(v)] if len(own) else []
+                rows += [(g, m.tobytes(), v.tobytes(), None) for g, m, v in _packed(ids[doc[many]], value[many], groups)]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["bucket", "id", "hashes", "owners"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "marks", "hashes", "owners"])
+
+    return run
+
+
+def _answer(groups: int):
+    """Of a part's rows: (group, marks, hashes) of the minimisers that more texts have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, owners = [], []
+        names = ["bucket", "marks", "hashes"]
+        for batch in batches:
+            ready = pc.is_valid(batch.column("marks"))
+            own = batch.filter(ready)
+            if len(own):
+                yield own.select(names)
+            for h, o in zip(*(batch.filter(pc.invert(ready)).column(c) for c in ("hashes", "owners")), strict=True):
+                hashes.append(np.frombuffer(h.as_buffer(), np.uint64))
+                owners.append(np.frombuffer(o.as_buffer(), np.int64))
+        if not hashes:
+            return
+        value, owner = np.concatenate(hashes), np.concatenate(owners)
+        order = np.argsort(value)
+        value, owner = value[order], owner[order]
+        same = value[1:] == value[:-1]
+        shared = np.zeros(len(value), bool)
+        shared[1:] |= same
+        shared[:-1] |= same
+        wanted = shared & (owner != _MANY)
+        for g, m, v in _packed(owner[wanted], value[wanted], groups):
+            yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([m.tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())], names)
 
     return run
 
 
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a part's rows: (id, hashes) of the minimisers that more documents have."""
-    hashes, owners = [], []
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a part's rows (group, marks, hashes): (mark, shared), one row for each mark."""
+    marks, hashes = [], []
     for batch in batches:
-        ready = pc.is_valid(batch.column("id"))
-        own = batch.filter(ready)
-        if len(own):
-            yield own.select(["id", "hashes"])
-        for h, o in zip(*(batch.filter(pc.invert(ready)).column(c) for c in ("hashes", "owners")), strict=True):
+        for m, h in zip(batch.column("marks"), batch.column("hashes"), strict=True):
+            marks.append(np.frombuffer(m.as_buffer(), np.int64))
             hashes.append(np.frombuffer(h.as_buffer(), np.uint64))
-            owners.append(np.frombuffer(o.as_buffer(), np.int64))
-    if not hashes:
+    if not marks:
         return
-    value, owner = np.concatenate(hashes), np.concatenate(owners)
-    order = np.argsort(value)
-    value, owner = value[order], owner[order]
-    same = value[1:] == value[:-1]
-    shared = np.zeros(len(value), bool)
-    shared[1:] |= same
-    shared[:-1] |= same
-    wanted = shared & (owner != _MANY)
-    value, owner = value[wanted], owner[wanted]
-    order = np.argsort(owner, kind="stable")
-    value, owner = value[order], owner[order]
-    cut = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, np.int64)
-    for k in range(0, len(cut), 4096):
-        some = cut[k : k + 4096]
-        ends = np.append(cut[k + 1 : k + 4096], cut[k + 4096] if k + 4096 < len(cut) else len(value))[: len(some)]
-        yield pa.RecordBatch.from_arrays([pa.array(owner[some]), pa.array([value[a:z].tobytes() for a, z in zip(some, ends, strict=True)], pa.binary())], ["id", "hashes"])
+    mark, value = np.concatenate(marks), np.concatenate(hashes)
+    order = np.argsort(mark, kind="stable")
+    mark, value = mark[order], value[order]
+    cut = np.append(np.flatnonzero(np.append(True, mark[1:] != mark[:-1])), len(mark))
+    for k in range(0, len(cut) - 1, 4096):
+        ends = cut[k : k + 4097]
+        yield pa.RecordBatch.from_arrays([pa.array(mark[ends[:-1]]), pa.array([value[a:z].tobytes() for a, z in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["mark", "shared"])
 
 
 def _segments(window: int, short: int):
-    """Of (id, mark, text, hashes of its shared minimisers): the segments that are left."""
+    """Of (id, mark, size, text, hashes of its shared minimisers): the segments that are left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,8 +162,8 @@ def _segments(window: int, short: int):
                 at, least = _minimisers(words, window, short)
                 left = np.zeros(len(at), bool)
                 cut = np.searchsorted(words.doc[at], np.arange(len(piece) + 1))
-                for d, blobs in enumerate(piece.column("shared")):
-                    shared = np.sort(np.concatenate([np.frombuffer(b.as_buffer(), np.uint64) for b in blobs.values]))
+                for d, blob in enumerate(piece.column("shared")):
+                    shared = np.sort(np.frombuffer(blob.as_buffer(), np.uint64))
                     mine = least[cut[d] : cut[d + 1]]
                     place = np.searchsorted(shared, mine)
                     place[place == len(shared)] = 0
@@ -160,8 +186,8 @@ def _segments(window: int, short: int):
                 doc = doc[first]
                 take = pa.array(doc)
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("id").take(take), piece.column("mark").take(take), pa.array(begin - words.first[doc]), pa.array(size), pa.array(least[first].view(np.int64)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(content, pa.binary())],
-                    ["id", "mark", "at", "n", "route", "one", "two", "content"],
+                    [*(piece.column(c).take(take) for c in ("id", "mark", "size")), pa.array(begin - words.first[doc]), pa.array(size), pa.array(least[first].view(np.int64)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(content, pa.binary())],
+                    ["id", "mark", "size", "at", "n", "route", "one", "two", "content"],
                 )
 
     return run
@@ -232,19 +258,26 @@ class SuffixAutomaton:
 
 
 def _label(window: int):
-    """Of distinct segments, sorted by route and earliest document: each one's earliest document by window."""
-
-    def shard(rows: list[tuple[int, int, int, int, bytes]]) -> Iterator[tuple[int, int, int, list[int]]]:
+    """Of distinct segments, sorted by route and earliest document: each one's earliest document by window, null if it is the segment's own for all."""
+
+    def shard(rows: list[tuple]) -> Iterator[tuple]:
+        if len(rows) == 1:
+            _, one, two, first, last, _ = rows[0]
+            if first < last:
+                yield one, two, first, None
+            return
         automaton = SuffixAutomaton()
-        split = [content.split(b" ") for *_, content in rows]
-        for (_, _, _, label, _), words in zip(rows, split, strict=True):
-            automaton.add(words, label)
-        for (_, one, two, label, _), words in zip(rows, split, strict=True):
-            yield one, two, label, automaton.earliest(words, window)
+        split = [row[-1].split(b" ") for row in rows]
+        for (_, _, _, first, _, _), words in zip(rows, split, strict=True):
+            automaton.add(words, first)
+        for (_, one, two, first, last, _), words in zip(rows, split, strict=True):
+            firsts = automaton.earliest(words, window)
+            if any(f < last for f in firsts):
+                yield one, two, first, None if all(f == first for f in firsts) else firsts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, int, int, bytes]] = []
-        done: list[tuple[int, int, int, list[int]]] = []
+        held: list[tuple] = []
+        done: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)], ["one", "two", "first_id", "firsts"])
@@ -252,7 +285,7 @@ def _label(window: int):
             return out
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("route", "one", "two", "first_id", "content")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("route", "one", "two", "first_id", "last_id", "content")), strict=True):
                 if held and held[0][0] != row[0]:
                     done.extend(shard(held))
                     held = []
@@ -282,53 +315,74 @@ def _windows(window: int):
     return run
 
 
-def _cut(window: int):
-    """Of (id, text, spans of windows' beginnings): n_words, n_removed and the words that are left."""
+def _cut(window: int, extra: list[str]):
+    """Of (id, text, first_id, spans of windows' beginnings): n_words, n_removed and the words that are left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total, gone, kept = [], [], []
-            for text, spans in zip(batch.column("text"), batch.column("spans"), strict=True):
+            for id, text, first, spans in zip(batch.column("id").to_pylist(), batch.column("text"), batch.column("first_id").to_pylist(), batch.column("spans"), strict=True):
                 words = text.as_buffer().to_pybytes().split() if text.is_valid else []
                 total.append(len(words))
-                if spans.is_valid and len(spans):
+                if id is not None and first is not None and first < id:
+                    words = words if len(words) < window else []
+                elif id is not None and spans.is_valid and len(spans):
                     mark = np.zeros(len(words) + 1, np.int64)
                     begin, end = (np.asarray(spans.values.field(k), dtype=np.int64) for k in (0, 1))
                     np.add.at(mark, begin, 1)
                     np.add.at(mark, end + window - 1, -1)
-                    stay = np.cumsum(mark[:-1]) == 0
-                    words = [words[k] for k in np.flatnonzero(stay)]
+                    words = [words[k] for k in np.flatnonzero(np.cumsum(mark[:-1]) == 0)]
                 gone.append(total[-1] - len(words))
                 kept.append(b" ".join(words))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), *(batch.column(c) for c in batch.schema.names[3:])], ["id", "n_words", "n_removed", "kept_text", *batch.schema.names[3:]])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), *(batch.column(c) for c in extra)], ["id", "n_words", "n_removed", "kept_text", *extra])
 
     return run
 
 
+def _source(docs: DataFrame, id: str, text: str, *more: Column) -> DataFrame:
+    """id, text, and mark and size, which tell its text from others."""
+    body = F.col(f"`{text}`")
+    return docs.select(F.col(f"`{id}`").cast("bigint").alias("id"), F.xxhash64(body).alias("mark"), F.length(body).alias("size"), body.alias("text"), *more)
+
+
+def _left_over(source: DataFrame, window: int) -> DataFrame:
+    """Segments of the first row of each text, without windows that no other text can have."""
+    spark = source.sparkSession
+    short, parts = min(SHORT, window), partitions(spark)
+    offered = source.select("mark", "text").mapInArrow(_offer(window, short, 4 * parts, 4 * parts), "bucket int, marks binary, hashes binary, owners binary")
+    answered = offered.repartition(parts, "bucket").mapInArrow(_answer(4 * parts), "bucket int, marks binary, hashes binary")
+    shared = answered.repartition(parts, "bucket").mapInArrow(_gather, "mark bigint, shared binary")
+    wanted = source.groupBy("mark", "size").agg(F.min("id").alias("id")).join(shared, "mark")
+    return stored(source.join(wanted, ["mark", "size", "id"]).mapInArrow(_segments(window, short), "id bigint, mark bigint, size int, at bigint, n bigint, route bigint, one bigint, two bigint, content binary"))
+
+
 def repeated_spans(docs: DataFrame, window: int = WINDOW, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, mark, spans) for rows with windows that an earlier id has: mark is xxhash64 of the text, spans are [from, to) numbers of the words at which such windows begin."""
+    """(mark, size, first_id, spans) for each text that several ids have, or with windows that an earlier id has.
+
+    first_id is the least id with the text; spans are [from, to) numbers of the words at which
+    windows begin that a smaller id has.
+    """
     spark = docs.sparkSession
-    short = min(SHORT, window)
-    source = docs.select(F.col(f"`{id}`").cast("bigint").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("mark"), F.col(f"`{text}`").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     parts = partitions(spark)
-    offered = source.select("id", "text").mapInArrow(_offer(window, short, 4 * parts), "bucket int, id bigint, hashes binary, owners binary")
-    shared = offered.repartition(parts, "bucket").mapInArrow(_answer, "id bigint, hashes binary").groupBy("id").agg(F.collect_list("hashes").alias("shared"))
-    segments = stored(source.join(shared, "id").mapInArrow(_segments(window, short), "id bigint, mark bigint, at bigint, n bigint, route bigint, one bigint, two bigint, content binary"))
+    source = _source(docs, id, text).where("id IS NOT NULL AND text IS NOT NULL")
+    segments = _left_over(source, window)
+    release(spark)
+    hot = stored(segments.select("route", "one", "two").distinct().groupBy("route").agg(F.count("*").alias("n_segments")).where(F.col("n_segments") > MOST_SEGMENTS).select("route"))
     distinct = stored(segments.groupBy("one", "two").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.first("route").alias("route"), F.first("content").alias("content")))
-    routes = distinct.groupBy("route").agg(F.count("*").alias("n_segments"))
-    routed = distinct.join(routes, "route")
-    alone = routed.where("n_segments = 1 AND first_id < last_id").select("one", "two", "first_id", F.lit(None).cast("array<bigint>").alias("firsts"))
-    sharded = routed.where(F.col("n_segments").between(2, MOST_SEGMENTS)).select("route", "one", "two", "first_id", "content").repartition(parts, "route").sortWithinPartitions("route", "first_id").mapInArrow(_label(window), "one bigint, two bigint, first_id bigint, firsts array<bigint>")
-    taken = stored(routed.where(F.col("n_segments") > MOST_SEGMENTS).select("one", "two", "first_id", "content").mapInArrow(_windows(window), "one bigint, two bigint, first_id bigint, k int, w_one bigint, w_two bigint"))
+    release(spark)
+    sharded = distinct.join(hot, "route", "left_anti").select("route", "one", "two", "first_id", "last_id", "content").repartition(parts, "route").sortWithinPartitions("route", "first_id").mapInArrow(_label(window), "one bigint, two bigint, first_id bigint, firsts array<bigint>")
+    taken = stored(distinct.join(hot, "route", "left_semi").select("one", "two", "first_id", "content").mapInArrow(_windows(window), "one bigint, two bigint, first_id bigint, k int, w_one bigint, w_two bigint"))
     earliest = taken.groupBy("w_one", "w_two").agg(F.min("first_id").alias("first"))
     large = taken.join(earliest, ["w_one", "w_two"]).groupBy("one", "two").agg(F.min("first_id").alias("first_id"), F.transform(F.array_sort(F.collect_list(F.struct("k", "first"))), lambda w: w["first"]).alias("firsts"))
-    labelled = alone.unionByName(sharded).unionByName(large)
-    found = segments.select("id", "mark", "at", "n", "one", "two").join(labelled, ["one", "two"])
+    labelled = sharded.unionByName(large)
+    found = segments.select("id", "mark", "size", "at", "n", "one", "two").join(labelled, ["one", "two"])
     span = "array<struct<from:bigint,to:bigint>>"
     each = F.filter(F.transform("firsts", lambda w, k: F.when(w < F.col("id"), F.struct((F.col("at") + k).alias("from"), (F.col("at") + k + 1).alias("to")))), lambda s: s.isNotNull()).cast(span)
     whole = F.array(F.struct(F.col("at").alias("from"), (F.col("at") + F.col("n")).alias("to"))).cast(span)
     spans = F.when(F.col("firsts").isNull(), F.when(F.col("first_id") < F.col("id"), whole)).otherwise(each)
-    return found.select("id", "mark", spans.alias("spans")).where(F.size("spans") > 0).groupBy("id", "mark").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
+    spans = found.select("mark", "size", spans.alias("spans")).where(F.size("spans") > 0).groupBy("mark", "size").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
+    texts = source.groupBy("mark", "size").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    return stored(texts.join(spans, ["mark", "size"], "left").where("first_id < last_id OR spans IS NOT NULL").select("mark", "size", "first_id", "spans"))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, id: str = "doc_id", text: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
@@ -339,12 +393,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id: str = "doc_id", te
     are judged on the input.  Null texts have no words and an empty kept_text.  A row without id is
     kept whole and removes nothing; rows that repeat an id do not touch each other.
     """
-    spans = repeated_spans(docs, window, id, text).select(F.col("id").alias("span_id"), F.col("mark").alias("span_mark"), "spans")
-    rows = docs.select(F.col(f"`{id}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("mark"), *(F.col(f"`{c}`").alias(f"extra_{k}") for k, c in enumerate(extra)))
-    joined = rows.join(spans, (F.col("id") == F.col("span_id")) & (F.col("mark") == F.col("span_mark")), "left").select("id", "text", "spans", *(f"extra_{k}" for k in range(len(extra))))
-    kinds = [f"extra_{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(extra)]
-    cut = joined.mapInArrow(_cut(window), ", ".join(["id bigint, n_words bigint, n_removed bigint, kept_text string", *kinds]))
-    return cut.select(F.col("id").alias(id), "n_words", "n_removed", "kept_text", *(F.col(f"extra_{k}").alias(c) for k, c in enumerate(extra)))
+    spans = repeated_spans(docs, window, id, text)
+    release(docs.sparkSession)
+    names = [f"extra_{k}" for k in range(len(extra))]
+    rows = _source(docs, id, text, *(F.col(f"`{c}`").alias(n) for c, n in zip(extra, names, strict=True)))
+    joined = rows.join(spans, ["mark", "size"], "left").select("id", "text", "first_id", "spans", *names)
+    fields = T.StructType.fromDDL("id bigint, n_words bigint, n_removed bigint, kept_text string").fields + [T.StructField(n, docs.schema[c].dataType) for c, n in zip(extra, names, strict=True)]
+    cut = joined.mapInArrow(_cut(window, names), T.StructType(fields))
+    return cut.select(F.col("id").alias(id), "n_words", "n_removed", "kept_text", *(F.col(n).alias(c) for c, n in zip(extra, names, strict=True)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

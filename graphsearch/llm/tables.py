@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,3 +50,11 @@ def stored(df: DataFrame) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of finished steps now; else they stay until the driver next collects its garbage."""
+    for _ in range(2):  # what the first collection drops holds what the second can
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
