@@ -210,7 +210,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id: str
     more = stored(confirmed(alike(rest)))
     if not more.isEmpty():
         component = stored(connected_components(component.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more)))
-    reached = classed.join(component, F.col("rep") == F.col("node"), "left").select("id", "n_shingles", F.coalesce("component", "rep", "id").alias("component_id"))
+    reached = classed.join(component, F.col("rep") == F.col("node"), "left").select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id")).alias("component_id"))
     return reached.select(F.col("id").alias(id), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 

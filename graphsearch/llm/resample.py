@@ -20,6 +20,7 @@ from graphsearch.llm.tables import read, stored
 from graphsearch.llm.wordbytes import SPACED_FOLDED, Words, grams, inside, pieces
 
 BUCKETS, LONGEST = 10_000, 2
+PRIOR = 100.0
 #: Part of the rows that is sampled.
 FRACTION, SEED = 0.8, 11
 #: Keys that are compared one by one at the end of the histogram's refinement.
@@ -49,21 +50,26 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def log_ratios(docs: DataFrame, targets: DataFrame, id: str, text: str) -> np.ndarray:
-    """Of each bucket, from all texts of docs and those whose id is in targets(id); add-one smoothed."""
+    """Of each bucket, from all texts of docs and those whose id is in targets(id).
+
+    The raw model is add-one smoothed, and the target's is drawn towards it by PRIOR n-grams, so that
+    buckets without evidence weigh nothing.
+    """
     flagged = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text")).join(targets.select(F.col(f"`{id}`").alias("id"), F.lit(True).alias("t")).distinct(), "id", "left")
     counted = flagged.select("text", F.coalesce("t", F.lit(False)).alias("target")).mapInArrow(_count, "bucket bigint, target bigint, raw bigint").groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw"))
-    target, raw = np.ones(BUCKETS), np.ones(BUCKETS)
+    target, raw = np.zeros(BUCKETS), np.ones(BUCKETS)
     for r in counted.collect():  # BUCKETS rows, whatever the input
         target[r["bucket"]] += r["target"]
         raw[r["bucket"]] += r["raw"]
-    return np.log(target / target.sum()) - np.log(raw / raw.sum())
+    raw /= raw.sum()
+    return np.log((target + PRIOR * raw) / (target.sum() + PRIOR)) - np.log(raw)
 
 
 def weights(docs: DataFrame, targets: DataFrame, seed: int = SEED, id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each row of docs: id, log_weight, key (log_weight with its noise).
 
     Null and empty texts have log weight 0.  Rows that repeat an id share their noise; rows without
-    id share one.  Without targets, all log weights come from smoothing alone.
+    id share one.  Without targets, all log weights are 0.
     """
     ratio = log_ratios(docs, targets, id, text)
 
