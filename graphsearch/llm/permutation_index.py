@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 from graphsearch.llm.tables import read, stored
 
 #: Pivots (the vectors with the least hash of their id), and pivots of a prefix.
-PIVOTS, PREFIX = 128, 128
+PIVOTS, PREFIX = 64, 24
 #: Vectors of a shard and queries of a block.
 SHARD, BLOCK = 4096, 2048
 #: Part of each shard that is ranked again.
-RERANKED = 0.4
+RERANKED = 0.5
 
 
 def clean_vectors(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
