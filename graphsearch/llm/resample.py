@@ -55,7 +55,8 @@ def log_ratios(docs: DataFrame, targets: DataFrame, id: str, text: str) -> np.nd
     The raw model is add-one smoothed, and the target's is drawn towards it by PRIOR n-grams, so that
     buckets without evidence weigh nothing.
     """
-    flagged = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text")).join(targets.select(F.col(f"`{id}`").alias("id"), F.lit(True).alias("t")).distinct(), "id", "left")
+    # The targets grow with the input: they are joined by sorted partitions at every size, never broadcast.
+    flagged = docs.hint("merge").select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text")).join(targets.select(F.col(f"`{id}`").alias("id"), F.lit(True).alias("t")).distinct(), "id", "left")
     counted = flagged.select("text", F.coalesce("t", F.lit(False)).alias("target")).mapInArrow(_count, "bucket bigint, target bigint, raw bigint").groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw"))
     target, raw = np.zeros(BUCKETS), np.ones(BUCKETS)
     for r in counted.collect():  # BUCKETS rows, whatever the input
