@@ -14,6 +14,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, SEED, VARIANTS = 0.1, 20240601, 2
 #: Words of one variant in each of the two tables of remembered words; longer words are not remembered.
 MOST_REMEMBERED, LONGEST_REMEMBERED = 200_000, 64
+#: Words of at most so many characters keep their agenda as a list instead of a heap.
+SHORT = 40
+_NEVER = float("inf")
 _MARK = "▁"
 _WORD = re.compile(" +[^ ]*|[^ ]+")
 _M = 0xFFFFFFFF
@@ -43,7 +47,7 @@ class Vocabulary:
         self.ids = {s.replace(_MARK, " "): i for i, s in enumerate(pieces) if i not in special}
         if any(" " in s.lstrip(" ") for s in self.ids):
             raise ValueError("a piece goes on after a space: texts can't be encoded by words")
-        self.scores = {s: scores[i] for s, i in self.ids.items()}
+        self.costs = {s: -scores[i] for s, i in self.ids.items()}
         self.text = [b"" if i in special else s.replace(_MARK, " ").encode() for i, s in enumerate(pieces)]
         for value, i in enumerate(bytes_at):
             self.text[i] = bytes([value])
@@ -67,16 +71,57 @@ class Encoder:
 
     def word(self, word: str, variant: int) -> bytes:
         """The pieces of a word as int32 bytes; they are checked to be the word."""
-        scores, below = self.v.scores, self.below
-        base = zlib.crc32(word.encode(), zlib.crc32(b"%d %d" % (self.seed, variant))) if below else 0
+        base = zlib.crc32(word.encode(), zlib.crc32(b"%d %d" % (self.seed, variant))) if self.below else 0
+        ids = self.v.ids
+        out: list[int] = []
+        for s in self._by_list(word, base) if len(word) <= SHORT else self._by_heap(word, base):
+            i = ids.get(s)
+            if i is None:
+                out.extend([self.v.bytes_at[b] for b in s.encode()])
+            else:
+                out.append(i)
+        text = self.v.text
+        if b"".join([text[i] for i in out]) != word.encode():
+            raise ValueError(f"the pieces of {word!r} are another text")
+        return array("i", out).tobytes()
+
+    def _skipped(self, base: int, place: int, size: int) -> bool:
+        """Whether dropout skips the candidate that begins at a place of the word and has so many characters."""
+        x = (base ^ place * 0x9E3779B1 ^ size * 0x85EBCA6B) & _M
+        x = (x ^ x >> 16) * 0xC2B2AE35 & _M
+        x = (x ^ x >> 13) * 0x27D4EB2F & _M
+        return x >> 8 < self.below
+
+    def _by_list(self, word: str, base: int) -> list[str]:
+        """Symbols after all merges.  The agenda is a cost for each neighbouring pair, so the first least one is next."""
+        cost, below = self.v.costs.get, self.below
+        symbol = list(word)
+        place = list(range(len(symbol)))
+        agenda = [cost(word[i : i + 2], _NEVER) for i in range(len(symbol) - 1)]
+        while agenda:
+            least = min(agenda)
+            if least == _NEVER:
+                break
+            i = agenda.index(least)
+            merged = symbol[i] + symbol[i + 1]
+            if below and self._skipped(base, place[i], len(merged)):
+                agenda[i] = _NEVER
+                continue
+            symbol[i] = merged
+            del symbol[i + 1], place[i + 1], agenda[i]
+            if i < len(agenda):
+                agenda[i] = cost(merged + symbol[i + 1], _NEVER)
+            if i:
+                agenda[i - 1] = cost(symbol[i - 1] + merged, _NEVER)
+        return symbol
+
+    def _by_heap(self, word: str, base: int) -> list[str]:
+        """The same for words of any length, in n log n steps."""
+        cost, below = self.v.costs.get, self.below
         symbol: list[str | None] = list(word)
         n = len(symbol)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        agenda = []
-        for i in range(n - 1):
-            score = scores.get(word[i : i + 2])
-            if score is not None:
-                agenda.append((-score, i, word[i : i + 2]))
+        agenda = [(c, i, word[i : i + 2]) for i in range(n - 1) if (c := cost(word[i : i + 2])) is not None]
         heapq.heapify(agenda)
         while agenda:
             _, i, merged = heapq.heappop(agenda)
@@ -86,35 +131,21 @@ class Encoder:
             j = after[i]
             if j >= n or len(left) + len(symbol[j]) != len(merged):
                 continue  # one of the two has grown meanwhile
-            if below:
-                x = (base ^ i * 0x9E3779B1 ^ len(merged) * 0x85EBCA6B) & _M
-                x = (x ^ x >> 16) * 0xC2B2AE35 & _M
-                x = (x ^ x >> 13) * 0x27D4EB2F & _M
-                if x >> 8 < below:
-                    continue
+            if below and self._skipped(base, i, len(merged)):
+                continue
             symbol[i], symbol[j] = merged, None
             j = after[i] = after[j]
             if j < n:
                 before[j] = i
                 longer = merged + symbol[j]
-                if (score := scores.get(longer)) is not None:
-                    heapq.heappush(agenda, (-score, i, longer))
+                if (c := cost(longer)) is not None:
+                    heapq.heappush(agenda, (c, i, longer))
             h = before[i]
             if h >= 0:
                 longer = symbol[h] + merged
-                if (score := scores.get(longer)) is not None:
-                    heapq.heappush(agenda, (-score, h, longer))
-        out: list[int] = []
-        for s in symbol:
-            if s is not None:
-                i = self.v.ids.get(s)
-                if i is None:
-                    out.extend(self.v.bytes_at[b] for b in s.encode())
-                else:
-                    out.append(i)
-        if b"".join([self.v.text[i] for i in out]) != word.encode():
-            raise ValueError(f"the pieces of {word!r} are another text")
-        return np.array(out, np.int32).tobytes()
+                if (c := cost(longer)) is not None:
+                    heapq.heappush(agenda, (c, h, longer))
+        return [s for s in symbol if s is not None]
 
     def encode(self, text: str, key: int = 0) -> np.ndarray:
         """Ids of the text's pieces; of the empty text none.  key tells documents apart."""
