@@ -1,9 +1,13 @@
 """Chat formatting: quoted passages are linked to the messages they come from, and taken out.
 
 Lines are split into levels by their marks (>).  Each run of lines of one level is a passage; its text,
-normalised, is hashed and joined within the conversation to the earlier messages that say it: a
+normalised, is hashed and joined within the conversation to the last earlier message that says it: a
 message's whole own text, each of its paragraphs and each of its lines count as sayings.  Messages that
 are linked follow their root, so that (conversation, root, turn) is reply order.
+
+A passage that is often said and often quoted is never expanded into its pairs: the last earlier turn
+is looked up in blocks of WIDTH turns, then in blocks of blocks, so that no group has more than WIDTH
+rows, whatever a conversation holds.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphsearch.llm.tables import read, stored
@@ -88,6 +92,37 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+#: Turns of a block, and blocks of a block of the next level.
+WIDTH = 1024
+
+
+def last_earlier(asked: DataFrame, said: DataFrame) -> DataFrame:
+    """Of (conv, hash, turn) and (conv, hash, turn): asked's distinct rows with said_turn, the greatest turn of said that is less; rows without one are left out."""
+    events = asked.select("conv", "hash", "turn", F.lit(None).cast("bigint").alias("said"), F.lit(True).alias("asks")).unionAll(
+        said.join(asked.select("conv", "hash").distinct(), ["conv", "hash"], "left_semi").select("conv", "hash", "turn", F.col("turn").alias("said"), F.lit(False).alias("asks"))
+    )
+    group = ["conv", "hash"]
+    level = stored(events.groupBy(*group, F.col("turn").alias("block")).agg(F.max("said").alias("said"), F.max("asks").alias("asks")))
+    low, high = level.agg(F.min("block"), F.max("block")).first()
+    levels = []
+    while low is not None:
+        top = high - low < WIDTH
+        within = Window.partitionBy(*group, *([] if top else ["parent"])).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        level = level.withColumn("parent", F.floor(F.col("block") / WIDTH))
+        levels.append(stored(level.where("asks").select(*group, "block", "parent").join(level.select(*group, "block", F.max("said").over(within).alias("before")), [*group, "block"])))
+        if top:
+            break
+        level = stored(level.groupBy(*group, F.col("parent").alias("block")).agg(F.max("said").alias("said"), F.max("asks").alias("asks")))
+        low, high = low // WIDTH, high // WIDTH
+    if not levels:
+        return asked.select(*group, "turn", F.col("turn").alias("said_turn")).limit(0)
+    found = levels.pop().drop("parent")
+    for finer in reversed(levels):  # what a block has not seen, the blocks before it may have
+        above = found.select(*group, F.col("block").alias("parent"), F.col("before").alias("above"))
+        found = finer.join(above, [*group, "parent"], "left").select(*group, "block", F.coalesce("before", "above").alias("before"))
+    return found.where("before IS NOT NULL").select(*group, F.col("block").alias("turn"), F.col("before").alias("said_turn"))
+
+
 def link(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """conv, root_turn, turn, role, message, n_quotes, n_linked, reply_to: a row for each row of conversations.
 
@@ -100,9 +135,8 @@ def link(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     source = conversations.select(F.col(f"`{conv}`").cast("bigint").alias("conv"), F.col(f"`{turn}`").cast("bigint").alias("turn"), F.col(f"`{role}`").cast("string").alias("role"), F.col(f"`{text}`").alias("text"))
     parsed = stored(source.mapInArrow(_parse, "conv bigint, turn bigint, role string, message string, quotes array<struct<level:int,hash:binary>>, said array<binary>"))
     quoted = parsed.where("conv IS NOT NULL AND turn IS NOT NULL").select("conv", "turn", F.posexplode("quotes").alias("n", "q")).select("conv", "turn", "n", "q.level", "q.hash").distinct()
-    sayings = parsed.select("conv", F.col("turn").alias("said_turn"), F.explode("said").alias("hash")).distinct()
-    # Only what somebody quotes is worth a place in the join.
-    found = quoted.join(sayings, ["conv", "hash"]).where("said_turn < turn").groupBy("conv", "turn", "n", "level").agg(F.max("said_turn").alias("said_turn"))
+    sayings = parsed.where("conv IS NOT NULL AND turn IS NOT NULL").select("conv", F.explode("said").alias("hash"), "turn")
+    found = quoted.join(last_earlier(quoted.select("conv", "hash", "turn"), sayings), ["conv", "hash", "turn"])
     links = stored(found.groupBy("conv", "turn").agg(F.count("*").alias("n_linked"), F.min_by("said_turn", F.struct("level", "n")).alias("reply_to")))
     # Pointer jumping: every round halves the way to the root.
     up = stored(links.select("conv", "turn", F.col("reply_to").alias("root")))

@@ -160,6 +160,17 @@ def test_merges_without_dropout_are_the_librarys():
     assert varied > 4
 
 
+def test_both_agendas_give_the_same_pieces():
+    rng = random.Random(4)
+    vocabulary = merges.Vocabulary.load(merges.MODEL)
+    for dropout in (0.0, 0.1, 0.5):
+        encoder = merges.Encoder(vocabulary, dropout, 7)
+        for _ in range(300):
+            word = " " * rng.randrange(3) + "".join(rng.choice("thearin.é▁日") for _ in range(rng.randrange(60)))
+            base = rng.getrandbits(32)
+            assert encoder._by_list(word, base) == encoder._by_heap(word, base)
+
+
 def test_encode_texts(spark):
     docs = documents(spark, [(1, "some words here"), (2, None), (3, ""), (None, "x"), (1, "some words here")])
     encoded = merges.encode_texts(docs)
@@ -266,6 +277,19 @@ def test_quotes(spark):
     assert quotes.link(table).count() == 8 and quotes.link(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("width", [1024, 3])
+def test_last_earlier(spark, monkeypatch, width):
+    monkeypatch.setattr(quotes, "WIDTH", width)
+    rng = random.Random(width)
+    draw = lambda n: [(rng.randrange(2), rng.choice([b"x", b"y"]), rng.randrange(-20, 60)) for _ in range(n)]
+    asked, said = draw(40), draw(25)
+    frame = lambda rows: spark.createDataFrame(rows, "conv bigint, hash binary, turn bigint")
+    want = {(c, h, t): max((u for d, g, u in said if (d, g) == (c, h) and u < t), default=None) for c, h, t in asked}
+    got = [((r["conv"], bytes(r["hash"]), r["turn"]), r["said_turn"]) for r in quotes.last_earlier(frame(asked), frame(said)).collect()]
+    assert len(got) == len(dict(got)) and dict(got) == {k: v for k, v in want.items() if v is not None}
+    assert quotes.last_earlier(frame(asked), frame(said).limit(0)).count() == 0 == quotes.last_earlier(frame(asked).limit(0), frame(said)).count()
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
