@@ -178,17 +178,6 @@ class Encoder:
         return b"".join([text[i] for i in ids]).decode()[1:]
 
 
-_encoders: dict[tuple, Encoder] = {}
-
-
-def _encoder(vocabulary: Vocabulary, *parameters) -> Encoder:
-    """This process's encoder; the words it remembers serve all of its tasks."""
-    if parameters not in _encoders:
-        _encoders.clear()
-        _encoders[parameters] = Encoder(vocabulary, *parameters[1:])
-    return _encoders[parameters]
-
-
 def encode_texts(docs: DataFrame, vocabulary: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each row of docs: id, ids (array of int), n_tokens.
 
@@ -202,7 +191,7 @@ def encode_texts(docs: DataFrame, vocabulary: str = MODEL, dropout: float = DROP
     source = docs.select(F.col(f"`{id}`").alias("id"), F.coalesce(F.xxhash64(F.col(f"`{id}`")), F.lit(0)).alias("key"), F.col(f"`{text}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared.value, vocabulary, dropout, seed)
+        encoder = Encoder(shared.value, dropout, seed)  # the words that it remembers go with the task, as workers serve other stages
         for batch in batches:
             for piece in runs(batch, "text", 1 << 20):
                 ids, sizes = [], []
