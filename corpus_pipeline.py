@@ -38,7 +38,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with windows of two benchmark items or more go."""
+    """Documents with a window of any benchmark item go."""
     return decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark"))
 
 

@@ -304,8 +304,8 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     return found.groupBy("item").agg(best.alias("b")).select(F.col("item").alias(item), "b.item_word", "b.n_words", "b.doc", "b.doc_word")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, min_items: int = 2, window: int = WINDOW, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the rows in which windows of so many items occur; all its columns stay, and rows with a null or empty text.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, min_items: int = 1, window: int = WINDOW, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without the rows in which windows of so many items occur, by default of any; all its columns stay, and rows with a null or empty text.
 
     A row of docs goes if its id is not null and is the id of an affected row.
     """

@@ -302,3 +302,15 @@ def test_pipeline(spark):
     want = {d: (n, k) for d, _, n, k in substring.brute_force([(r["doc_id"], r["text"]) for r in docs.collect()])}
     original = {r["doc_id"]: r["text"] for r in docs.collect()}
     assert cut == {d: (k if n else original[d]) for d, (n, k) in want.items()}
+
+
+def test_pipeline_drops_documents_with_one_benchmark_item(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    n_items = {d: n for d, _, _, n, *_ in decontaminate.brute_force([(r["doc_id"], r["text"]) for r in docs.collect()], items)}
+    assert 1 in n_items.values()
+    left = sorted(r["doc_id"] for r in corpus_pipeline.drop_contaminated(spark, docs, sf).collect())
+    assert left == sorted(d for d, n in n_items.items() if n == 0)
