@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from graphsearch.llm.tables import read, stored
 
-#: Pivots (the vectors with the least hash of their id), and pivots of a prefix.
+#: Pivots (the distinct vectors with the least hash of their id), and pivots of a prefix.
 PIVOTS, PREFIX = 64, 24
 #: Vectors of a shard and queries of a block.
 SHARD, BLOCK = 4096, 2048
@@ -101,6 +101,11 @@ def _search(pivots: np.ndarray, prefix: int, k: int, part: float):
     return run
 
 
+def _pivots(base: DataFrame, most: int) -> DataFrame:
+    """At most so many distinct vectors, those with the least hash of an id; copies would fill prefixes with ties."""
+    return base.groupBy("vector").agg(F.min(F.struct(F.xxhash64("id").alias("hash"), "id")).alias("least")).orderBy("least").limit(most).select("vector")
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id: str = "vec_id", vector: str = "embedding", pivots: int = PIVOTS, prefix: int = PREFIX, reranked: float = RERANKED) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each of queries the k vectors with the largest inner products that the index finds, never the query's own id.
 
@@ -110,7 +115,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id: str = "vec_
     """
     base = stored(clean_vectors(vectors, id, vector))
     asked = stored(clean_vectors(queries, id, vector))
-    drawn = base.orderBy(F.xxhash64("id"), "id").limit(pivots).select("vector").collect()
+    drawn = _pivots(base, pivots).collect()
     empty = "query_id bigint, rank int, vec_id bigint, score double"
     if not drawn:
         return base.sparkSession.createDataFrame([], empty)

@@ -198,6 +198,22 @@ def test_nearest(spark):
     assert permutation_index.nearest(table.limit(0), asked).count() == 0
 
 
+def test_nearest_with_a_third_of_copies(spark):
+    x = np.random.default_rng(1).normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[::3] = x[0]
+    rows = [(k, v.tolist()) for k, v in enumerate(x)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    drawn = [tuple(r["vector"]) for r in permutation_index._pivots(permutation_index.clean_vectors(table), 64).collect()]
+    assert len(set(drawn)) == len(drawn) == 64
+    got: dict = {}
+    for r in permutation_index.nearest(table, table.where("vec_id % 20 = 0")).collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    want = permutation_index.brute_force(rows, [r for r in rows if r[0] % 20 == 0], 20)
+    recall = {q: len(set(got[q]) & set(w)) / 20 for q, w in want.items()}
+    assert np.mean(list(recall.values())) >= 0.9 and np.mean([r for q, r in recall.items() if q % 3]) >= 0.9
+
+
 def test_toxicity(spark):
     rng = random.Random(1)
     words = [f"plain{k}" for k in range(40)]
