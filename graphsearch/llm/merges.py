@@ -1,19 +1,20 @@
 """SentencePiece encoding with seeded merge-dropout, and decoding.
 
-Merges are taken from an agenda, best score first, then leftmost.  With dropout, a candidate that is
-taken from the agenda is skipped if a hash of (seed, variant, word, place) says so; the pieces then are
-others, of the same vocabulary, and decode to the same text.
+Merges are taken from an agenda, best score first, then leftmost.  With dropout, each candidate that is
+taken from the agenda is skipped with the same probability, by a hash of (seed, document, the word's
+place in it): the hash gives how many candidates pass before the next skip, so that every occurrence of a
+word has its own skips.  The pieces then are others, of the same vocabulary, and decode to the same text.
 
 No piece of the vocabulary has a space mark after another character, so a text is encoded by words,
-each with the spaces before it.  A word's variant is one of VARIANTS, by the document and the word's
-place, so that a bounded table of words that were met before serves most of a text.
+each with the spaces before it.  The pieces of a word depend on nothing but the word and which of its
+candidates are skipped; a bounded table remembers them by both.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import re
-import zlib
 from array import array
 from collections.abc import Iterator
 
@@ -24,18 +25,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphsearch.llm.tables import read
+from graphsearch.llm.wordbytes import mix
 from graphsearch.llm.wordbytes import pieces as runs
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-DROPOUT, SEED, VARIANTS = 0.1, 20240601, 2
-#: Words of one variant in each of the two tables of remembered words; longer words are not remembered.
-MOST_REMEMBERED, LONGEST_REMEMBERED = 200_000, 64
+DROPOUT, SEED = 0.1, 20240601
+#: Parses from which the table of remembered ones begins anew (words: twice as many); longer words are not remembered.
+MOST_REMEMBERED, LONGEST_REMEMBERED = 300_000, 64
+#: Words of a text that are looked up at once, and skips of a word that are drawn at once.
+RUN, DRAWN = 1 << 16, 8
+_ONCE, _LONG = -1, -2
 #: Words of at most so many characters keep their agenda as a list instead of a heap.
 SHORT = 40
 _NEVER = float("inf")
 _MARK = "▁"
 _WORD = re.compile(" +[^ ]*|[^ ]+")
-_M = 0xFFFFFFFF
+_M = (1 << 64) - 1
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Vocabulary:
@@ -62,67 +68,74 @@ class Vocabulary:
 
 
 class Encoder:
-    def __init__(self, vocabulary: Vocabulary, dropout: float = 0.0, seed: int = 0, variants: int = VARIANTS):
+    """Parses of words that are met again are numbered.  left counts the candidates that a parse took after its last skip; a parse with one more of them skipped is its child."""
+
+    def __init__(self, vocabulary: Vocabulary, dropout: float = 0.0, seed: int = 0):
         self.v = vocabulary
-        self.below = int(dropout * (1 << 24))
         self.seed = seed
-        self.known: list[dict[str, bytes]] = [{} for _ in range(variants if dropout else 1)]
-        self.older: list[dict[str, bytes]] = [{} for _ in self.known]
-
-    def word(self, word: str, variant: int) -> bytes:
-        """The pieces of a word as int32 bytes; they are checked to be the word."""
-        base = zlib.crc32(word.encode(), zlib.crc32(b"%d %d" % (self.seed, variant))) if self.below else 0
-        ids = self.v.ids
-        out: list[int] = []
-        for s in self._by_list(word, base) if len(word) <= SHORT else self._by_heap(word, base):
-            i = ids.get(s)
-            if i is None:
-                out.extend([self.v.bytes_at[b] for b in s.encode()])
-            else:
-                out.append(i)
+        self.dropout = dropout
+        self.log_passed = math.log1p(-dropout) if dropout < 1 else -math.inf
+        self.left = np.zeros(MOST_REMEMBERED + RUN, np.int64)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.whole: dict[str, int] = {}
+        self.children: dict[int, int] = {}
+        self.pieces: list[bytes] = []
+
+    def _parse(self, word: str, skips: int) -> tuple[bytes, int]:
+        """The pieces of a word as int32 bytes, checked to be the word, and how many candidates were taken.  Bits of skips are the candidates to skip, by their order."""
+        symbols, taken = self._by_list(word, skips) if len(word) <= SHORT else self._by_heap(word, skips)
+        out = list(map(self.v.ids.get, symbols))
+        if None in out:
+            out = [i for s, known in zip(symbols, out, strict=True) for i in ([self.v.bytes_at[b] for b in s.encode()] if known is None else [known])]
         text = self.v.text
         if b"".join([text[i] for i in out]) != word.encode():
             raise ValueError(f"the pieces of {word!r} are another text")
-        return array("i", out).tobytes()
-
-    def _skipped(self, base: int, place: int, size: int) -> bool:
-        """Whether dropout skips the candidate that begins at a place of the word and has so many characters."""
-        x = (base ^ place * 0x9E3779B1 ^ size * 0x85EBCA6B) & _M
-        x = (x ^ x >> 16) * 0xC2B2AE35 & _M
-        x = (x ^ x >> 13) * 0x27D4EB2F & _M
-        return x >> 8 < self.below
-
-    def _by_list(self, word: str, base: int) -> list[str]:
-        """Symbols after all merges.  The agenda is a cost for each neighbouring pair, so the first least one is next."""
-        cost, below = self.v.costs.get, self.below
+        return array("i", out).tobytes(), taken
+
+    def _remember(self, found: bytes, left: int) -> int:
+        number = len(self.pieces)
+        if number == len(self.left):
+            self.left = np.append(self.left, np.zeros(number, np.int64))
+        self.left[number] = left
+        self.pieces.append(found)
+        return number
+
+    def _by_list(self, word: str, skips: int) -> tuple[list[str], int]:
+        """Symbols after all merges, and how many candidates were taken.  The agenda is a cost for each neighbouring pair, so the first least one is next."""
+        cost = self.v.costs.get
         symbol = list(word)
-        place = list(range(len(symbol)))
         agenda = [cost(word[i : i + 2], _NEVER) for i in range(len(symbol) - 1)]
+        taken = 0
         while agenda:
             least = min(agenda)
             if least == _NEVER:
                 break
             i = agenda.index(least)
-            merged = symbol[i] + symbol[i + 1]
-            if below and self._skipped(base, place[i], len(merged)):
+            taken += 1
+            if skips and skips >> taken - 1 & 1:
                 agenda[i] = _NEVER
                 continue
+            merged = symbol[i] + symbol[i + 1]
             symbol[i] = merged
-            del symbol[i + 1], place[i + 1], agenda[i]
+            del symbol[i + 1], agenda[i]
             if i < len(agenda):
                 agenda[i] = cost(merged + symbol[i + 1], _NEVER)
             if i:
                 agenda[i - 1] = cost(symbol[i - 1] + merged, _NEVER)
-        return symbol
+        return symbol, taken
 
-    def _by_heap(self, word: str, base: int) -> list[str]:
+    def _by_heap(self, word: str, skips: int) -> tuple[list[str], int]:
         """The same for words of any length, in n log n steps."""
-        cost, below = self.v.costs.get, self.below
+        cost = self.v.costs.get
         symbol: list[str | None] = list(word)
         n = len(symbol)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         agenda = [(c, i, word[i : i + 2]) for i in range(n - 1) if (c := cost(word[i : i + 2])) is not None]
         heapq.heapify(agenda)
+        skipped = skips.to_bytes(-(-max(skips.bit_length(), 3 * n + 1) // 8), "little")  # a merge makes at most two candidates
+        taken = 0
         while agenda:
             _, i, merged = heapq.heappop(agenda)
             left = symbol[i]
@@ -131,7 +144,8 @@ class Encoder:
             j = after[i]
             if j >= n or len(left) + len(symbol[j]) != len(merged):
                 continue  # one of the two has grown meanwhile
-            if below and self._skipped(base, i, len(merged)):
+            taken += 1
+            if skipped[taken - 1 >> 3] >> (taken - 1 & 7) & 1:
                 continue
             symbol[i], symbol[j] = merged, None
             j = after[i] = after[j]
@@ -145,34 +159,100 @@ class Encoder:
                 longer = symbol[h] + merged
                 if (c := cost(longer)) is not None:
                     heapq.heappush(agenda, (c, h, longer))
-        return [s for s in symbol if s is not None]
+        return [s for s in symbol if s is not None], taken
+
+    def _passed(self, occurrence: np.ndarray, skip: int | np.ndarray) -> np.ndarray:
+        """How many candidates of occurrences pass between their skips of this number and the ones before."""
+        drawn = mix(occurrence + (np.atleast_1d(skip).astype(np.uint64) + np.uint64(1)) * _ODD) >> np.uint64(11)
+        return np.minimum(np.log((drawn + np.uint64(1)) * 2.0**-53) / self.log_passed, 1 << 31).astype(np.int64)
+
+    def _skipping(self, word: str, occurrence: np.uint64, at: list[int]) -> tuple[bytes, int, int]:
+        """A parse with the skips of an occurrence, of which the first are given: its pieces, how many skips it came to, and left."""
+        most = 3 * len(word)
+        if at and at[-1] < most:
+            at = (np.cumsum(self._passed(occurrence, np.arange(most)) + 1) - 1).tolist()
+        if most > 3 * LONGEST_REMEMBERED:
+            bits = np.zeros(most, np.uint8)
+            bits[[k for k in at if k < most]] = 1
+            skips = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+        else:
+            skips = 0
+            for k in at:
+                if k >= most:
+                    break
+                skips |= 1 << k
+        found, taken = self._parse(word, skips)
+        n = 0
+        for k in at:
+            if k >= taken:
+                break
+            n += 1
+        return found, n, taken - (at[n - 1] + 1 if n else 0)
 
     def encode(self, text: str, key: int = 0) -> np.ndarray:
         """Ids of the text's pieces; of the empty text none.  key tells documents apart."""
         if not text:
             return np.zeros(0, np.int32)
         words = _WORD.findall(" " + text)
-        out: list[bytes | None] = [None] * len(words)
-        step = len(self.known)
-        for k in range(step):
-            variant = (key + k) % step
-            known = self.known[variant]
-            mine = words[k::step]
-            got = list(map(known.get, mine))
-            if None in got:
-                for at, found in enumerate(got):
-                    if found is None:
-                        word = mine[at]
-                        found = known.get(word) or self.older[variant].get(word) or self.word(word, variant)
-                        if len(word) <= LONGEST_REMEMBERED:
-                            if len(known) >= MOST_REMEMBERED:
-                                self.older[variant], self.known[variant] = known, {}
-                                known = self.known[variant]
-                            known[word] = found
-                        got[at] = found
-            out[k::step] = got
+        document = mix(mix(np.array([self.seed & _M], np.uint64)) ^ np.array([key & _M], np.uint64))
+        out: list[bytes] = []
+        for at in range(0, len(words), RUN):
+            mine = words[at : at + RUN]
+            out += self._encode_run(mine, mix(document + np.arange(at, at + len(mine), dtype=np.uint64) * _ODD))
         return np.frombuffer(b"".join(out), np.int32)
 
+    def _encode_run(self, words: list[str], occurrence: np.ndarray) -> list[bytes]:
+        if len(self.pieces) >= MOST_REMEMBERED or len(self.whole) >= 2 * MOST_REMEMBERED:
+            self._forget()
+        whole = self.whole
+        got = np.array([_LONG if x is None else x for x in map(whole.get, words)], np.int64)
+        apart: list[int] = []  # long words, and words that are met for the first time
+        for k in np.flatnonzero(got < 0).tolist():
+            word = words[k]
+            found = whole.get(word)
+            if found is None:
+                apart.append(k)
+                if len(word) <= LONGEST_REMEMBERED:
+                    whole[word] = _ONCE
+            elif found == _ONCE:
+                found = whole[word] = self._remember(*self._parse(word, 0))
+            got[k] = _LONG if found is None else found
+        out: dict[int, bytes] = {}
+        drawn = self._drawn(occurrence, apart)
+        for k, at in zip(apart, drawn, strict=True):
+            out[k] = self._skipping(words[k], occurrence[k], at)[0]
+        if self.dropout:
+            live, skip = np.flatnonzero(got >= 0), 0
+            while True:
+                passed = self._passed(occurrence[live], skip)
+                more = passed < self.left[got[live]]
+                live = live[more]
+                if not len(live):
+                    break
+                keys = (got[live] << 8 | passed[more]).tolist()  # a remembered word has fewer than 3 * 64 candidates
+                found = list(map(self.children.get, keys))
+                missing = [n for n, x in enumerate(found) if x is None]
+                places = live[missing].tolist()
+                for n, k, at in zip(missing, places, self._drawn(occurrence, places), strict=True):
+                    child = self.children.get(keys[n])
+                    if child is None:
+                        out[k], skips, left = self._skipping(words[k], occurrence[k], at)
+                        child = _LONG
+                        if skips == skip + 1:
+                            child = self.children[keys[n]] = self._remember(out[k], left)
+                    found[n] = child
+                got[live] = found
+                live = live[got[live] >= 0]
+                skip += 1
+        pieces = self.pieces
+        return [out[k] if x < 0 else pieces[x] for k, x in enumerate(got.tolist())]
+
+    def _drawn(self, occurrence: np.ndarray, places: list[int]) -> list[list[int]]:
+        """The first DRAWN candidates to skip of each occurrence at these places."""
+        if not self.dropout:
+            return [[] for _ in places]
+        return (np.cumsum(self._passed(occurrence[places][:, None], np.arange(DRAWN)) + 1, axis=1) - 1).tolist()
+
     def decode(self, ids) -> str:
         text = self.v.text
         return b"".join([text[i] for i in ids]).decode()[1:]
@@ -182,8 +262,8 @@ def encode_texts(docs: DataFrame, vocabulary: str = MODEL, dropout: float = DROP
     """A row for each row of docs: id, ids (array of int), n_tokens.
 
     Each word's pieces are checked to be the word when it is first met, so that ids always decode to
-    the text.  Null texts have null ids and count 0 tokens; the empty text has no id.  The
-    variant of a word depends on the row's id and the word's place; rows without id share one.
+    the text.  Null texts have null ids and count 0 tokens; the empty text has no id.  What is
+    skipped in a word depends on the row's id and the word's place; rows without id count as one document.
     White space, characters beyond the vocabulary (as bytes) and the space mark itself all come back.
     """
     spark = docs.sparkSession

@@ -171,6 +171,28 @@ def test_both_agendas_give_the_same_pieces():
             assert encoder._by_list(word, base) == encoder._by_heap(word, base)
 
 
+def test_every_occurrence_has_its_own_skips(monkeypatch):
+    vocabulary = merges.Vocabulary.load(merges.MODEL)
+    encoder = merges.Encoder(vocabulary, 0.3, 7)
+    parses = {encoder.encode("international", key).tobytes() for key in range(300)}
+    assert len(parses) > 20
+    one = encoder.encode("international " * 300, 1)
+    assert encoder.encode("international " * 300, 1).tolist() == one.tolist() and encoder.decode(one.tolist()) == "international " * 300
+    # What is remembered makes no difference, and skips are those of the hash.
+    rng = random.Random(9)
+    words = ["".join(rng.choice("thearin.é▁日") for _ in range(rng.choice([1, 3, 8, 30, 70, 90]))) for _ in range(60)]
+    texts = [" ".join(rng.choice(words) for _ in range(200)) for _ in range(12)]
+    warm = [encoder.encode(t, k) for k, t in enumerate(texts)]
+    monkeypatch.setattr(merges, "MOST_REMEMBERED", 5)
+    monkeypatch.setattr(merges, "RUN", 16)
+    monkeypatch.setattr(merges, "DRAWN", 1)
+    cold = merges.Encoder(vocabulary, 0.3, 7)
+    for k, t in enumerate(texts):
+        assert cold.encode(t, k).tolist() == warm[k].tolist() and cold.decode(warm[k].tolist()) == t
+    passed = encoder._passed(np.arange(100_000, dtype=np.uint64), 0)
+    assert all(abs(np.mean(passed >= n) - 0.7**n) < 0.01 for n in range(6))
+
+
 def test_encode_texts(spark):
     docs = documents(spark, [(1, "some words here"), (2, None), (3, ""), (None, "x"), (1, "some words here")])
     encoded = merges.encode_texts(docs)
