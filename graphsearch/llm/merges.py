@@ -84,14 +84,11 @@ class Encoder:
         self.pieces: list[bytes] = []
 
     def _parse(self, word: str, skips: int) -> tuple[bytes, int]:
-        """The pieces of a word as int32 bytes, checked to be the word, and how many candidates were taken.  Bits of skips are the candidates to skip, by their order."""
+        """The pieces of a word as int32 bytes, and how many candidates were taken.  Bits of skips are the candidates to skip, by their order."""
         symbols, taken = self._by_list(word, skips) if len(word) <= SHORT else self._by_heap(word, skips)
         out = list(map(self.v.ids.get, symbols))
         if None in out:
             out = [i for s, known in zip(symbols, out, strict=True) for i in ([self.v.bytes_at[b] for b in s.encode()] if known is None else [known])]
-        text = self.v.text
-        if b"".join([text[i] for i in out]) != word.encode():
-            raise ValueError(f"the pieces of {word!r} are another text")
         return array("i", out).tobytes(), taken
 
     def _remember(self, found: bytes, left: int) -> int:
@@ -254,15 +251,18 @@ class Encoder:
         return (np.cumsum(self._passed(occurrence[places][:, None], np.arange(DRAWN)) + 1, axis=1) - 1).tolist()
 
     def decode(self, ids) -> str:
-        text = self.v.text
-        return b"".join([text[i] for i in ids]).decode()[1:]
+        return self.decode_bytes(ids).decode()[1:]
+
+    def decode_bytes(self, ids) -> bytes:
+        """The text's bytes, after the space that encoding puts before any text but the empty one."""
+        return b"".join(map(self.v.text.__getitem__, ids))
 
 
 def encode_texts(docs: DataFrame, vocabulary: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each row of docs: id, ids (array of int), n_tokens.
+    """A row for each row of docs: id, ids (array of int), n_tokens, lossless (whether the ids decode to the text).
 
-    Each word's pieces are checked to be the word when it is first met, so that ids always decode to
-    the text.  Null texts have null ids and count 0 tokens; the empty text has no id.  What is
+    Every row's ids are decoded and compared with its text.  Null texts have null ids, count 0 tokens
+    and are lossless; the empty text has no id.  What is
     skipped in a word depends on the row's id and the word's place; rows without id count as one document.
     White space, characters beyond the vocabulary (as bytes) and the space mark itself all come back.
     """
@@ -274,16 +274,17 @@ def encode_texts(docs: DataFrame, vocabulary: str = MODEL, dropout: float = DROP
         encoder = Encoder(shared.value, dropout, seed)  # the words that it remembers go with the task, as workers serve other stages
         for batch in batches:
             for piece in runs(batch, "text", 1 << 20):
-                ids, sizes = [], []
+                ids, sizes, whole = [], [], []
                 for key, value in zip(piece.column("key").to_pylist(), piece.column("text").to_pylist(), strict=True):
                     found = encoder.encode(value or "", key)
                     ids.append(found)
                     sizes.append(len(found))
+                    whole.append(encoder.decode_bytes(found.tolist()) == (f" {value}".encode() if value else b""))
                 ends = np.append(0, np.cumsum(sizes)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)), mask=piece.column("text").is_null())
-                yield pa.RecordBatch.from_arrays([piece.column("id"), lists, pa.array(sizes, pa.int64())], ["id", "ids", "n_tokens"])
+                yield pa.RecordBatch.from_arrays([piece.column("id"), lists, pa.array(sizes, pa.int64()), pa.array(whole)], ["id", "ids", "n_tokens", "lossless"])
 
-    schema = T.StructType([source.schema["id"], *T.StructType.fromDDL("ids array<int>, n_tokens bigint").fields])
+    schema = T.StructType([source.schema["id"], *T.StructType.fromDDL("ids array<int>, n_tokens bigint, lossless boolean").fields])
     return source.mapInArrow(run, schema).withColumnRenamed("id", id)
 
 

@@ -202,6 +202,20 @@ def test_encode_texts(spark):
     assert back == {(1, "some words here", True), (2, None, False), (3, "", False), (None, "x", True)}
 
 
+def test_every_row_is_decoded(spark, monkeypatch):
+    docs = documents(spark, [(1, "two  words "), (2, None), (3, ""), (4, "a▁b \n日")])
+    assert {r["doc_id"]: r["lossless"] for r in merges.encode_texts(docs).collect()} == {1: True, 2: True, 3: True, 4: True}
+    load = merges.Vocabulary.load
+
+    def wrong(path):
+        vocabulary = load(path)
+        vocabulary.text = [b"b" if x == b"a" else x for x in vocabulary.text]
+        return vocabulary
+
+    monkeypatch.setattr(merges.Vocabulary, "load", wrong)
+    assert {r["doc_id"]: r["lossless"] for r in merges.encode_texts(docs, dropout=1.0).collect()} == {1: True, 2: True, 3: True, 4: False}
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 16))
