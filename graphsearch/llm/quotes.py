@@ -1,8 +1,9 @@
 """Chat formatting: quoted passages are linked to the messages they come from, and taken out.
 
-Lines are split into levels by their marks (>).  Each run of lines of one level is a passage; its text,
-normalised, is hashed and joined within the conversation to the last earlier message that says it: a
-message's whole own text, each of its paragraphs and each of its lines count as sayings.  Messages that
+Lines are split into levels by their marks (>).  Each run of lines of one level, without a line that
+introduces a deeper one, is a passage; its text, normalised, is hashed and joined within the conversation
+to the last earlier message that says it: a message's whole own text, each of its paragraphs and each of
+its lines count as sayings.  Messages that
 are linked follow their root, so that (conversation, root, turn) is reply order.
 
 A passage that is often said and often quoted is never expanded into its pairs: the last earlier turn
@@ -56,16 +57,16 @@ def parse(text: str) -> tuple[str, list[tuple[int, str]], list[str]]:
         while to < len(lines) and lines[to][0] == lines[at][0]:
             to += 1
         run = [s for _, s in lines[at:to]]
+        if to < len(lines) and lines[to][0] > lines[at][0]:  # what is quoted next may be introduced here
+            while run and not run[-1].strip():
+                run.pop()
+            if run and _INTRODUCTION.match(run[-1]):
+                run.pop()
         if lines[at][0]:
             passage = "\n".join(run)
             if normal(passage):
                 quoted.append((lines[at][0], passage))
         else:
-            if to < len(lines):
-                while run and not run[-1].strip():
-                    run.pop()
-                if run and _INTRODUCTION.match(run[-1]):
-                    run.pop()
             own.extend(run)
         at = to
     message = "\n".join(own).strip("\n") if quoted else text

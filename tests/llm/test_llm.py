@@ -329,6 +329,17 @@ def test_quotes(spark):
     assert quotes.link(table).count() == 8 and quotes.link(table.limit(0)).count() == 0
 
 
+def test_quotes_of_a_top_posted_chain(spark):
+    rows = [
+        (1, 0, "user", "A text"),
+        (1, 1, "user", "B text\n\nOn Monday A wrote:\n> A text"),
+        (1, 2, "user", "C text\n\nOn Tuesday B wrote:\n> B text\n>\n> On Monday A wrote:\n>\n> > A text"),
+        (1, 3, "user", "D text\n\nOn Friday C wrote:\n> On Tuesday B wrote:\n> > B text"),
+    ]
+    got = {r["turn"]: (r["root_turn"], r["message"], r["n_quotes"], r["n_linked"], r["reply_to"]) for r in quotes.link(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()}
+    assert got == {0: (0, "A text", 0, 0, None), 1: (0, "B text", 1, 1, 0), 2: (0, "C text", 2, 2, 1), 3: (0, "D text", 1, 1, 1)}
+
+
 @pytest.mark.parametrize("width", [1024, 3])
 def test_last_earlier(spark, monkeypatch, width):
     monkeypatch.setattr(quotes, "WIDTH", width)
