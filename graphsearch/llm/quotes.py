@@ -2,8 +2,9 @@
 
 Lines are split into levels by their marks (>).  Each run of lines of one level, without a line that
 introduces a deeper one, is a passage; its text, normalised, is hashed and joined within the conversation
-to the last earlier message that says it: a message's whole own text, each of its paragraphs and each of
-its lines count as sayings.  Messages that
+to the last earlier message that says it: a message's whole own text, each of its own runs between quotations, and each of their paragraphs, lines and
+sentences count as sayings.  A passage that nobody says as a whole is linked by its own paragraphs, lines and
+sentences: each is looked up, and the turn that says the most of the passage is taken.  Messages that
 are linked follow their root, so that (conversation, root, turn) is reply order.
 
 A passage that is often said and often quoted is never expanded into its pairs: the last earlier turn
@@ -25,6 +26,8 @@ from graphsearch.llm.tables import read, stored
 
 _MARKS = re.compile(r"^((?:[ \t]{0,3}>)*)[ \t]?(.*)$", re.S)
 _SPACE = re.compile(r"\s+")
+_PARAGRAPH = re.compile(r"\n[ \t]*\n")
+_SENTENCE = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])")
 #: Lines that introduce a quotation.
 _INTRODUCTION = re.compile(r"^\s*(on\b.*\bwrote:|.*\ba écrit\s*:|.*\bschrieb\b.*:|.*\bescribió:)\s*$", re.I)
 
@@ -46,11 +49,19 @@ def key(text: str) -> bytes:
     return hashlib.blake2b(normal(text).encode(), digest_size=16).digest()
 
 
+def parts(text: str) -> list[str]:
+    """The text, its paragraphs, lines and sentences, each once."""
+    paragraphs = _PARAGRAPH.split(text)
+    found = [text, *paragraphs, *text.split("\n"), *(s for p in paragraphs for s in _SENTENCE.split(p))]
+    return list(dict.fromkeys(s for s in map(normal, found) if s))
+
+
 def parse(text: str) -> tuple[str, list[tuple[int, str]], list[str]]:
-    """The text without quotations and their introductions; the quoted passages (level, text); what the message says: its own text, paragraphs and lines."""
+    """The text without quotations and their introductions; the quoted passages (level, text); what the message says: the parts of its own text and of each own run, normalised."""
     lines = levels(text)
     quoted: list[tuple[int, str]] = []
     own: list[str] = []
+    own_runs: list[str] = []
     at = 0
     while at < len(lines):
         to = at
@@ -68,12 +79,16 @@ def parse(text: str) -> tuple[str, list[tuple[int, str]], list[str]]:
                 quoted.append((lines[at][0], passage))
         else:
             own.extend(run)
+            own_runs.append("\n".join(run))
         at = to
     message = "\n".join(own).strip("\n") if quoted else text
-    said = dict.fromkeys(s for s in [message, *re.split(r"\n[ \t]*\n", message), *message.split("\n")] if normal(s))
+    said = dict.fromkeys(s for t in ([message, *own_runs] if len(own_runs) > 1 else [message]) for s in parts(t))
     return message, quoted, list(said)
 
 
+_QUOTE = pa.struct([("level", pa.int32()), ("hash", pa.binary()), ("parts", pa.list_(pa.struct([("hash", pa.binary()), ("size", pa.int64())])))])
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         messages, quotes, said = [], [], []
@@ -85,10 +100,10 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             message, quoted, sayings = parse(text)
             messages.append(message)
-            quotes.append([{"level": n, "hash": key(q)} for n, q in quoted])
+            quotes.append([{"level": n, "hash": key(q), "parts": [{"hash": key(x), "size": len(x)} for x in parts(q)]} for n, q in quoted])
             said.append(list(dict.fromkeys(map(key, sayings))))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("conv"), batch.column("turn"), batch.column("role"), pa.array(messages, pa.string()), pa.array(quotes, pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.binary())]))), pa.array(said, pa.list_(pa.binary()))],
+            [batch.column("conv"), batch.column("turn"), batch.column("role"), pa.array(messages, pa.string()), pa.array(quotes, pa.list_(_QUOTE)), pa.array(said, pa.list_(pa.binary()))],
             ["conv", "turn", "role", "message", "quotes", "said"],
         )
 
@@ -128,16 +143,21 @@ def link(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     """conv, root_turn, turn, role, message, n_quotes, n_linked, reply_to: a row for each row of conversations.
 
     message is the text without quotations; reply_to is the last earlier turn that says the first
-    linked passage of the lowest level, null if no passage is linked; root_turn is where following
+    linked passage of the lowest level, as a whole or else by most characters of its parts (then the
+    later turn, where two say as much), null if no passage is linked; root_turn is where following
     reply_to ends (the turn itself without a link).  Sorting by the first three columns is reply order.
     Null texts have a null message and no quotation.  Rows without a conversation or turn keep their
     message and are not linked.  Rows that repeat a turn share what any of them says.
     """
     source = conversations.select(F.col(f"`{conv}`").cast("bigint").alias("conv"), F.col(f"`{turn}`").cast("bigint").alias("turn"), F.col(f"`{role}`").cast("string").alias("role"), F.col(f"`{text}`").alias("text"))
-    parsed = stored(source.mapInArrow(_parse, "conv bigint, turn bigint, role string, message string, quotes array<struct<level:int,hash:binary>>, said array<binary>"))
-    quoted = parsed.where("conv IS NOT NULL AND turn IS NOT NULL").select("conv", "turn", F.posexplode("quotes").alias("n", "q")).select("conv", "turn", "n", "q.level", "q.hash").distinct()
+    parsed = stored(source.mapInArrow(_parse, "conv bigint, turn bigint, role string, message string, quotes array<struct<level:int,hash:binary,parts:array<struct<hash:binary,size:bigint>>>>, said array<binary>"))
+    passage = ["conv", "turn", "n", "level", "passage"]
+    quoted = parsed.where("conv IS NOT NULL AND turn IS NOT NULL").select("conv", "turn", F.posexplode("quotes").alias("n", "q")).select("conv", "turn", "n", "q.level", F.col("q.hash").alias("passage"), F.explode("q.parts").alias("p"))
+    quoted = stored(quoted.select(*passage, "p.hash", "p.size").distinct())
     sayings = parsed.where("conv IS NOT NULL AND turn IS NOT NULL").select("conv", F.explode("said").alias("hash"), "turn")
     found = quoted.join(last_earlier(quoted.select("conv", "hash", "turn"), sayings), ["conv", "hash", "turn"])
+    by_turn = found.groupBy(*passage, "said_turn").agg(F.max(F.col("hash") == F.col("passage")).alias("whole"), F.sum("size").alias("size"))
+    found = by_turn.groupBy(*passage).agg(F.max_by("said_turn", F.struct("whole", "size", "said_turn")).alias("said_turn"))
     links = stored(found.groupBy("conv", "turn").agg(F.count("*").alias("n_linked"), F.min_by("said_turn", F.struct("level", "n")).alias("reply_to")))
     # Pointer jumping: every round halves the way to the root.
     up = stored(links.select("conv", "turn", F.col("reply_to").alias("root")))

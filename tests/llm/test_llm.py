@@ -340,6 +340,26 @@ def test_quotes_of_a_top_posted_chain(spark):
     assert got == {0: (0, "A text", 0, 0, None), 1: (0, "B text", 1, 1, 0), 2: (0, "C text", 2, 2, 1), 3: (0, "D text", 1, 1, 1)}
 
 
+def test_quotes_of_excerpts(spark):
+    rows = [
+        (1, 0, "user", "First paragraph here.\n\nSecond one, of\ntwo lines. And more.\nA last line\n\nThanks"),
+        (1, 1, "user", "Other words\n\nThanks"),
+        (1, 2, "user", "> First paragraph here.\n>\n> Second one, of\n> two lines. And more.\n> A last line\ntwo of three"),
+        (1, 3, "user", "> Second one, of\n> two lines. And more.\ntwo lines of a paragraph"),
+        (1, 4, "user", "> And more.\na sentence"),
+        (1, 5, "user", "> First paragraph here.\nanswer in\ntwo lines\n> A last line\nand this"),
+        (1, 6, "user", "> answer in\n> two lines\nyes"),
+        (1, 7, "user", "> A last line\n> Thanks\nmost of it is the first message's"),
+        (1, 8, "user", "> nobody said\n> any of this.\nno"),
+        (1, 9, "user", "> Second one, of two\n> lines. And\n> more.\nwrapped anew"),
+    ]
+    got = {r["turn"]: (r["root_turn"], r["n_quotes"], r["n_linked"], r["reply_to"]) for r in quotes.link(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()}
+    assert got == {
+        0: (0, 0, 0, None), 1: (1, 0, 0, None), 2: (0, 1, 1, 0), 3: (0, 1, 1, 0), 4: (0, 1, 1, 0), 5: (0, 2, 2, 0),
+        6: (0, 1, 1, 5), 7: (0, 1, 1, 0), 8: (8, 1, 0, None), 9: (0, 1, 1, 0),
+    }
+
+
 @pytest.mark.parametrize("width", [1024, 3])
 def test_last_earlier(spark, monkeypatch, width):
     monkeypatch.setattr(quotes, "WIDTH", width)
