@@ -6,8 +6,10 @@ place in it): the hash gives how many candidates pass before the next skip, so t
 word has its own skips.  The pieces then are others, of the same vocabulary, and decode to the same text.
 
 No piece of the vocabulary has a space mark after another character, so a text is encoded by words,
-each with the spaces before it.  The pieces of a word depend on nothing but the word and which of its
-candidates are skipped; a bounded table remembers them by both.
+each with the spaces before it.  The agendas of many words are processed at once, a step of all of them
+together: a table of costs has a row for each word, and a step takes the least cost of each row.  Words
+that are met more than once in a run of text share the agenda without skips; an occurrence whose first
+skip lies within it has an agenda of its own.  Nothing is remembered between runs of text.
 """
 
 from __future__ import annotations
@@ -15,7 +17,6 @@ from __future__ import annotations
 import heapq
 import math
 import re
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,39 +25,88 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphsearch.llm.tables import read
-from graphsearch.llm.wordbytes import mix
+from graphsearch.llm.tables import bounded, read
+from graphsearch.llm.wordbytes import mix, span_hashes
 from graphsearch.llm.wordbytes import pieces as runs
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, SEED = 0.1, 20240601
-#: Parses from which the table of remembered ones begins anew (words: twice as many); longer words are not remembered.
-MOST_REMEMBERED, LONGEST_REMEMBERED = 300_000, 64
-#: Words of a text that are looked up at once, and skips of a word that are drawn at once.
-RUN, DRAWN = 1 << 16, 8
-_ONCE, _LONG = -1, -2
-#: Words of at most so many characters keep their agenda as a list instead of a heap.
-SHORT = 40
-_NEVER = float("inf")
-_MARK = "▁"
+#: Characters that are encoded at once, and symbols of a table of agendas.
+RUN, TABLE = 1 << 19, 1 << 18
+#: Words of at most so many characters are rows of a table with so many columns; longer ones have an agenda as a heap.
+WIDTHS = (8, 16, 32, 64)
+_NEVER = np.int32(2**31 - 1)
 _WORD = re.compile(" +[^ ]*|[^ ]+")
-_M = (1 << 64) - 1
+_BETWEEN = re.compile("(?<=[^ ]) ")
+_MARK = "▁"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_M = (1 << 64) - 1
+#: Characters that the vocabulary lacks have numbers from here on, until they become bytes.
+_LACKING = 1 << 21
 
 
 class Vocabulary:
-    """Pieces with plain spaces for their space marks, scores, and the ids of bytes."""
+    """Pieces with plain spaces for their space marks, costs (the rank of the score, best first), the ids of bytes, and the merges."""
 
     def __init__(self, pieces: list[str], scores: list[float], bytes_at: list[int]):
-        self.bytes_at = bytes_at
         special = {i for i, s in enumerate(pieces) if re.fullmatch(r"<unk>|</?s>|<0x[0-9A-F]{2}>", s)}
-        self.ids = {s.replace(_MARK, " "): i for i, s in enumerate(pieces) if i not in special}
-        if any(" " in s.lstrip(" ") for s in self.ids):
+        ids = self.ids = {s.replace(_MARK, " "): i for i, s in enumerate(pieces) if i not in special}
+        if any(" " in s.lstrip(" ") for s in ids):
             raise ValueError("a piece goes on after a space: texts can't be encoded by words")
-        self.costs = {s: -scores[i] for s, i in self.ids.items()}
+        self.bytes_at = np.array(bytes_at, np.int32)
         self.text = [b"" if i in special else s.replace(_MARK, " ").encode() for i, s in enumerate(pieces)]
         for value, i in enumerate(bytes_at):
             self.text[i] = bytes([value])
+        #: The symbol of each character.
+        self.symbol = np.arange(_LACKING, _LACKING + 0x110000, dtype=np.int32)
+        for s, i in ids.items():
+            if len(s) == 1:
+                self.symbol[ord(s)] = i
+        rank = {x: k for k, x in enumerate(sorted({scores[i] for i in ids.values()}, reverse=True))}
+        self.cost = np.array([rank.get(x, 0) for x in scores], np.int32)
+        number = lambda s: ids.get(s, _LACKING + ord(s) if len(s) == 1 else None)
+        merges = [(a, b, i) for s, i in ids.items() for k in range(1, len(s)) if (a := number(s[:k])) is not None and (b := number(s[k:])) is not None]
+        self._index(np.array(merges, np.int64).reshape(-1, 3))
+        self.sizes = np.array([len(t) for t in self.text], np.int64)
+        self.begin = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.frombuffer(b"".join(self.text), np.uint8)
+
+    def _index(self, merges: np.ndarray) -> None:
+        """A table of merges by hash of the two symbols, at most a quarter full; the next place is tried where one is taken."""
+        bits = max(4, int(4 * len(merges)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.key = np.full(1 << bits, -1, np.int64)
+        self.into = np.zeros(1 << bits, np.int32)
+        key = merges[:, 0] << 32 | merges[:, 1]
+        at, left = self._place(key), np.arange(len(key))
+        while len(left):
+            free = self.key[at[left]] < 0
+            self.key[at[left[free]]] = key[left[free]]  # of several for one place, one is written
+            stays = self.key[at[left]] == key[left]
+            self.into[at[left[stays]]] = merges[left[stays], 2]
+            left = left[~stays]
+            at[left] = (at[left] + 1) & (len(self.key) - 1)
+
+    def _place(self, key: np.ndarray) -> np.ndarray:
+        return (key.view(np.uint64) * _ODD >> self.shift).astype(np.int64)
+
+    def merged(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """The piece of two symbols, -1 where there is none."""
+        key = one.astype(np.int64) << 32 | two
+        at = self._place(key)
+        found = self.key[at]
+        out = np.where(found == key, self.into[at], np.int32(-1))
+        open_ = np.flatnonzero((found != key) & (found >= 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & (len(self.key) - 1)
+            found = self.key[at[open_]]
+            same = found == key[open_]
+            out[open_[same]] = self.into[at[open_[same]]]
+            open_ = open_[~same & (found >= 0)]
+        return out
+
+    def price(self, merged: np.ndarray) -> np.ndarray:
+        return np.where(merged < 0, _NEVER, self.cost[merged])
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -67,72 +117,126 @@ class Vocabulary:
         return cls([p.id_to_piece(i) for i in every], [p.get_score(i) for i in every], [p.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
 
 
-class Encoder:
-    """Parses of words that are met again are numbered.  left counts the candidates that a parse took after its last skip; a parse with one more of them skipped is its child."""
+class Lists:
+    """Runs of values, all in one array: run k has count[k] values from begin[k]."""
 
+    def __init__(self, values: np.ndarray, count: np.ndarray):
+        self.values, self.count = values, count
+        self.begin = np.cumsum(count) - count
+
+
+def spread(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """begin[k], begin[k] + 1, … count[k] of them, for each k."""
+    return np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+
+
+class Encoder:
     def __init__(self, vocabulary: Vocabulary, dropout: float = 0.0, seed: int = 0):
         self.v = vocabulary
         self.seed = seed
         self.dropout = dropout
         self.log_passed = math.log1p(-dropout) if dropout < 1 else -math.inf
-        self.left = np.zeros(MOST_REMEMBERED + RUN, np.int64)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.whole: dict[str, int] = {}
-        self.children: dict[int, int] = {}
-        self.pieces: list[bytes] = []
-
-    def _parse(self, word: str, skips: int) -> tuple[bytes, int]:
-        """The pieces of a word as int32 bytes, and how many candidates were taken.  Bits of skips are the candidates to skip, by their order."""
-        symbols, taken = self._by_list(word, skips) if len(word) <= SHORT else self._by_heap(word, skips)
-        out = list(map(self.v.ids.get, symbols))
-        if None in out:
-            out = [i for s, known in zip(symbols, out, strict=True) for i in ([self.v.bytes_at[b] for b in s.encode()] if known is None else [known])]
-        return array("i", out).tobytes(), taken
-
-    def _remember(self, found: bytes, left: int) -> int:
-        number = len(self.pieces)
-        if number == len(self.left):
-            self.left = np.append(self.left, np.zeros(number, np.int64))
-        self.left[number] = left
-        self.pieces.append(found)
-        return number
-
-    def _by_list(self, word: str, skips: int) -> tuple[list[str], int]:
-        """Symbols after all merges, and how many candidates were taken.  The agenda is a cost for each neighbouring pair, so the first least one is next."""
-        cost = self.v.costs.get
-        symbol = list(word)
-        agenda = [cost(word[i : i + 2], _NEVER) for i in range(len(symbol) - 1)]
-        taken = 0
-        while agenda:
-            least = min(agenda)
-            if least == _NEVER:
-                break
-            i = agenda.index(least)
-            taken += 1
-            if skips and skips >> taken - 1 & 1:
-                agenda[i] = _NEVER
-                continue
-            merged = symbol[i] + symbol[i + 1]
-            symbol[i] = merged
-            del symbol[i + 1], agenda[i]
-            if i < len(agenda):
-                agenda[i] = cost(merged + symbol[i + 1], _NEVER)
-            if i:
-                agenda[i - 1] = cost(symbol[i - 1] + merged, _NEVER)
-        return symbol, taken
 
-    def _by_heap(self, word: str, skips: int) -> tuple[list[str], int]:
-        """The same for words of any length, in n log n steps."""
-        cost = self.v.costs.get
+    def passed(self, occurrence: np.ndarray, skip: int | np.ndarray) -> np.ndarray:
+        """How many candidates of occurrences pass between their skips of this number and the ones before."""
+        if not self.dropout:
+            return np.full(len(occurrence), 1 << 31, np.int64)
+        drawn = mix(occurrence + (np.atleast_1d(skip).astype(np.uint64) + np.uint64(1)) * _ODD) >> np.uint64(11)
+        return np.minimum(np.log((drawn + np.uint64(1)) * 2.0**-53) / self.log_passed, 1 << 31).astype(np.int64)
+
+    def agendas(self, symbols: np.ndarray, begin: np.ndarray, size: np.ndarray, occurrence: np.ndarray | None) -> tuple[Lists, np.ndarray]:
+        """The symbols that words of at most WIDTHS[-1] symbols end with, and how many candidates each took; without occurrences, none is skipped."""
+        n = len(begin)
+        left, taken = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        low = 0
+        for width in WIDTHS:
+            mine = np.flatnonzero((size > low) & (size <= width))
+            low = width
+            for k in range(0, len(mine), max(1, TABLE // width)):
+                some = mine[k : k + max(1, TABLE // width)]
+                table, length, taken[some] = self._table(symbols, begin[some], size[some], width, None if occurrence is None else occurrence[some])
+                left[some] = length
+                found.append((some, table))
+        out = Lists(np.zeros(int(left.sum()), np.int32), left)
+        for some, values in found:
+            out.values[spread(out.begin[some], left[some])] = values
+        return out, taken
+
+    def _table(self, symbols: np.ndarray, begin: np.ndarray, size: np.ndarray, width: int, occurrence: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Agendas of words of at most width symbols: their last symbols one word after another, how many of each word, and candidates taken."""
+        n, v = len(begin), self.v
+        column = np.arange(width)
+        alive = column < size[:, None]
+        # The column beyond the last stands for the end of any word; its symbol merges with none.
+        symbol = np.full((n, width + 1), -2, np.int32)
+        symbol[:, :width][alive] = symbols[spread(begin, size)]
+        row, at = np.nonzero(column < size[:, None] - 1)
+        merged = v.merged(symbol[row, at], symbol[row, at + 1])
+        into, cost = np.full((n, width), -1, np.int32), np.full((n, width), _NEVER, np.int32)
+        into[row, at], cost[row, at] = merged, v.price(merged)
+        after = np.where(column + 1 < size[:, None], column + 1, width).astype(np.int8)
+        before = np.broadcast_to(np.append(column - 1, 0), (n, width + 1)).astype(np.int8)
+        ended = np.zeros((n, width), np.int32)
+        taken, rows = np.zeros(n, np.int64), np.arange(n)  # rows: the words that the tables still hold
+        skip = np.zeros(n, np.int64)
+        until = None if occurrence is None else self.passed(occurrence, 0)
+        live = rows
+        while True:
+            i = (cost if len(live) == len(cost) else cost[live]).argmin(axis=1)
+            more = cost[live, i] != _NEVER
+            live, i = live[more], i[more]
+            if not len(live):
+                break
+            taken[rows[live]] += 1
+            act = live
+            if until is not None:
+                skipped = until[live] == 0
+                until[live] -= 1
+                if skipped.any():
+                    gone = live[skipped]
+                    cost[gone, i[skipped]] = _NEVER
+                    skip[gone] += 1
+                    until[gone] = self.passed(occurrence[rows[gone]], skip[gone])
+                    act, i = live[~skipped], i[~skipped]
+            if len(act):
+                piece = into[act, i]
+                j = after[act, i]
+                k = after[act, j]
+                h = before[act, i]
+                symbol[act, i] = piece
+                alive[rows[act], j] = False
+                cost[act, j] = _NEVER
+                after[act, i] = k
+                before[act, k] = i
+                # The new piece may merge with the symbol after it, and the symbol before with the piece.
+                later = h >= 0
+                act_h, h = act[later], h[later]
+                merged = v.merged(np.concatenate([piece, symbol[act_h, h]]), np.concatenate([symbol[act, k], piece[later]]))
+                price, m = v.price(merged), len(act)
+                into[act, i], cost[act, i] = merged[:m], price[:m]
+                into[act_h, h], cost[act_h, h] = merged[m:], price[m:]
+            if 2 * len(live) < len(cost):  # words that have ended leave the tables
+                over = np.ones(len(cost), bool)
+                over[live] = False
+                ended[rows[over]] = symbol[over, :width]
+                symbol, cost, into, after, before, rows, skip = symbol[live], cost[live], into[live], after[live], before[live], rows[live], skip[live]
+                until = None if until is None else until[live]
+                live = np.arange(len(rows))
+        ended[rows] = symbol[:, :width]
+        return ended[alive], alive.sum(axis=1), taken
+
+    def _by_heap(self, word: str, occurrence: np.uint64 | None) -> list[int]:
+        """The same for one word of any length, in n log n steps."""
+        v = self.v
+        ids, cost = v.ids, v.cost
         symbol: list[str | None] = list(word)
         n = len(symbol)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        agenda = [(c, i, word[i : i + 2]) for i in range(n - 1) if (c := cost(word[i : i + 2])) is not None]
+        agenda = [(int(cost[m]), i, word[i : i + 2]) for i in range(n - 1) if (m := ids.get(word[i : i + 2])) is not None]
         heapq.heapify(agenda)
-        skipped = skips.to_bytes(-(-max(skips.bit_length(), 3 * n + 1) // 8), "little")  # a merge makes at most two candidates
-        taken = 0
+        skips = self._skips(occurrence)
+        until = next(skips)
         while agenda:
             _, i, merged = heapq.heappop(agenda)
             left = symbol[i]
@@ -141,155 +245,193 @@ class Encoder:
             j = after[i]
             if j >= n or len(left) + len(symbol[j]) != len(merged):
                 continue  # one of the two has grown meanwhile
-            taken += 1
-            if skipped[taken - 1 >> 3] >> (taken - 1 & 7) & 1:
+            if until == 0:
+                until = next(skips)
                 continue
+            until -= 1
             symbol[i], symbol[j] = merged, None
             j = after[i] = after[j]
             if j < n:
                 before[j] = i
                 longer = merged + symbol[j]
-                if (c := cost(longer)) is not None:
-                    heapq.heappush(agenda, (c, i, longer))
+                if (m := ids.get(longer)) is not None:
+                    heapq.heappush(agenda, (int(cost[m]), i, longer))
             h = before[i]
             if h >= 0:
                 longer = symbol[h] + merged
-                if (c := cost(longer)) is not None:
-                    heapq.heappush(agenda, (c, h, longer))
-        return [s for s in symbol if s is not None], taken
-
-    def _passed(self, occurrence: np.ndarray, skip: int | np.ndarray) -> np.ndarray:
-        """How many candidates of occurrences pass between their skips of this number and the ones before."""
-        drawn = mix(occurrence + (np.atleast_1d(skip).astype(np.uint64) + np.uint64(1)) * _ODD) >> np.uint64(11)
-        return np.minimum(np.log((drawn + np.uint64(1)) * 2.0**-53) / self.log_passed, 1 << 31).astype(np.int64)
-
-    def _skipping(self, word: str, occurrence: np.uint64, at: list[int]) -> tuple[bytes, int, int]:
-        """A parse with the skips of an occurrence, of which the first are given: its pieces, how many skips it came to, and left."""
-        most = 3 * len(word)
-        if at and at[-1] < most:
-            at = (np.cumsum(self._passed(occurrence, np.arange(most)) + 1) - 1).tolist()
-        if most > 3 * LONGEST_REMEMBERED:
-            bits = np.zeros(most, np.uint8)
-            bits[[k for k in at if k < most]] = 1
-            skips = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
-        else:
-            skips = 0
-            for k in at:
-                if k >= most:
-                    break
-                skips |= 1 << k
-        found, taken = self._parse(word, skips)
-        n = 0
-        for k in at:
-            if k >= taken:
-                break
-            n += 1
-        return found, n, taken - (at[n - 1] + 1 if n else 0)
+                if (m := ids.get(longer)) is not None:
+                    heapq.heappush(agenda, (int(cost[m]), h, longer))
+        return [ids[s] if s in ids else _LACKING + ord(s) for s in symbol if s is not None]
+
+    def _skips(self, occurrence: np.uint64 | None) -> Iterator[int]:
+        """How many candidates pass before each skip."""
+        at = 0
+        while True:
+            if occurrence is None or not self.dropout:
+                yield 1 << 62
+                continue
+            yield from self.passed(np.array([occurrence]), np.arange(at, at + 64)).tolist()
+            at += 64
+
+    def document(self, keys: np.ndarray) -> np.ndarray:
+        return mix(mix(np.array([self.seed & _M], np.uint64)) ^ keys)
+
+    def encode_run(self, text: str, first: np.ndarray, document: np.ndarray, place: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts, one after another, and how many of each.
+
+        Text k is text[first[k] : first[k + 1]] and begins with the space that goes before any text, or goes on, at
+        its word number place, with a word.
+        """
+        chars = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        space = chars == 32
+        starts = space.copy()
+        starts[1:] &= ~space[:-1]
+        starts[first[:-1]] = True
+        begin = np.flatnonzero(starts)
+        size = np.diff(np.append(begin, len(chars)))
+        word = np.searchsorted(begin, first)  # each text's first word
+        number = np.arange(len(begin)) - np.repeat(word[:-1], np.diff(word)) + place
+        occurrence = mix(np.repeat(document, np.diff(word)) + number.astype(np.uint64) * _ODD)
+        symbols = self.v.symbol[chars]
+        # Equal words, by hash, then by their characters.
+        hashes = span_hashes(mix(chars.astype(np.uint64) + np.uint64(1)), begin, begin + size)
+        _, one, kind = np.unique(hashes, return_index=True, return_inverse=True)
+        as_one = size == size[one][kind]
+        same = np.zeros(len(chars), bool)
+        where = spread(begin[as_one], size[as_one])
+        same[where] = chars[where] == chars[spread(begin[one][kind[as_one]], size[as_one])]
+        as_one &= np.add.reduceat(same, begin, dtype=np.int64) == size if len(begin) else as_one
+        long = size > WIDTHS[-1]
+        short_one = np.flatnonzero(~long[one])
+        plain, taken = self.agendas(symbols, begin[one[short_one]], size[one[short_one]], None)
+        at = np.full(len(one), -1)
+        at[short_one] = np.arange(len(short_one))
+        at = at[kind]
+        own = ~long & (~as_one | (self.passed(occurrence, 0) < taken[np.maximum(at, 0)])) if len(taken) else ~long
+        apart, _ = self.agendas(symbols, begin[own], size[own], occurrence[own])
+        by_heap = [np.array(self._by_heap(text[begin[k] : begin[k] + size[k]], occurrence[k]), np.int32) for k in np.flatnonzero(long)]
+        heaps = Lists(np.concatenate(by_heap) if by_heap else np.zeros(0, np.int32), np.array([len(x) for x in by_heap], np.int64))
+        begin_of, count = np.zeros(len(begin), np.int64), np.zeros(len(begin), np.int64)
+        shared = ~(own | long)
+        begin_of[shared], count[shared] = plain.begin[at[shared]], plain.count[at[shared]]
+        begin_of[own], count[own] = len(plain.values) + apart.begin, apart.count
+        begin_of[long], count[long] = len(plain.values) + len(apart.values) + heaps.begin, heaps.count
+        ids = np.concatenate([plain.values, apart.values, heaps.values])[spread(begin_of, count)]
+        ends = np.append(0, np.cumsum(count))[word]
+        lacking = ids >= _LACKING
+        if lacking.any():
+            ids, ends = self._as_bytes(ids, lacking, ends)
+        return ids, np.diff(ends)
+
+    def _as_bytes(self, ids: np.ndarray, lacking: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Characters that the vocabulary lacks as the pieces of their UTF-8 bytes."""
+        char = np.where(lacking, ids - _LACKING, 0)
+        times = 1 + (lacking & (char >= 0x80)) + (lacking & (char >= 0x800)) + (lacking & (char >= 0x10000))
+        first = np.cumsum(times) - times
+        out = np.repeat(ids, times)
+        for k in np.unique(times[lacking]):
+            some = np.flatnonzero(lacking & (times == k))
+            c = char[some]
+            for b in range(k):
+                value = c >> 6 * (k - 1 - b)
+                lead = value | (0, 0, 0xC0, 0xE0, 0xF0)[k] if b == 0 else 0x80 | value & 0x3F
+                out[first[some] + b] = self.v.bytes_at[lead]
+        return out, np.append(0, np.cumsum(times))[ends]
+
+    def encode_all(self, texts: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and how many of each; of the empty text none.  keys tell documents apart."""
+        document = self.document(keys)
+        out, sizes = [np.zeros(0, np.int32)], np.zeros(len(texts), np.int64)
+        held: list[int] = []
+        length = 0
+
+        def flush() -> None:
+            if held:
+                ids, n = self.encode_run("".join(" " + texts[k] for k in held), np.append(0, np.cumsum([len(texts[k]) + 1 for k in held])), document[held])
+                out.append(ids)
+                sizes[held] = n
+                held.clear()
+
+        for k, text in enumerate(texts):
+            if not text:
+                continue
+            if length + len(text) > RUN:
+                flush()
+                length = 0
+            if len(text) <= RUN:
+                held.append(k)
+                length += len(text) + 1
+                continue
+            whole, at, place = " " + text, 0, 0
+            while at < len(whole):  # a long text is cut between words
+                cut = _BETWEEN.search(whole, at + RUN)
+                to = cut.start() if cut else len(whole)
+                part = whole[at:to]
+                ids, n = self.encode_run(part, np.array([0, len(part)]), document[k : k + 1], place)
+                out.append(ids)
+                sizes[k] += n[0]
+                place += len(_WORD.findall(part))
+                at = to
+        flush()
+        return np.concatenate(out), sizes
 
     def encode(self, text: str, key: int = 0) -> np.ndarray:
-        """Ids of the text's pieces; of the empty text none.  key tells documents apart."""
-        if not text:
-            return np.zeros(0, np.int32)
-        words = _WORD.findall(" " + text)
-        document = mix(mix(np.array([self.seed & _M], np.uint64)) ^ np.array([key & _M], np.uint64))
-        out: list[bytes] = []
-        for at in range(0, len(words), RUN):
-            mine = words[at : at + RUN]
-            out += self._encode_run(mine, mix(document + np.arange(at, at + len(mine), dtype=np.uint64) * _ODD))
-        return np.frombuffer(b"".join(out), np.int32)
-
-    def _encode_run(self, words: list[str], occurrence: np.ndarray) -> list[bytes]:
-        if len(self.pieces) >= MOST_REMEMBERED or len(self.whole) >= 2 * MOST_REMEMBERED:
-            self._forget()
-        whole = self.whole
-        got = np.array([_LONG if x is None else x for x in map(whole.get, words)], np.int64)
-        apart: list[int] = []  # long words, and words that are met for the first time
-        for k in np.flatnonzero(got < 0).tolist():
-            word = words[k]
-            found = whole.get(word)
-            if found is None:
-                apart.append(k)
-                if len(word) <= LONGEST_REMEMBERED:
-                    whole[word] = _ONCE
-            elif found == _ONCE:
-                found = whole[word] = self._remember(*self._parse(word, 0))
-            got[k] = _LONG if found is None else found
-        out: dict[int, bytes] = {}
-        drawn = self._drawn(occurrence, apart)
-        for k, at in zip(apart, drawn, strict=True):
-            out[k] = self._skipping(words[k], occurrence[k], at)[0]
-        if self.dropout:
-            live, skip = np.flatnonzero(got >= 0), 0
-            while True:
-                passed = self._passed(occurrence[live], skip)
-                more = passed < self.left[got[live]]
-                live = live[more]
-                if not len(live):
-                    break
-                keys = (got[live] << 8 | passed[more]).tolist()  # a remembered word has fewer than 3 * 64 candidates
-                found = list(map(self.children.get, keys))
-                missing = [n for n, x in enumerate(found) if x is None]
-                places = live[missing].tolist()
-                for n, k, at in zip(missing, places, self._drawn(occurrence, places), strict=True):
-                    child = self.children.get(keys[n])
-                    if child is None:
-                        out[k], skips, left = self._skipping(words[k], occurrence[k], at)
-                        child = _LONG
-                        if skips == skip + 1:
-                            child = self.children[keys[n]] = self._remember(out[k], left)
-                    found[n] = child
-                got[live] = found
-                live = live[got[live] >= 0]
-                skip += 1
-        pieces = self.pieces
-        return [out[k] if x < 0 else pieces[x] for k, x in enumerate(got.tolist())]
-
-    def _drawn(self, occurrence: np.ndarray, places: list[int]) -> list[list[int]]:
-        """The first DRAWN candidates to skip of each occurrence at these places."""
-        if not self.dropout:
-            return [[] for _ in places]
-        return (np.cumsum(self._passed(occurrence[places][:, None], np.arange(DRAWN)) + 1, axis=1) - 1).tolist()
+        return self.encode_all([text], np.array([key & _M], np.uint64))[0]
 
-    def decode(self, ids) -> str:
-        return self.decode_bytes(ids).decode()[1:]
+    def decode_all(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of texts, one after another, and how many of each; each text but the empty one begins with the space that encoding puts before it."""
+        size = self.v.sizes[ids]
+        ends = np.append(0, np.cumsum(size))[np.append(0, np.cumsum(sizes))]
+        return self.v.flat[spread(self.v.begin[ids], size)], np.diff(ends)
 
-    def decode_bytes(self, ids) -> bytes:
-        """The text's bytes, after the space that encoding puts before any text but the empty one."""
-        return b"".join(map(self.v.text.__getitem__, ids))
+    def decode(self, ids) -> str:
+        return b"".join(map(self.v.text.__getitem__, ids)).decode()[1:]
+
+    def lossless(self, texts: list[str], ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Whether each text is what its ids decode to."""
+        found, n = self.decode_all(ids, sizes)
+        want = [(" " + t).encode() if t else b"" for t in texts]
+        length = np.array([len(w) for w in want], np.int64)
+        begin = np.cumsum(n) - n
+        whole = n == length
+        if whole.all():
+            wrong = np.append(0, np.cumsum(found != np.frombuffer(b"".join(want), np.uint8)))
+            return wrong[begin + n] == wrong[begin]
+        for k in np.flatnonzero(whole):
+            whole[k] = found[begin[k] : begin[k] + n[k]].tobytes() == want[k]
+        return whole
 
 
 def encode_texts(docs: DataFrame, vocabulary: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each row of docs: id, ids (array of int), n_tokens, lossless (whether the ids decode to the text).
 
     Every row's ids are decoded and compared with its text.  Null texts have null ids, count 0 tokens
-    and are lossless; the empty text has no id.  What is
-    skipped in a word depends on the row's id and the word's place; rows without id count as one document.
-    White space, characters beyond the vocabulary (as bytes) and the space mark itself all come back.
+    and are lossless; the empty text has no id.  What is skipped in a word depends on the row's id and
+    the word's place; rows without id count as one document.  White space, characters beyond the
+    vocabulary (as bytes) and the space mark itself all come back.  No row gives no row, repeated rows
+    are each answered, and no other column of docs is read.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(Vocabulary.load(vocabulary))  # of the vocabulary's fixed size
     source = docs.select(F.col(f"`{id}`").alias("id"), F.coalesce(F.xxhash64(F.col(f"`{id}`")), F.lit(0)).alias("key"), F.col(f"`{text}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value, dropout, seed)  # the words that it remembers go with the task, as workers serve other stages
+        encoder = Encoder(shared.value, dropout, seed)
         for batch in batches:
-            for piece in runs(batch, "text", 1 << 20):
-                ids, sizes, whole = [], [], []
-                for key, value in zip(piece.column("key").to_pylist(), piece.column("text").to_pylist(), strict=True):
-                    found = encoder.encode(value or "", key)
-                    ids.append(found)
-                    sizes.append(len(found))
-                    whole.append(encoder.decode_bytes(found.tolist()) == (f" {value}".encode() if value else b""))
+            for piece in runs(batch, "text", 4 * RUN):
+                texts = [value or "" for value in piece.column("text").to_pylist()]
+                ids, sizes = encoder.encode_all(texts, np.asarray(piece.column("key"), dtype=np.int64).view(np.uint64))
+                whole = encoder.lossless(texts, ids, sizes)
                 ends = np.append(0, np.cumsum(sizes)).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)), mask=piece.column("text").is_null())
-                yield pa.RecordBatch.from_arrays([piece.column("id"), lists, pa.array(sizes, pa.int64()), pa.array(whole)], ["id", "ids", "n_tokens", "lossless"])
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids), mask=piece.column("text").is_null())
+                yield pa.RecordBatch.from_arrays([piece.column("id"), lists, pa.array(sizes), pa.array(whole)], ["id", "ids", "n_tokens", "lossless"])
 
     schema = T.StructType([source.schema["id"], *T.StructType.fromDDL("ids array<int>, n_tokens bigint, lossless boolean").fields])
-    return source.mapInArrow(run, schema).withColumnRenamed("id", id)
+    return source.mapInArrow(bounded(run), schema).withColumnRenamed("id", id)
 
 
 def decode_ids(encoded: DataFrame, vocabulary: str = MODEL, ids: str = "ids") -> DataFrame:
-    """The columns of encoded and text; null ids have a null text, and ids beyond the vocabulary no text."""
+    """The columns of encoded and text (one of that name is left out); null ids have a null text, and ids beyond the vocabulary no text."""
     shared = encoded.sparkSession.sparkContext.broadcast(Vocabulary.load(vocabulary))
     source = encoded.select(*(F.col(f"`{c}`") for c in encoded.columns if c != "text"))
 
@@ -300,8 +442,35 @@ def decode_ids(encoded: DataFrame, vocabulary: str = MODEL, ids: str = "ids") ->
             texts = [None if x is None else encoder.decode([i for i in x if i is not None and 0 <= i < n]) for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "text"])
 
-    return source.mapInArrow(run, T.StructType([*source.schema.fields, T.StructField("text", T.StringType())]))
+    return source.mapInArrow(bounded(run), T.StructType([*source.schema.fields, T.StructField("text", T.StringType())]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(read(spark, sf_dir, "documents"))
+
+
+def brute_force(vocabulary: Vocabulary, text: str, key: int, dropout: float, seed: int) -> list[int]:
+    """The ids of one text, word by word, each with a list of its pairs that is searched for the best at every step."""
+    encoder = Encoder(vocabulary, dropout, seed)
+    document = encoder.document(np.array([key & _M], np.uint64))
+    out: list[int] = []
+    for place, word in enumerate(_WORD.findall(" " + text) if text else []):
+        skips = encoder._skips(mix(document + np.array([place], np.uint64) * _ODD)[0])
+        symbols, dropped = list(word), [False] * len(word)
+        until = next(skips)
+        while True:
+            open_ = [(int(vocabulary.cost[vocabulary.ids[p]]), i) for i in range(len(symbols) - 1) if not dropped[i] and (p := symbols[i] + symbols[i + 1]) in vocabulary.ids]
+            if not open_:
+                break
+            _, i = min(open_)
+            if until == 0:
+                dropped[i], until = True, next(skips)
+                continue
+            until -= 1
+            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+            dropped[i : i + 2] = [False]
+            if i:
+                dropped[i - 1] = False
+        for s in symbols:
+            out += [vocabulary.ids[s]] if s in vocabulary.ids else [int(vocabulary.bytes_at[b]) for b in s.encode()]
+    return out

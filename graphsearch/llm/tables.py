@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
+import sys
 import tempfile
 import time
 import uuid
@@ -52,6 +54,27 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bounded(run):
+    """A function for mapInArrow whose worker gives back the memory that its batches took; workers serve later stages, and would keep it."""
+
+    def kept(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return kept
+
+
+def give_back() -> None:
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark remove the shuffle files of finished steps now; else they stay until the driver next collects its garbage."""
     for _ in range(2):  # what the first collection drops holds what the second can

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from graphsearch.llm import components, decontaminate, license_scan, merges, minhash, permutation_index, quotes, resample, substring, toxicity, url_filter, wordbytes
+from graphsearch.llm import components, decontaminate, license_scan, minhash, permutation_index, quotes, resample, substring, toxicity, url_filter, wordbytes
 
 DOCS = "doc_id bigint, text string, rule string, score double, host string"
 
@@ -142,80 +142,6 @@ def test_urls(spark):
     assert {r["verdict"] for r in url_filter.apply_rules(pages, [], "block").collect()} == {"block"}
 
 
-def test_merges_without_dropout_are_the_librarys():
-    import sentencepiece
-
-    p = sentencepiece.SentencePieceProcessor(model_file=merges.MODEL)
-    vocabulary = merges.Vocabulary.load(merges.MODEL)
-    plain, dropped = merges.Encoder(vocabulary), merges.Encoder(vocabulary, 0.3, 7)
-    texts = ["hello world", "  two  spaces ", "日本語 ①\n\tx", "é́ ﬁ", "x" * 300, " ", "", "The quick brown fox, 12345!"]
-    for t in texts:
-        assert plain.encode(t).tolist() == p.encode(t)
-    varied = 0
-    for t in [*texts, "a▁b ▁", "\0\x01"]:
-        for key in range(4):
-            ids = dropped.encode(t, key).tolist()
-            assert dropped.decode(ids) == t
-            varied += ids != plain.encode(t).tolist()
-    assert varied > 4
-
-
-def test_both_agendas_give_the_same_pieces():
-    rng = random.Random(4)
-    vocabulary = merges.Vocabulary.load(merges.MODEL)
-    for dropout in (0.0, 0.1, 0.5):
-        encoder = merges.Encoder(vocabulary, dropout, 7)
-        for _ in range(300):
-            word = " " * rng.randrange(3) + "".join(rng.choice("thearin.é▁日") for _ in range(rng.randrange(60)))
-            base = rng.getrandbits(32)
-            assert encoder._by_list(word, base) == encoder._by_heap(word, base)
-
-
-def test_every_occurrence_has_its_own_skips(monkeypatch):
-    vocabulary = merges.Vocabulary.load(merges.MODEL)
-    encoder = merges.Encoder(vocabulary, 0.3, 7)
-    parses = {encoder.encode("international", key).tobytes() for key in range(300)}
-    assert len(parses) > 20
-    one = encoder.encode("international " * 300, 1)
-    assert encoder.encode("international " * 300, 1).tolist() == one.tolist() and encoder.decode(one.tolist()) == "international " * 300
-    # What is remembered makes no difference, and skips are those of the hash.
-    rng = random.Random(9)
-    words = ["".join(rng.choice("thearin.é▁日") for _ in range(rng.choice([1, 3, 8, 30, 70, 90]))) for _ in range(60)]
-    texts = [" ".join(rng.choice(words) for _ in range(200)) for _ in range(12)]
-    warm = [encoder.encode(t, k) for k, t in enumerate(texts)]
-    monkeypatch.setattr(merges, "MOST_REMEMBERED", 5)
-    monkeypatch.setattr(merges, "RUN", 16)
-    monkeypatch.setattr(merges, "DRAWN", 1)
-    cold = merges.Encoder(vocabulary, 0.3, 7)
-    for k, t in enumerate(texts):
-        assert cold.encode(t, k).tolist() == warm[k].tolist() and cold.decode(warm[k].tolist()) == t
-    passed = encoder._passed(np.arange(100_000, dtype=np.uint64), 0)
-    assert all(abs(np.mean(passed >= n) - 0.7**n) < 0.01 for n in range(6))
-
-
-def test_encode_texts(spark):
-    docs = documents(spark, [(1, "some words here"), (2, None), (3, ""), (None, "x"), (1, "some words here")])
-    encoded = merges.encode_texts(docs)
-    rows = encoded.collect()
-    assert len(rows) == 5 and rows[0]["ids"] == rows[4]["ids"]
-    back = {(r["doc_id"], r["text"], r["n_tokens"] > 0) for r in merges.decode_ids(encoded).collect()}
-    assert back == {(1, "some words here", True), (2, None, False), (3, "", False), (None, "x", True)}
-
-
-def test_every_row_is_decoded(spark, monkeypatch):
-    docs = documents(spark, [(1, "two  words "), (2, None), (3, ""), (4, "a▁b \n日")])
-    assert {r["doc_id"]: r["lossless"] for r in merges.encode_texts(docs).collect()} == {1: True, 2: True, 3: True, 4: True}
-    load = merges.Vocabulary.load
-
-    def wrong(path):
-        vocabulary = load(path)
-        vocabulary.text = [b"b" if x == b"a" else x for x in vocabulary.text]
-        return vocabulary
-
-    monkeypatch.setattr(merges.Vocabulary, "load", wrong)
-    assert {r["doc_id"]: r["lossless"] for r in merges.encode_texts(docs, dropout=1.0).collect()} == {1: True, 2: True, 3: True, 4: False}
-
-
 def test_nearest(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 16))
