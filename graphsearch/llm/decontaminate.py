@@ -1,13 +1,13 @@
 """Benchmark decontamination with suffix arrays of the training text.
 
 A shard is a run of whole documents.  Each shard's words become a suffix array; every suffix of every
-benchmark item is binary-searched in it, which gives its longest verbatim match, all places of it, and
-all places of its window (its first words).  Shards are independent of each other: nothing is shuffled
-and a lost shard is built again from its documents.
+benchmark item is binary-searched in it, which gives all places that share its window (its first words),
+and each is followed to the end of its verbatim match.  These maximal matches, with their places, decide
+which words and which items of a document are hit, and with that which documents go.  Shards are
+independent of each other: nothing is shuffled and a lost shard is built again from its documents.
 
 The array is sparse: it holds the suffixes that begin as some benchmark suffix does, with the same
-first words, since no other can match a window.  It is sorted by as many words as the longest item
-has, so that neighbours of the place of a suffix are its longest matches.
+first words, since no other can match a window.  Words are compared one by one, each by 64 bits.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphsearch.llm.tables import read, stored
+from graphsearch.llm.tables import map_arrow, read, stored, without
 from graphsearch.llm.wordbytes import ALNUM_FOLDED, Words, grams, inside, pieces
 
 WINDOW = 8
@@ -30,6 +30,8 @@ WINDOW = 8
 BLOCK_BYTES = 32 << 20
 #: Text bytes of a shard; one longer document is a shard by itself.
 SHARD_BYTES = 4 << 20
+#: Places of suffixes in a shard that are followed at once (or those of one suffix).
+MOST_PAIRS = 1 << 18
 _SEED = 3
 
 
@@ -136,17 +138,6 @@ class SuffixArray:
             high[busy[~lower]] = middle[~lower]
         return low
 
-    def common(self, rank: np.ndarray, other: np.ndarray, at: np.ndarray, most: np.ndarray) -> np.ndarray:
-        """Words that the suffix of that rank shares with other[at:], at most so many."""
-        out = np.zeros(len(at), np.int64)
-        todo = np.flatnonzero((rank >= 0) & (rank < len(self.order)))
-        k = 0
-        while len(todo := todo[k < most[todo]]):
-            todo = todo[self.word(self.order[rank[todo]] + k) == other[at[todo] + k]]
-            k += 1
-            out[todo] = k
-        return out
-
 
 @dataclass
 class Shard:
@@ -175,40 +166,80 @@ class Shard:
         return SuffixArray(self.text, self.place[found], block.longest)
 
 
-def window_hits(shard: Shard, block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """Covered words (true by word number), and the distinct pairs (document, item) as rows."""
-    array = shard.array(block)
-    hit = np.zeros(len(shard.words) + 1, np.int64)
-    if not len(array.order):
-        return hit[:-1] > 0, np.zeros((0, 2), np.int64)
-    low = array.bound(block.words, block.at, block.length, False)
-    high = array.bound(block.words, block.at, block.length, True)
-    some = np.flatnonzero(high > low)
-    times = (high - low)[some]
-    which = np.repeat(some, times)
-    rank = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times) + low[which]
-    number = shard.number[array.order[rank]]
-    np.add.at(hit, number, 1)
-    np.add.at(hit, number + block.length[which], -1)
-    pairs = np.unique(np.stack([shard.words.doc[number], block.item[block.at[which]]], axis=1), axis=0)
-    return np.cumsum(hit[:-1]) > 0, pairs
+@dataclass
+class Matches:
+    """Maximal matches: document, item, first word in the document and in the item, words."""
+
+    doc: np.ndarray
+    item: np.ndarray
+    doc_word: np.ndarray
+    item_word: np.ndarray
+    size: np.ndarray
 
 
-def longest(shard: Shard, block: Block) -> Iterator[tuple[int, int, int, int, int]]:
-    """For each benchmark suffix with a window here: item, its word, words matched, document, its word; one place a suffix."""
+def search_shard(shard: Shard, block: Block) -> Matches:
+    """Every verbatim match of at least a window that can't be made longer.
+
+    Each benchmark suffix is binary-searched for its window; of the places that begin with it, those
+    that go on from a match of the suffix before it are left out, and the others are followed to the
+    match's end.
+    """
     array = shard.array(block)
-    if not len(array.order):
-        return
-    ends = np.flatnonzero(block.words == 0)
-    rest = ends[np.searchsorted(ends, block.at)] - block.at
-    rank = array.bound(block.words, block.at, rest, False)
-    here, before = array.common(rank, block.words, block.at, rest), array.common(rank - 1, block.words, block.at, rest)
-    best, size = np.where(here >= before, rank, rank - 1), np.maximum(here, before)
-    first = np.append(0, ends + 1)
-    for k in np.flatnonzero(size >= block.length):
-        number = shard.number[array.order[best[k]]]
-        doc, item = shard.words.doc[number], block.item[block.at[k]]
-        yield int(item), int(block.at[k] - first[item]), int(size[k]), int(doc), int(number - shard.words.first[doc])
+    parts: list[tuple[np.ndarray, ...]] = []
+    if len(array.order):
+        low = array.bound(block.words, block.at, block.length, False)
+        high = array.bound(block.words, block.at, block.length, True)
+        ends = np.flatnonzero(block.words == 0)
+        rest = ends[np.searchsorted(ends, block.at)] - block.at
+        some = np.flatnonzero(high > low)
+        upto = np.cumsum((high - low)[some])
+        k = 0
+        while k < len(some):
+            z = max(k + 1, int(np.searchsorted(upto, (upto[k - 1] if k else 0) + MOST_PAIRS, side="right")))
+            mine = some[k:z]
+            times = (high - low)[mine]
+            which = np.repeat(mine, times)
+            rank = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times) + low[which]
+            place, at = array.order[rank], block.at[which]
+            before = np.where(place > 0, shard.text[place - 1], 0)
+            fresh = (before == 0) | (at == 0) | (before != block.words[at - 1])
+            which, rank, place, at = which[fresh], rank[fresh], place[fresh], at[fresh]
+            size = block.length[which].copy()
+            todo = np.arange(len(which))
+            while len(todo := todo[size[todo] < rest[which[todo]]]):
+                todo = todo[array.word(place[todo] + size[todo]) == block.words[at[todo] + size[todo]]]
+                size[todo] += 1
+            parts.append((shard.number[place], at, size))
+            k = z
+    number, at, size = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 3
+    doc, item = shard.words.doc[number], block.item[at]
+    first = np.append(0, np.flatnonzero(block.words == 0) + 1)
+    return Matches(doc, item, number - shard.words.first[doc], at - first[item], size)
+
+
+def covered(shard: Shard, found: Matches) -> np.ndarray:
+    """Which of the shard's words are in a match."""
+    hit = np.zeros(len(shard.words) + 1, np.int64)
+    number = found.doc_word + shard.words.first[found.doc]
+    np.add.at(hit, number, 1)
+    np.add.at(hit, number + found.size, -1)
+    return np.cumsum(hit[:-1]) > 0
+
+
+def longest(found: Matches, names: list[str], n_docs: int) -> list[list[dict]]:
+    """For each document its items, by name: words of the longest match, its first word in the item, and all its places in the document."""
+    out: list[dict[str, dict]] = [{} for _ in range(n_docs)]
+    for k in np.lexsort([found.doc_word, found.item_word, -found.size]).tolist():
+        mine, item = out[found.doc[k]], names[found.item[k]]
+        known = mine.get(item)
+        if known is None:
+            mine[item] = {"item": item, "n_words": int(found.size[k]), "item_word": int(found.item_word[k]), "doc_words": [int(found.doc_word[k])]}
+        elif known["n_words"] == found.size[k] and found.doc_word[k] not in known["doc_words"][-1:]:
+            known["doc_words"].append(int(found.doc_word[k]))
+    for mine in out:
+        for known in mine.values():
+            known["doc_words"] = sorted(set(known["doc_words"]))
+    return [[mine[i] for i in sorted(mine)] for mine in out]
 
 
 def _blocks(benchmark: DataFrame, item: str, text: str, window: int) -> list:
@@ -221,18 +252,25 @@ def _blocks(benchmark: DataFrame, item: str, text: str, window: int) -> list:
     return [spark.sparkContext.broadcast(pickle.dumps(make_block(sorted((r["item"], r["text"]) for r in part.collect()), window))) for part in parts]
 
 
+_SPANS = "array<struct<from:bigint,to:bigint>>"
+_LONGEST = "array<struct<item:string,n_words:bigint,item_word:bigint,doc_words:array<bigint>>>"
+
+
 def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """A row for each row of docs: id, n_words, spans (array of [from, to) word numbers that windows cover), items (array of item ids, sorted as strings).
+    """A row for each row of docs: id, n_words, spans (array of [from, to) word numbers that matches cover), longest (for each item with a match of a window, sorted as strings: item, n_words, item_word, doc_words).
 
-    Null and empty texts have no words.  Items without words, without text or without id take no
-    part; items of fewer words than the window are windows as a whole; items that repeat an id count
-    once for it.  An empty benchmark leaves every document clean.  Only the two named columns of docs are read.
+    longest gives the words of the item's longest verbatim match with the document, where it begins
+    in the item (first place), and every word of the document where it begins.  Null and empty texts
+    have no words.  Items without words, without text or without id take no part; items of fewer
+    words than the window are windows as a whole; items that repeat an id count once for it.  An
+    empty benchmark leaves every document clean.  Only the two named columns of docs are read.
     """
     blocks = _blocks(benchmark, item, item_text, window)
     source = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"))
     id_type = source.schema["id"].dataType
-    schema = f"id {id_type.simpleString()}, n_words bigint, spans array<struct<from:bigint,to:bigint>>, items array<string>"
+    schema = f"id {id_type.simpleString()}, n_words bigint, spans {_SPANS}, longest {_LONGEST}"
     span_type = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
+    longest_type = pa.list_(pa.struct([("item", pa.string()), ("n_words", pa.int64()), ("item_word", pa.int64()), ("doc_words", pa.list_(pa.int64()))]))
 
     def run(block_bytes):
         def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,7 +278,8 @@ def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id: str
             for batch in batches:
                 for piece in pieces(batch, "text", SHARD_BYTES):
                     shard = Shard.of(piece.column("text"))
-                    hit, pairs = window_hits(shard, block)
+                    found = search_shard(shard, block)
+                    hit = covered(shard, found)
                     edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
                     inner = np.flatnonzero(hit[1:] & hit[:-1] & (shard.words.doc[1:] != shard.words.doc[:-1])) + 1 if len(hit) else edge
                     edge = np.sort(np.concatenate([edge, inner, inner]))
@@ -249,74 +288,58 @@ def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id: str
                     base = shard.words.first[doc]
                     span = pa.StructArray.from_arrays([pa.array(begin - base), pa.array(end - base)], ["from", "to"])
                     spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(len(piece) + 1)), pa.int32()), span).cast(span_type)
-                    names = np.array(block.ids, dtype=object)[pairs[:, 1]] if len(pairs) else np.zeros(0, object)
-                    order = np.lexsort([names.astype(str), pairs[:, 0]]) if len(pairs) else np.zeros(0, np.int64)
-                    doc_of = pairs[order, 0]
-                    name = names[order]
-                    fresh = np.ones(len(name), bool)
-                    fresh[1:] = (doc_of[1:] != doc_of[:-1]) | (name[1:] != name[:-1])
-                    items = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc_of[fresh], np.arange(len(piece) + 1)), pa.int32()), pa.array(name[fresh], pa.string()))
-                    yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array(shard.words.count), spans, items], ["id", "n_words", "spans", "items"])
+                    yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array(shard.words.count), spans, pa.array(longest(found, block.ids, len(piece)), longest_type)], ["id", "n_words", "spans", "longest"])
 
-        return source_keyed.mapInArrow(shards, schema)
+        return map_arrow(source_keyed, shards, schema)
 
     if len(blocks) == 1:
         source_keyed = source
         return run(blocks[0]).withColumnRenamed("id", id)
-    # Several blocks: what each found is put together by row.
+    # Several blocks: what each found is put together by row; an item is in one block.
     source_keyed = stored(source.select(F.struct("id", F.monotonically_increasing_id().alias("row")).alias("id"), "text"))
-    schema = f"id struct<id:{id_type.simpleString()},row:bigint>, n_words bigint, spans array<struct<from:bigint,to:bigint>>, items array<string>"
+    schema = f"id struct<id:{id_type.simpleString()},row:bigint>, n_words bigint, spans {_SPANS}, longest {_LONGEST}"
     found = run(blocks[0])
     for block in blocks[1:]:
         found = found.unionAll(run(block))
     merged = F.aggregate(
         F.array_sort(F.flatten(F.collect_list("spans"))),
-        F.array().cast("array<struct<from:bigint,to:bigint>>"),
+        F.array().cast(_SPANS),
         lambda done, s: F.when(
             (F.size(done) > 0) & (F.element_at(done, -1)["to"] >= s["from"]),
             F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["from"].alias("from"), F.greatest(F.element_at(done, -1)["to"], s["to"]).alias("to")))),
         ).otherwise(F.concat(done, F.array(s))),
     )
-    return found.groupBy("id").agg(F.max("n_words").alias("n_words"), merged.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")).select(F.col("id.id").alias(id), "n_words", "spans", "items")
+    return found.groupBy("id").agg(F.max("n_words").alias("n_words"), merged.alias("spans"), F.array_sort(F.flatten(F.collect_list("longest"))).alias("longest")).select(F.col("id.id").alias(id), "n_words", "spans", "longest")
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """For each item with a match of a window's length: item, item_word, n_words, doc (as text), doc_word of its longest match over all shards; ties go to the first place of the item, then the least document."""
-    source = docs.select(F.col(f"`{id}`").cast("string").alias("id"), F.col(f"`{text}`").alias("text"))
-
-    def run(block_bytes):
-        def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            block = pickle.loads(block_bytes.value)
-            for batch in batches:
-                for piece in pieces(batch, "text", SHARD_BYTES):
-                    ids = piece.column("id")
-                    rows = [(block.ids[i], w, n, ids[d].as_py(), dw) for i, w, n, d, dw in longest(Shard.of(piece.column("text")), block)]
-                    if rows:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64()), strict=True)], ["item", "item_word", "n_words", "doc", "doc_word"])
-
-        return source.mapInArrow(shards, "item string, item_word bigint, n_words bigint, doc string, doc_word bigint")
-
-    runs = [run(b) for b in _blocks(benchmark, item, item_text, window)]
-    found = runs[0]
-    for more in runs[1:]:
-        found = found.unionAll(more)
-    best = F.min(F.struct((-F.col("n_words")).alias("m"), "item_word", "doc", "doc_word", "n_words"))
-    return found.groupBy("item").agg(best.alias("b")).select(F.col("item").alias(item), "b.item_word", "b.n_words", "b.doc", "b.doc_word")
+    """For each item with a match of a window: item (as text), n_words, item_word, id, doc_word of its longest match over all documents, a row for each of its places."""
+    found = search(docs, benchmark, window, id, text, item, item_text).select(F.col(f"`{id}`").alias("doc"), F.explode("longest").alias("m"))
+    flat = found.select("m.item", "m.n_words", "m.item_word", "doc", F.explode("m.doc_words").alias("doc_word"))
+    best = flat.groupBy("item").agg(F.max("n_words").alias("n_words"))
+    return flat.join(best, ["item", "n_words"]).select(F.col("item").alias(item), "n_words", "item_word", F.col("doc").alias(id), "doc_word")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, min_items: int = 1, window: int = WINDOW, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the rows in which windows of so many items occur, by default of any; all its columns stay, and rows with a null or empty text.
+    """docs without the rows in which so many items have a match of a window, by default any; all its columns stay, whatever their names, and rows with a null or empty text.
 
     A row of docs goes if its id is not null and is the id of an affected row.
     """
-    hits = search(docs, benchmark, window, id, text).where(F.size("items") >= min_items).select(F.col(id).alias("affected_id")).distinct()
-    return docs.join(stored(hits), F.col(f"`{id}`") == F.col("affected_id"), "left_anti")
+    hits = search(docs.select(id, text), benchmark, window, id, text).where(F.size("longest") >= min_items)
+    return without(docs, id, hits.select(id))
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The columns of the contract, and the words of the document's longest match and where it first begins (null without one)."""
     found = search(docs, benchmark)
-    covered = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["to"] - s["from"])
-    return found.select("doc_id", "n_words", covered.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("items") >= 2).alias("contaminated"))
+    words_hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["to"] - s["from"])
+    items = F.transform("longest", lambda m: m["item"])
+    most = F.array_max(F.transform("longest", lambda m: m["n_words"]))
+    at = F.array_min(F.flatten(F.transform(F.filter("longest", lambda m: m["n_words"] == F.array_max(F.transform("longest", lambda n: n["n_words"]))), lambda m: m["doc_words"])))
+    return found.select(
+        "doc_id", "n_words", words_hit.alias("n_hit"), F.size("longest").cast("bigint").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
+        (F.size("longest") >= 2).alias("contaminated"), F.coalesce(most, F.lit(0).cast("bigint")).alias("longest_words"), at.alias("longest_at"),
+    )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -340,7 +363,18 @@ def brute_force(docs: list[tuple[object, str | None]], items: list[tuple[object,
                 if tuple(words[k : k + n]) == window_words:
                     hit.update(range(k, k + n))
                     names.add(name)
-        out.append((doc, len(words), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), len(names) >= 2))
+        runs = []
+        for name, t in items:
+            theirs = split(t) if name is not None else []
+            for i in range(len(words)):
+                for j in range(len(theirs)):
+                    n = 0
+                    while i + n < len(words) and j + n < len(theirs) and words[i + n] == theirs[j + n]:
+                        n += 1
+                    if n and n >= min(window, len(theirs)):
+                        runs.append((-n, i))
+        best = min(runs, default=(0, None))
+        out.append((doc, len(words), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), len(names) >= 2, -best[0], best[1]))
     return out
 
 
@@ -352,7 +386,13 @@ sizes AS (SELECT DISTINCT n FROM bw),
 dw AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS k FROM d, sizes, unnest(range(1, len(w) - n + 2)) AS r(i)),
 hits AS (SELECT doc_id, i, dw.n, item_id FROM dw JOIN bw ON dw.n = bw.n AND dw.k = bw.k),
 covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hits, unnest(range(i, i + n)) AS r(p) GROUP BY doc_id),
-named AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS names FROM hits GROUP BY doc_id)
-SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
-FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+named AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS names FROM hits GROUP BY doc_id),
+bj AS (SELECT DISTINCT item_id, i AS j, least(len(w), 8) AS n, array_to_string(w[i:i + least(len(w), 8) - 1], ' ') AS k FROM b, unnest(range(1, greatest(1, len(w) - 7) + 1)) AS r(i) WHERE len(w) > 0),
+same AS (SELECT doc_id, item_id, i, j, dw.n FROM dw JOIN bj ON dw.n = bj.n AND dw.k = bj.k),
+steps AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, i - j ORDER BY i) AS run FROM same),
+runs AS (SELECT doc_id, count(*) + any_value(n) - 1 AS size, min(i) - 1 AS at FROM steps GROUP BY doc_id, item_id, i - j, run),
+best AS (SELECT doc_id, max(size) AS longest_words, arg_min(at, (-size, at)) AS longest_at FROM runs GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated,
+       coalesce(longest_words, 0)::BIGINT AS longest_words, longest_at::BIGINT AS longest_at
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN best USING (doc_id)
 """

@@ -9,6 +9,7 @@ judged by itself: nothing is shuffled.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphsearch.llm.tables import read
+from graphsearch.llm.tables import map_arrow, read
 from graphsearch.llm.wordbytes import ALNUM_FOLDED, Words, grams, inside, pieces
 
 #: Any GRAM + WINNOW - 1 words in a row that a text shares with a template are seen.
@@ -48,6 +49,8 @@ class Index:
         entries = set()
         for t, text in enumerate(templates.values()):
             words = Words(pa.array([text], pa.large_string()), ALNUM_FOLDED).hash
+            if len(words) < GRAM:
+                raise ValueError(f"template {self.names[t]!r} has fewer than {GRAM} words")
             self.words.append(words)
             n = min(GRAM, len(words))
             g = grams(words, n) if n == GRAM else np.zeros(0, np.uint64)
@@ -105,8 +108,11 @@ def scan_words(index: Index, words: np.ndarray, hits: np.ndarray, values: np.nda
             if matched >= least * len(template):
                 found.append((matched, begin, end))
             k = z
-        for matched, begin, end in sorted(found, key=lambda m: (-m[0], m[1])):
-            if not any(begin < e and b < end for _, b, e in (m for m in found if (-m[0], m[1]) < (-matched, begin))):
+        taken: list[tuple[int, int]] = []  # kept matches by place; they don't overlap
+        for matched, begin, end in sorted(set(found), key=lambda m: (-m[0], m[1])):
+            k = bisect.bisect_left(taken, (begin, end))
+            if (k == 0 or taken[k - 1][1] <= begin) and (k == len(taken) or end <= taken[k][0]):
+                taken.insert(k, (begin, end))
                 yield index.names[t], matched, begin, end, matched / len(template)
 
 
@@ -115,8 +121,8 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, band: int =
 
     Words are letters and digits, A-Z folded; word_to is exclusive.  Null and empty texts match
     nothing, and texts without a match have no row; repeated rows are each answered.  Of matches of
-    one template that overlap, the one with most words (then the first) is reported.  Templates of
-    fewer than GRAM words are never found.
+    one template that overlap, those with most words (then the first) are reported.  A template of
+    fewer than GRAM words has no fingerprint and raises an error.  No other column of docs is read.
     """
     index = Index(templates)
     source = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"))
@@ -142,7 +148,7 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, band: int =
                     yield pa.RecordBatch.from_arrays([piece.column("id").take(pa.array(d)), pa.array(name), pa.array(matched, pa.int64()), pa.array(coverage), pa.array(begin, pa.int64()), pa.array(end, pa.int64())], ["id", "license", "n_matched", "coverage", "word_from", "word_to"])
 
     schema = T.StructType([source.schema["id"], *T.StructType.fromDDL("license string, n_matched bigint, coverage double, word_from bigint, word_to bigint").fields])
-    return source.mapInArrow(run, schema).withColumnRenamed("id", id)
+    return map_arrow(source, run, schema).withColumnRenamed("id", id)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

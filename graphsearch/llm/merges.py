@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphsearch.llm.tables import bounded, read
+from graphsearch.llm.tables import map_arrow, read
 from graphsearch.llm.wordbytes import mix, span_hashes
 from graphsearch.llm.wordbytes import pieces as runs
 
@@ -427,7 +427,7 @@ def encode_texts(docs: DataFrame, vocabulary: str = MODEL, dropout: float = DROP
                 yield pa.RecordBatch.from_arrays([piece.column("id"), lists, pa.array(sizes), pa.array(whole)], ["id", "ids", "n_tokens", "lossless"])
 
     schema = T.StructType([source.schema["id"], *T.StructType.fromDDL("ids array<int>, n_tokens bigint, lossless boolean").fields])
-    return source.mapInArrow(bounded(run), schema).withColumnRenamed("id", id)
+    return map_arrow(source, run, schema).withColumnRenamed("id", id)
 
 
 def decode_ids(encoded: DataFrame, vocabulary: str = MODEL, ids: str = "ids") -> DataFrame:
@@ -442,7 +442,7 @@ def decode_ids(encoded: DataFrame, vocabulary: str = MODEL, ids: str = "ids") ->
             texts = [None if x is None else encoder.decode([i for i in x if i is not None and 0 <= i < n]) for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "text"])
 
-    return source.mapInArrow(bounded(run), T.StructType([*source.schema.fields, T.StructField("text", T.StringType())]))
+    return map_arrow(source, run, T.StructType([*source.schema.fields, T.StructField("text", T.StringType())]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

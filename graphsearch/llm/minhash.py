@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphsearch.llm.components import connected_components
-from graphsearch.llm.tables import read, stored
+from graphsearch.llm.tables import map_arrow, read, stored, without
 from graphsearch.llm.wordbytes import SPACED_FOLDED, Words, grams, mix, pieces
 
 BANDS, ROWS = 32, 4
@@ -148,7 +148,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     """Of (id, component, shingles): the first shingles of each set, rarest first, as many as any link needs; place counts from 1."""
-    tokens = stored(sets.select("id", "component", "shingles").mapInArrow(_tokens, "id bigint, component bigint, n bigint, mark bigint, token bigint"))
+    tokens = stored(map_arrow(sets.select("id", "component", "shingles"), _tokens, "id bigint, component bigint, n bigint, mark bigint, token bigint"))
     counts = tokens.groupBy("token").agg(F.count("*").alias("times"))
     order = Window.partitionBy("id", "n", "mark").orderBy("times", "token")
     placed = tokens.join(counts, "token").withColumn("place", F.dense_rank().over(order))  # a repeated row shares its places
@@ -163,10 +163,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id: str
     kept is id = component_id.  Null and empty texts, and texts of white space, have no shingle, are
     linked with nothing and kept.  A row without id takes no part: component_id null, kept.  Rows
     that repeat an id are one node of the graph, and each is judged by its own text's class.
-    Other columns of docs are not read.
+    Ids are whole numbers.  A shingle is known by 64 bits of its words, a whole set by 128 bits and
+    its size.  Other columns of docs are not read.
     """
     source = docs.select(F.col(f"`{id}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("text"))
-    sketched = stored(source.mapInArrow(_sketch(words), "id bigint, n_shingles bigint, mark_a bigint, mark_b bigint, bands array<bigint>, signature binary"))
+    sketched = stored(map_arrow(source, _sketch(words), "id bigint, n_shingles bigint, mark_a bigint, mark_b bigint, bands array<bigint>, signature binary"))
     kind = ["mark_a", "mark_b", "n_shingles"]
     classes = sketched.where("id IS NOT NULL AND n_shingles > 0").groupBy(*kind).agg(F.min("id").alias("rep"))
     classed = stored(sketched.select("id", *kind).join(classes, kind, "left").select("id", "n_shingles", "rep"))
@@ -180,17 +181,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id: str
     limit = percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / (BANDS * ROWS)) ** 0.5
 
     def alike(pairs: DataFrame) -> DataFrame:
-        agreed = _with_both(pairs, signatures, "signature").mapInArrow(_agreement, "a bigint, b bigint, agree int")
+        agreed = map_arrow(_with_both(pairs, signatures, "signature"), _agreement, "a bigint, b bigint, agree int")
         return agreed.where(F.col("agree") >= int(limit * BANDS * ROWS))
 
     to_centre = members.select(F.col("id").alias("a"), F.explode(F.array("least", "other")).alias("b")).where("a <> b").distinct()
     best = Window.partitionBy("a").orderBy(F.desc("agree"), "b")  # a has at most two centres a band
     first = stored(alike(to_centre).withColumn("place", F.row_number().over(best)).where("place <= 2").select("a", "b"))
 
-    whole = stored(source.where("id IS NOT NULL").join(candidates, "id", "left_semi").mapInArrow(_sets(words), "id bigint, shingles binary"))
+    whole = stored(map_arrow(source.where("id IS NOT NULL").join(candidates, "id", "left_semi"), _sets(words), "id bigint, shingles binary"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        return _with_both(pairs.select("a", "b"), whole, "shingles").mapInArrow(_confirm(percent), "a bigint, b bigint").distinct()
+        return map_arrow(_with_both(pairs.select("a", "b"), whole, "shingles"), _confirm(percent), "a bigint, b bigint").distinct()
 
     links = stored(confirmed(first))
     component = stored(connected_components(links))
@@ -220,8 +221,7 @@ def _pair(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that near_duplicates keeps, with all their columns; one id of each component stays."""
-    gone = near_duplicates(docs, words, percent, id, text).where("NOT kept").select(F.col(id).alias("gone_id")).distinct()
-    return docs.join(stored(gone), F.col(f"`{id}`") == F.col("gone_id"), "left_anti")
+    return without(docs, id, near_duplicates(docs, words, percent, id, text).where("NOT kept").select(id))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

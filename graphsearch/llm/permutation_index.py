@@ -32,7 +32,7 @@ def clean_vectors(vectors: DataFrame, id: str = "vec_id", vector: str = "embeddi
 
     Null ids, null and empty vectors, vectors with null or non-finite components, zero vectors, and
     vectors of another length than most (the shorter, of equally many) take none.  Of rows that
-    repeat an id the least vector stays.
+    repeat an id the least vector stays: an id names one vector, and is what queries are kept apart by.
     """
     v = vectors.select(F.col(f"`{id}`").cast("bigint").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("vector"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -72,6 +72,14 @@ def _orders(vectors: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     return np.argsort(-near, axis=1, kind="stable")[:, :prefix]
 
 
+def exact(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products, each added up from the first component to the last: equal vectors have equal ones."""
+    total = np.zeros(len(vectors))
+    for k in range(vectors.shape[1]):
+        total += vectors[:, k] * query[k]
+    return total
+
+
 def _search(pivots: np.ndarray, prefix: int, k: int, part: float):
     def run(rows: pa.Table) -> pa.Table:
         is_query = np.asarray(rows.column("query").combine_chunks())
@@ -88,9 +96,12 @@ def _search(pivots: np.ndarray, prefix: int, k: int, part: float):
             most = min(len(own), max(k + 1, 10 * k, int(np.ceil(part * len(own)))))
             for q, places in zip(asked, _orders(vectors[asked], pivots, shard.prefix), strict=True):
                 distance = shard.footrule(places)
-                near = np.sort(np.argpartition(distance, most - 1)[:most]) if most < len(own) else np.arange(len(own))
+                near = np.sort(np.argsort(distance, kind="stable")[:most])
                 near = near[base_ids[near] != ids[q]]
-                score = base[near] @ vectors[q]
+                rough = base[near] @ vectors[q]
+                if len(near) > k:  # a product's last bits depend on its row, so those about as good as the k-th are summed up again
+                    near = near[rough >= np.partition(rough, -k)[-k] - 1e-9 * (1 + np.abs(rough).max())]
+                score = exact(base[near], vectors[q])
                 best = np.argsort(-score, kind="stable")[:k]
                 out_q.append(np.full(len(best), ids[q]))
                 out_v.append(base_ids[near[best]])

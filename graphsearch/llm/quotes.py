@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphsearch.llm.tables import read, stored
+from graphsearch.llm.tables import map_arrow, read, stored
+from graphsearch.llm.wordbytes import pieces
 
 _MARKS = re.compile(r"^((?:[ \t]{0,3}>)*)[ \t]?(.*)$", re.S)
 _SPACE = re.compile(r"\s+")
@@ -90,7 +91,7 @@ _QUOTE = pa.struct([("level", pa.int32()), ("hash", pa.binary()), ("parts", pa.l
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (p for b in batches for p in pieces(b, "text")):
         messages, quotes, said = [], [], []
         for text in batch.column("text").to_pylist():
             if text is None:
@@ -150,7 +151,7 @@ def link(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     message and are not linked.  Rows that repeat a turn share what any of them says.
     """
     source = conversations.select(F.col(f"`{conv}`").cast("bigint").alias("conv"), F.col(f"`{turn}`").cast("bigint").alias("turn"), F.col(f"`{role}`").cast("string").alias("role"), F.col(f"`{text}`").alias("text"))
-    parsed = stored(source.mapInArrow(_parse, "conv bigint, turn bigint, role string, message string, quotes array<struct<level:int,hash:binary,parts:array<struct<hash:binary,size:bigint>>>>, said array<binary>"))
+    parsed = stored(map_arrow(source, _parse, "conv bigint, turn bigint, role string, message string, quotes array<struct<level:int,hash:binary,parts:array<struct<hash:binary,size:bigint>>>>, said array<binary>"))
     passage = ["conv", "turn", "n", "level", "passage"]
     quoted = parsed.where("conv IS NOT NULL AND turn IS NOT NULL").select("conv", "turn", F.posexplode("quotes").alias("n", "q")).select("conv", "turn", "n", "q.level", F.col("q.hash").alias("passage"), F.explode("q.parts").alias("p"))
     quoted = stored(quoted.select(*passage, "p.hash", "p.size").distinct())

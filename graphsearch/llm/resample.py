@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphsearch.llm.tables import read, stored
+from graphsearch.llm.tables import map_arrow, read, stored
 from graphsearch.llm.wordbytes import SPACED_FOLDED, Words, grams, inside, pieces
 
 BUCKETS, LONGEST = 10_000, 2
@@ -57,7 +57,7 @@ def log_ratios(docs: DataFrame, targets: DataFrame, id: str, text: str) -> np.nd
     """
     # The targets grow with the input: they are joined by sorted partitions at every size, never broadcast.
     flagged = docs.hint("merge").select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text")).join(targets.select(F.col(f"`{id}`").alias("id"), F.lit(True).alias("t")).distinct(), "id", "left")
-    counted = flagged.select("text", F.coalesce("t", F.lit(False)).alias("target")).mapInArrow(_count, "bucket bigint, target bigint, raw bigint").groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw"))
+    counted = map_arrow(flagged.select("text", F.coalesce("t", F.lit(False)).alias("target")), _count, "bucket bigint, target bigint, raw bigint").groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw"))
     target, raw = np.zeros(BUCKETS), np.ones(BUCKETS)
     for r in counted.collect():  # BUCKETS rows, whatever the input
         target[r["bucket"]] += r["target"]
@@ -66,8 +66,11 @@ def log_ratios(docs: DataFrame, targets: DataFrame, id: str, text: str) -> np.nd
     return np.log((target + PRIOR * raw) / (target.sum() + PRIOR)) - np.log(raw)
 
 
-def weights(docs: DataFrame, targets: DataFrame, seed: int = SEED, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each row of docs: id, log_weight, key (log_weight with its noise).
+def weights(docs: DataFrame, targets: DataFrame, seed: int = SEED, temperature: float = 1.0, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row for each row of docs: id, log_weight, key (log_weight divided by the temperature, with its noise).
+
+    A log weight is a sum over the text's n-grams, so that long texts have large ones beside which
+    the noise (a standard deviation of 1.3) is small; a temperature above 1 gives it more say.
 
     Null and empty texts have log weight 0.  Rows that repeat an id share their noise; rows without
     id share one.  Without targets, all log weights are 0.
@@ -78,12 +81,12 @@ def weights(docs: DataFrame, targets: DataFrame, seed: int = SEED, id: str = "do
         for batch in batches:
             for piece in pieces(batch, "text"):
                 doc, bucket = _ngrams(piece.column("text"))
-                yield pa.RecordBatch.from_arrays([piece.column("id"), piece.column("u"), pa.array(np.bincount(doc, ratio[bucket], len(piece)))], ["id", "u", "log_weight"])
+                yield pa.RecordBatch.from_arrays([piece.column("id"), piece.column("u"), pa.array(np.bincount(doc, ratio[bucket], len(piece)).astype(float))], ["id", "u", "log_weight"])
 
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(f"`{id}`")), 11) + 0.5) / float(1 << 53)
     source = docs.select(F.col(f"`{id}`").alias("id"), uniform.alias("u"), F.col(f"`{text}`").alias("text"))
-    weighed = source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, u double, log_weight double")
-    return weighed.select(F.col("id").alias(id), "log_weight", (F.col("log_weight") - F.log(-F.log("u"))).alias("key"))
+    weighed = map_arrow(source, run, f"id {source.schema['id'].dataType.simpleString()}, u double, log_weight double")
+    return weighed.select(F.col("id").alias(id), "log_weight", (F.col("log_weight") / temperature - F.log(-F.log("u"))).alias("key"))
 
 
 def kth_largest(keys: DataFrame, k: int) -> float:
@@ -106,9 +109,9 @@ def kth_largest(keys: DataFrame, k: int) -> float:
     return high
 
 
-def resample(docs: DataFrame, targets: DataFrame, fraction: float = FRACTION, seed: int = SEED, id: str = "doc_id", text: str = "text") -> DataFrame:
+def resample(docs: DataFrame, targets: DataFrame, fraction: float = FRACTION, seed: int = SEED, temperature: float = 1.0, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, log_weight, key, kept) of the sampled rows: ceil(fraction * rows), and rows that tie with the last; kept is true."""
-    keys = stored(weights(docs, targets, seed, id, text))
+    keys = stored(weights(docs, targets, seed, temperature, id, text))
     k = int(np.ceil(fraction * keys.count()))
     if not k:
         return keys.limit(0).withColumn("kept", F.lit(True))

@@ -14,8 +14,10 @@ both reference and queries are routed to the shard that can matter.
    a state's label is the least document that has its strings.  The same segments stream through it,
    and the state of the last WINDOW words names the earliest document of that window.
    A minimiser with more than MOST_SEGMENTS segments would make a large shard: its segments are taken
-   apart into windows, which are routed by all their words, and need no automaton.
+   apart into windows, and those that are equal, routed by all their words, are a shard of their own.
 4. Spans whose earliest document is before their own go back to the rows and are cut out.
+
+A whole text or segment is known by 128 bits of hashes and its length; a minimiser's owner by 64 bits.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphsearch.llm.tables import partitions, read, release, stored
+from graphsearch.llm.tables import map_arrow, partitions, read, release, stored
 from graphsearch.llm.wordbytes import SPACED, Words, grams, inside, mix, pieces, span_hashes
 
 WINDOW = 13
@@ -38,6 +40,8 @@ SHORT = 8
 MOST_SEGMENTS = 2048
 MOST_WINDOWS = 64
 _MANY = np.iinfo(np.int64).min
+#: What tells a text from others.
+_SAME = ["mark", "other", "size"]
 
 
 def _minimisers(words: Words, window: int, short: int) -> tuple[np.ndarray, np.ndarray]:
@@ -186,8 +190,8 @@ def _segments(window: int, short: int):
                 doc = doc[first]
                 take = pa.array(doc)
                 yield pa.RecordBatch.from_arrays(
-                    [*(piece.column(c).take(take) for c in ("id", "mark", "size")), pa.array(begin - words.first[doc]), pa.array(size), pa.array(least[first].view(np.int64)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(content, pa.binary())],
-                    ["id", "mark", "size", "at", "n", "route", "one", "two", "content"],
+                    [*(piece.column(c).take(take) for c in ("id", "mark", "other", "size")), pa.array(begin - words.first[doc]), pa.array(size), pa.array(least[first].view(np.int64)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(content, pa.binary())],
+                    ["id", "mark", "other", "size", "at", "n", "route", "one", "two", "content"],
                 )
 
     return run
@@ -261,11 +265,8 @@ def _label(window: int):
     """Of distinct segments, sorted by route and earliest document: each one's earliest document by window, null if it is the segment's own for all."""
 
     def shard(rows: list[tuple]) -> Iterator[tuple]:
-        if len(rows) == 1:
-            _, one, two, first, last, _ = rows[0]
-            if first < last:
-                yield one, two, first, None
-            return
+        if len(rows) == 1 and rows[0][3] == rows[0][4]:
+            return  # one document has all of the shard
         automaton = SuffixAutomaton()
         split = [row[-1].split(b" ") for row in rows]
         for (_, _, _, first, _, _), words in zip(rows, split, strict=True):
@@ -310,7 +311,12 @@ def _windows(window: int):
             doc = words.doc[at]
             take = pa.array(doc)
             one, two = (grams(h, window)[at].view(np.int64) for h in (words.hash, mix(words.hash ^ np.uint64(0x5851F42D4C957F2D))))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("one", "two", "first_id")), pa.array((at - words.first[doc]).astype(np.int32)), pa.array(one), pa.array(two)], ["one", "two", "first_id", "k", "w_one", "w_two"])
+            data = words.data.tobytes()
+            content = [b" ".join(data[a:z].split()) for a, z in zip(words.start[at].tolist(), words.end[at + window - 1].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c).take(take) for c in ("one", "two", "first_id", "last_id")), pa.array((at - words.first[doc]).astype(np.int32)), pa.array(one), pa.array(two), pa.array(content, pa.binary())],
+                ["one", "two", "first_id", "last_id", "k", "w_one", "w_two", "content"],
+            )
 
     return run
 
@@ -319,7 +325,7 @@ def _cut(window: int, extra: list[str]):
     """Of (id, text, first_id, spans of windows' beginnings): n_words, n_removed and the words that are left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in pieces(b, "text")):
             total, gone, kept = [], [], []
             for id, text, first, spans in zip(batch.column("id").to_pylist(), batch.column("text"), batch.column("first_id").to_pylist(), batch.column("spans"), strict=True):
                 words = text.as_buffer().to_pybytes().split() if text.is_valid else []
@@ -340,24 +346,24 @@ def _cut(window: int, extra: list[str]):
 
 
 def _source(docs: DataFrame, id: str, text: str, *more: Column) -> DataFrame:
-    """id, text, and mark and size, which tell its text from others."""
+    """id, text, and mark, other and size, which tell its text from others."""
     body = F.col(f"`{text}`")
-    return docs.select(F.col(f"`{id}`").cast("bigint").alias("id"), F.xxhash64(body).alias("mark"), F.length(body).alias("size"), body.alias("text"), *more)
+    return docs.select(F.col(f"`{id}`").cast("bigint").alias("id"), F.xxhash64(body).alias("mark"), F.xxhash64(F.lit("other"), body).alias("other"), F.length(body).alias("size"), body.alias("text"), *more)
 
 
 def _left_over(source: DataFrame, window: int) -> DataFrame:
     """Segments of the first row of each text, without windows that no other text can have."""
     spark = source.sparkSession
     short, parts = min(SHORT, window), partitions(spark)
-    offered = source.select("mark", "text").mapInArrow(_offer(window, short, 4 * parts, 4 * parts), "bucket int, marks binary, hashes binary, owners binary")
-    answered = offered.repartition(parts, "bucket").mapInArrow(_answer(4 * parts), "bucket int, marks binary, hashes binary")
-    shared = answered.repartition(parts, "bucket").mapInArrow(_gather, "mark bigint, shared binary")
-    wanted = source.groupBy("mark", "size").agg(F.min("id").alias("id")).join(shared, "mark")
-    return stored(source.join(wanted, ["mark", "size", "id"]).mapInArrow(_segments(window, short), "id bigint, mark bigint, size int, at bigint, n bigint, route bigint, one bigint, two bigint, content binary"))
+    offered = map_arrow(source.select("mark", "text"), _offer(window, short, 4 * parts, 4 * parts), "bucket int, marks binary, hashes binary, owners binary")
+    answered = map_arrow(offered.repartition(2 * parts, "bucket"), _answer(4 * parts), "bucket int, marks binary, hashes binary")
+    shared = map_arrow(answered.repartition(2 * parts, "bucket"), _gather, "mark bigint, shared binary")
+    wanted = source.groupBy(*_SAME).agg(F.min("id").alias("id")).join(shared, "mark")
+    return stored(map_arrow(source.join(wanted, [*_SAME, "id"]), _segments(window, short), "id bigint, mark bigint, other bigint, size int, at bigint, n bigint, route bigint, one bigint, two bigint, content binary"))
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(mark, size, first_id, spans) for each text that several ids have, or with windows that an earlier id has.
+    """(mark, other, size, first_id, spans) for each text that several ids have, or with windows that an earlier id has.
 
     first_id is the least id with the text; spans are [from, to) numbers of the words at which
     windows begin that a smaller id has.
@@ -367,40 +373,67 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, id: str = "doc_id", te
     source = _source(docs, id, text).where("id IS NOT NULL AND text IS NOT NULL")
     segments = _left_over(source, window)
     release(spark)
+    labels = "one bigint, two bigint, first_id bigint, firsts array<bigint>"
     hot = stored(segments.select("route", "one", "two").distinct().groupBy("route").agg(F.count("*").alias("n_segments")).where(F.col("n_segments") > MOST_SEGMENTS).select("route"))
     distinct = stored(segments.groupBy("one", "two").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.first("route").alias("route"), F.first("content").alias("content")))
     release(spark)
-    sharded = distinct.join(hot, "route", "left_anti").select("route", "one", "two", "first_id", "last_id", "content").repartition(parts, "route").sortWithinPartitions("route", "first_id").mapInArrow(_label(window), "one bigint, two bigint, first_id bigint, firsts array<bigint>")
-    taken = stored(distinct.join(hot, "route", "left_semi").select("one", "two", "first_id", "content").mapInArrow(_windows(window), "one bigint, two bigint, first_id bigint, k int, w_one bigint, w_two bigint"))
-    earliest = taken.groupBy("w_one", "w_two").agg(F.min("first_id").alias("first"))
-    large = taken.join(earliest, ["w_one", "w_two"]).groupBy("one", "two").agg(F.min("first_id").alias("first_id"), F.transform(F.array_sort(F.collect_list(F.struct("k", "first"))), lambda w: w["first"]).alias("firsts"))
+    sharded = map_arrow(distinct.join(hot, "route", "left_anti").select("route", "one", "two", "first_id", "last_id", "content").repartition(parts, "route").sortWithinPartitions("route", "first_id"), _label(window), labels)
+    taken = stored(map_arrow(distinct.join(hot, "route", "left_semi").select("one", "two", "first_id", "last_id", "content"), _windows(window), "one bigint, two bigint, first_id bigint, last_id bigint, k int, w_one bigint, w_two bigint, content binary"))
+    single = taken.groupBy("w_one", "w_two").agg(F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id"), F.first("content").alias("content"))
+    single = single.select(F.col("w_one").alias("route"), F.col("w_one").alias("one"), F.col("w_two").alias("two"), "first_id", "last_id", "content")
+    earliest = map_arrow(single.repartition(parts, "route").sortWithinPartitions("route", "first_id"), _label(window), labels).select(F.col("one").alias("w_one"), F.col("two").alias("w_two"), F.col("first_id").alias("known"))
+    large = taken.join(earliest, ["w_one", "w_two"], "left").withColumn("first", F.coalesce("known", "first_id")).groupBy("one", "two").agg(F.min("first_id").alias("first_id"), F.transform(F.array_sort(F.collect_list(F.struct("k", "first"))), lambda w: w["first"]).alias("firsts"))
     labelled = sharded.unionByName(large)
-    found = segments.select("id", "mark", "size", "at", "n", "one", "two").join(labelled, ["one", "two"])
+    found = segments.select("id", *_SAME, "at", "n", "one", "two").join(labelled, ["one", "two"])
     span = "array<struct<from:bigint,to:bigint>>"
     each = F.filter(F.transform("firsts", lambda w, k: F.when(w < F.col("id"), F.struct((F.col("at") + k).alias("from"), (F.col("at") + k + 1).alias("to")))), lambda s: s.isNotNull()).cast(span)
     whole = F.array(F.struct(F.col("at").alias("from"), (F.col("at") + F.col("n")).alias("to"))).cast(span)
     spans = F.when(F.col("firsts").isNull(), F.when(F.col("first_id") < F.col("id"), whole)).otherwise(each)
-    spans = found.select("mark", "size", spans.alias("spans")).where(F.size("spans") > 0).groupBy("mark", "size").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
-    texts = source.groupBy("mark", "size").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"))
-    return stored(texts.join(spans, ["mark", "size"], "left").where("first_id < last_id OR spans IS NOT NULL").select("mark", "size", "first_id", "spans"))
+    spans = found.select(*_SAME, spans.alias("spans")).where(F.size("spans") > 0).groupBy(*_SAME).agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
+    texts = source.groupBy(*_SAME).agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    return stored(texts.join(spans, _SAME, "left").where("first_id < last_id OR spans IS NOT NULL").select(*_SAME, "first_id", "spans"))
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, id: str = "doc_id", text: str = "text", extra: tuple[str, ...] = ()) -> DataFrame:
-    """A row for each row of docs: id (bigint), n_words, n_removed, kept_text (the words that stay, joined by one space), and the columns in extra.
-
-    Words are runs of anything but ASCII white space, compared as they are.  A word goes if a window
-    of so many words covers it whose words also begin somewhere in a row with a smaller id; windows
-    are judged on the input.  Null texts have no words and an empty kept_text.  A row without id is
-    kept whole and removes nothing; rows that repeat an id do not touch each other.
-    """
+def _removed(docs: DataFrame, window: int, id: str, text: str, extra: list[str]) -> DataFrame:
+    """id, n_words, n_removed, kept_text, and the columns in extra as extra_0, extra_1, …"""
     spans = repeated_spans(docs, window, id, text)
     release(docs.sparkSession)
     names = [f"extra_{k}" for k in range(len(extra))]
     rows = _source(docs, id, text, *(F.col(f"`{c}`").alias(n) for c, n in zip(extra, names, strict=True)))
-    joined = rows.join(spans, ["mark", "size"], "left").select("id", "text", "first_id", "spans", *names)
+    joined = rows.join(spans, _SAME, "left").select("id", "text", "first_id", "spans", *names)
     fields = T.StructType.fromDDL("id bigint, n_words bigint, n_removed bigint, kept_text string").fields + [T.StructField(n, docs.schema[c].dataType) for c, n in zip(extra, names, strict=True)]
-    cut = joined.mapInArrow(_cut(window, names), T.StructType(fields))
-    return cut.select(F.col("id").alias(id), "n_words", "n_removed", "kept_text", *(F.col(n).alias(c) for c, n in zip(extra, names, strict=True)))
+    return map_arrow(joined, _cut(window, names), T.StructType(fields))
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row for each row of docs: id, n_words, n_removed, kept_text (the words that stay, joined by one space).
+
+    Words are runs of anything but ASCII white space, compared as they are.  A word goes if a window
+    of so many words covers it whose words also begin somewhere in a row with a smaller id; windows
+    are judged on the input.  Null texts have no words and an empty kept_text.  A row without id is
+    kept whole and removes nothing; rows that repeat an id do not touch each other.  Ids are whole
+    numbers.  No other column of docs is read.
+    """
+    return _removed(docs, window, id, text, []).select(F.col("id").alias(id), "n_words", "n_removed", "kept_text")
+
+
+def cut_repeats(docs: DataFrame, window: int = WINDOW, id: str = "doc_id", text: str = "text", length: str | None = None) -> DataFrame:
+    """docs with the text that remove_repeats leaves where it takes words, and as it was where it takes none; length is a column that counts the text's characters.
+
+    All columns and rows stay, whatever their names.
+    """
+    names = docs.columns
+    cut = _removed(docs, window, id, text, names)
+    changed = F.col("n_removed") > 0
+    columns = []
+    for k, c in enumerate(names):
+        value = F.col(f"extra_{k}")
+        if c == text:
+            value = F.when(changed, F.col("kept_text")).otherwise(value)
+        elif c == length:
+            value = F.when(changed, F.length("kept_text")).otherwise(value).cast(docs.schema[c].dataType)
+        columns.append(value.alias(c))
+    return cut.select(*columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

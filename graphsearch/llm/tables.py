@@ -5,12 +5,14 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
+import re
 import sys
 import tempfile
 import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
 _roots: dict[str, tuple[SparkSession, str]] = {}
@@ -21,10 +23,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """This application's own folder under spark.checkpoint.dir; a temporary one where that is unset, as in tests."""
+    """This application's own folder under spark.checkpoint.dir; a temporary one where that is unset and all runs on this machine, as in tests."""
     app = spark.sparkContext.applicationId
     if app not in _roots:
         top = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING, None)
+        if not top and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError(f"{_SETTING} is unset: intermediate tables need a folder that all machines share")
         root = f"{top or 'file://' + tempfile.mkdtemp(prefix='graphsearch-')}/graphsearch-{app}"
         _roots[app] = (spark, root)
         atexit.register(_remove, app)
@@ -54,8 +58,17 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def bounded(run):
-    """A function for mapInArrow whose worker gives back the memory that its batches took; workers serve later stages, and would keep it."""
+#: Bytes of an Arrow batch that goes to a Python worker.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow with batches of a bounded size (the session's limit is lowered, never raised), whose worker gives back the memory that they took.
+
+    Workers serve later stages, and would keep it beside what those need.
+    """
+    _bound_batches(df.sparkSession)
 
     def kept(batches):
         try:
@@ -63,7 +76,13 @@ def bounded(run):
         finally:
             give_back()
 
-    return kept
+    return df.mapInArrow(kept, schema)
+
+
+def _bound_batches(spark: SparkSession) -> None:
+    now = spark.conf.get(_BATCH).removesuffix("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
 def give_back() -> None:
@@ -75,8 +94,26 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, or one like it that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without(docs: DataFrame, id: str, gone: DataFrame) -> DataFrame:
+    """The rows of docs whose id is not among the values of gone's one column; rows without id stay, and so do all columns."""
+    name = fresh(docs, "gone")
+    return docs.join(stored(gone.toDF(name).distinct()), F.col(f"`{id}`") == F.col(f"`{name}`"), "left_anti")
+
+
 def release(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of finished steps now; else they stay until the driver next collects its garbage."""
+    """Lets Spark remove the shuffle files of finished steps now.
+
+    Spark removes them when the driver's garbage is collected, which a driver with little to do may not
+    do for half an hour; the executors' disks would hold the shuffles of all steps until then.
+    """
     for _ in range(2):  # what the first collection drops holds what the second can
         gc.collect()
         spark._jvm.System.gc()

@@ -7,8 +7,9 @@ each number of labels, overwritten by every later rule with as many.  A slot's r
 key exactly if it is a prefix of the key, since whatever sorts between a prefix and its extension
 shares the prefix.
 
-Rows are dealt out at random and the rules go to every part, so that a host or a domain with a third
-of all rows is spread like any other.
+Rows are dealt out by a hash of all their columns and the rules go to every part, so that a host or a
+domain with a third of all rows is spread like any other, and a part that is computed again has the same
+rows.  Rules beyond MOST_RULES hosts are swept in blocks of that size, and each row keeps the best rule.
 """
 
 from __future__ import annotations
@@ -21,6 +22,9 @@ from pyspark.sql import functions as F
 from graphsearch.llm.tables import partitions, read
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_FOLD = str.maketrans(_UPPER, _LOWER)
+#: What is known of a row's longest rule, the longest first.
+_BEST = "struct<short:int,short_host:int,rule:string,verdict:string>"
 #: verdict, host, path.
 DEFAULT_RULES = (
     ("allow", "org", "/"),
@@ -29,8 +33,8 @@ DEFAULT_RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-#: Rules go to every part, so their number is checked.
-MOST_RULES = 200_000
+#: Hosts of rules that go to every part at once.
+MOST_RULES = 20_000
 
 
 def host_of(url: Column) -> Column:
@@ -62,31 +66,37 @@ def apply_rules(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = DEFAUL
     No row leaves no row; no rule leaves every row at the default.
     """
     spark = pages.sparkSession
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MOST_RULES} can go to every part")
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     row = pages.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), host_of(F.col(f"`{url}`")).alias("host"), path_of(F.col(f"`{url}`")).alias("path"))
     if not rules:
         return row.select("row.*", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     parts = max(64, 4 * partitions(spark))
-    ruled = (
-        spark.createDataFrame([(v, h.lower(), p) for v, h, p in rules], "verdict string, rule_host string, rule_path string")
-        .groupBy("rule_host")
-        .agg(F.array_sort(F.collect_set(F.struct("rule_path", "verdict"))).alias("paths"))
-        .select(host_key(F.col("rule_host")).alias("key"), F.struct(host_key(F.col("rule_host")).alias("key"), "rule_host", "paths").alias("opened"))
-    )
-    depths = sorted({h.count(".") + 1 for _, h, _ in rules})
-    deal = F.pmod(F.xxhash64(*(F.col(c) for c in ("host", "path")), F.monotonically_increasing_id()), F.lit(parts)).cast("int")
+    hashed = [F.col(f"row.`{f.name}`") for f in row.schema["row"].dataType.fields if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    row = row.withColumn("part", F.pmod(F.xxhash64("host", "path", *hashed), F.lit(parts)).cast("int")).withColumn("best", F.lit(None).cast(_BEST))
+    by_host: dict[str, set[tuple[str, str]]] = {}
+    for verdict, host, path in rules:
+        by_host.setdefault(host.translate(_FOLD), set()).add((path, verdict))
+    hosts = sorted(by_host)
+    for k in range(0, len(hosts), MOST_RULES):
+        row = _sweep(row, {h: sorted(by_host[h]) for h in hosts[k : k + MOST_RULES]}, parts)
+    return row.select("row.*", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+
+
+def _sweep(row: DataFrame, rules: dict[str, list[tuple[str, str]]], parts: int) -> DataFrame:
+    """row with the best of its best and what these rules (paths and verdicts by host) have for it."""
+    spark = row.sparkSession
+    ruled = spark.createDataFrame(list(rules.items()), "rule_host string, paths array<struct<rule_path:string,verdict:string>>")
+    ruled = ruled.select(host_key(F.col("rule_host")).alias("key"), F.struct(host_key(F.col("rule_host")).alias("key"), "rule_host", "paths").alias("opened"))
+    depths = sorted({h.count(".") + 1 for h in rules})
     events = (
-        row.withColumn("part", deal)
-        .withColumn("key", host_key(F.col("host")))
+        row.withColumn("key", host_key(F.col("host")))
         .withColumn("opened", F.lit(None).cast(ruled.schema["opened"].dataType))
         .unionByName(ruled.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))), allowMissingColumns=True)
     )
     sweep = Window.partitionBy("part").orderBy("key", F.col("opened").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     labels = F.size(F.split(F.col("opened.rule_host"), r"\."))
     stack = [F.last(F.when(labels == d, F.col("opened")), ignorenulls=True).over(sweep).alias(f"at_{d}") for d in depths]
-    swept = events.select("row", "host", "path", "key", *stack).where(F.col("row").isNotNull())
+    swept = events.select("row", "host", "path", "key", "part", "best", *stack).where(F.col("row").isNotNull())
     active = F.filter(F.array(*(f"at_{d}" for d in depths)), lambda r: r.isNotNull() & F.startswith(F.col("key"), r["key"]))
     fitting = F.flatten(
         F.transform(
@@ -97,8 +107,8 @@ def apply_rules(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = DEFAUL
             ),
         )
     )
-    best = F.array_min(fitting)
-    return swept.withColumn("best", best).select("row.*", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    best = F.array_min(F.filter(F.concat(fitting.cast(f"array<{_BEST}>"), F.array("best")), lambda b: b.isNotNull()))
+    return swept.select("row", "host", "path", "part", best.alias("best"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _U = np.uint64
 #: Odd, and 3 mod 8, so that powers differ in as many bits as an odd base allows.
 _BASE = _U(0x9E3779B97F4A7C13)
@@ -109,7 +109,8 @@ class Words:
         if texts.null_count:  # a null may own bytes; no word may start there
             null = np.asarray(texts.is_null())
             if (np.diff(self.offsets)[null] > 0).any():
-                raise ValueError("null texts with bytes")
+                self.__init__(pc.fill_null(texts, ""), kind, prefixes)
+                return
         pieces = []
         at, size = 0, len(self.data)
         while at < size:
@@ -149,7 +150,7 @@ def inside(words: Words, n: int) -> np.ndarray:
     return words.doc[: max(0, len(words) - n + 1)] == words.doc[n - 1 :] if len(words) >= n else np.zeros(0, bool)
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose texts have at most so many bytes, or one row."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
     ends = np.cumsum(sizes)

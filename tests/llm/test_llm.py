@@ -55,8 +55,8 @@ def test_decontaminate_edges(spark):
     items = spark.createDataFrame([(7, "b c d e f g h i"), (8, "a b c d e f g h"), (9, None)], "item_id bigint, text string")
     left = decontaminate.decontaminate(docs, items)
     assert [r["doc_id"] for r in left.collect()] == [2] and left.columns == docs.columns
-    best = {r["item_id"]: (r["n_words"], r["doc"], r["doc_word"]) for r in decontaminate.longest_matches(docs, items).collect()}
-    assert best == {"7": (8, "1", 1), "8": (8, "1", 0)}
+    best = {r["item_id"]: (r["n_words"], r["doc_id"], r["doc_word"], r["item_word"]) for r in decontaminate.longest_matches(docs, items).collect()}
+    assert best == {"7": (8, 1, 1, 0), "8": (8, 1, 0, 0)}
     assert decontaminate.digest(docs.limit(0), items).count() == 0
 
 
@@ -112,7 +112,7 @@ def test_substring(spark, monkeypatch, most):
 
 def test_substring_edges(spark):
     docs = documents(spark, [(1, "a " * 50), (1, "a " * 50), (2, "b")])
-    got = sorted((r["doc_id"], r["n_removed"]) for r in substring.remove_repeats(docs, extra=("rule",)).collect())
+    got = sorted((r["doc_id"], r["n_removed"]) for r in substring.remove_repeats(docs).collect())
     assert got == [(1, 0), (1, 0), (2, 0)]
     assert substring.remove_repeats(docs.limit(0)).count() == 0
 
@@ -204,7 +204,7 @@ def test_toxicity(spark):
 def test_counterfactual_penalty_moves_identity_weights():
     rows = [(1, [0, 1])] * 20 + [(0, [2])] * 20
     free, _ = toxicity.fit(rows, [], 3)
-    tied, _ = toxicity.fit(rows, [[0]] * 5, 3, fairness=20.0)
+    tied, _ = toxicity.fit(rows, [([0], 5)], 3, fairness=20.0)
     assert abs(tied[0]) < 0.2 * abs(free[0]) and tied[1] > free[1] / 2
     pairs = list(toxicity.counterfactuals("All Women are here. No one else."))
     assert ("All Women are here", "All men are here") in pairs and len(pairs) == 3
