@@ -8,7 +8,6 @@ oracle; tests hold each against a brute-force version.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from graphsearch.llm import decontaminate, merges, minhash, substring, toxicity
 from graphsearch.llm.tables import read, stored
@@ -29,12 +28,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words in passages that an earlier document has are cut; documents without any stay as they are."""
-    extra = tuple(docs.columns)
-    cut = substring.remove_repeats(docs.select("*", F.col("doc_id").alias("cut id")), id="cut id", extra=extra)
-    columns = {"text": F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))}
-    if "n_chars" in extra:
-        columns["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return cut.select(*(columns.get(c, F.col(f"`{c}`")).alias(c) for c in extra))
+    return substring.cut_repeats(docs, length="n_chars")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
