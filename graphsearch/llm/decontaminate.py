@@ -390,8 +390,8 @@ named AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT
 bj AS (SELECT DISTINCT item_id, i AS j, least(len(w), 8) AS n, array_to_string(w[i:i + least(len(w), 8) - 1], ' ') AS k FROM b, unnest(range(1, greatest(1, len(w) - 7) + 1)) AS r(i) WHERE len(w) > 0),
 same AS (SELECT doc_id, item_id, i, j, dw.n FROM dw JOIN bj ON dw.n = bj.n AND dw.k = bj.k),
 steps AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, i - j ORDER BY i) AS run FROM same),
-runs AS (SELECT doc_id, count(*) + any_value(n) - 1 AS size, min(i) - 1 AS at FROM steps GROUP BY doc_id, item_id, i - j, run),
-best AS (SELECT doc_id, max(size) AS longest_words, arg_min(at, (-size, at)) AS longest_at FROM runs GROUP BY doc_id)
+runs AS (SELECT doc_id, count(*) + any_value(n) - 1 AS size, min(i) - 1 AS place FROM steps GROUP BY doc_id, item_id, i - j, run),
+best AS (SELECT doc_id, max(size) AS longest_words, arg_min(place, (-size, place)) AS longest_at FROM runs GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated,
        coalesce(longest_words, 0)::BIGINT AS longest_words, longest_at::BIGINT AS longest_at
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN best USING (doc_id)
