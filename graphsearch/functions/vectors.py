@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphsearch.functions.text import tokens
 
@@ -33,14 +39,20 @@ def token_slot(token: Column, width: int) -> Column:
     return (F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("bigint") % width).cast("int")
 
 
-def hashed_counts(text: Column, width: int = 256) -> Column:
-    """Sorted slots of the text's tokens, one for each token."""
-    return F.array_sort(F.transform(tokens(text), lambda t: token_slot(t, width)))
+@lru_cache
+def _unit(width: int):
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def unit(slots: pa.Array) -> pa.Array:
+        size = np.asarray(pc.fill_null(pc.list_value_length(slots), 0), dtype=np.int64)
+        place = np.repeat(np.arange(len(slots)) * width, size) + np.asarray(slots.flatten(), dtype=np.int64)
+        values = np.log1p(np.bincount(place, minlength=len(slots) * width).astype(float)).reshape(len(slots), width)
+        norm = np.sqrt((values * values).sum(axis=1))
+        values /= np.where(norm > 0, norm, 1e-8)[:, None]
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(slots) + 1, dtype=np.int32) * width), pa.array(values.ravel()), mask=slots.is_null())
+
+    return unit
 
 
 def encode(text: Column, width: int = 256) -> Column:
-    """A unit vector of log token counts by slot: the stand-in for a sentence encoder."""
-    zero = F.array_repeat(F.lit(0), width)
-    bump = lambda v, k: F.concat(F.slice(v, 1, k), F.array(v[k] + 1), F.slice(v, k + 2, width))
-    counts = F.aggregate(hashed_counts(text, width), zero, bump)
-    return normalized(F.transform(counts, lambda c: F.log1p(c.cast("double"))))
+    """A unit vector of log token counts by slot: the stand-in for a sentence encoder.  Null for null."""
+    return _unit(width)(F.transform(tokens(text), lambda t: token_slot(t, width)))

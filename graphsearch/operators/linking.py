@@ -87,8 +87,9 @@ def link_forms(mentions: DataFrame, surface: str = "text", order: tuple[str, ...
 
 
 def merge_links(linked: DataFrame) -> DataFrame:
-    """Of (doc_id, entity_id, type, text, score, match_type, ord): one row for each entity and type of a document: its first text and match type, largest score, and the distinct texts in order."""
-    first = F.array_sort(F.collect_list(F.struct("ord", "text")))
+    """Of (doc_id, entity_id, type, text, score, match_type, ord): one row for each entity and type of a document: its first text and match type, largest score, and the distinct texts in order (ord, text, match type)."""
+    order = F.struct("ord", "text", "match_type")
+    first = F.array_sort(F.collect_list(order))
     return linked.groupBy("doc_id", "entity_id", "type").agg(
-        F.min_by("text", "ord").alias("text"), F.max("score").alias("link_score"), F.min_by("match_type", "ord").alias("match_type"), F.array_distinct(F.transform(first, lambda x: x["text"])).alias("aliases")
-    )
+        F.min(order).alias("f"), F.max("score").alias("link_score"), F.array_distinct(F.transform(first, lambda x: x["text"])).alias("aliases")
+    ).select("doc_id", "entity_id", "type", "f.text", "link_score", "f.match_type", "aliases")

@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphsearch.storage import stored
 
-#: Size up to which power iteration is one task's work.
-SMALL_EDGES, SMALL_QUERIES = 200_000, 256
+
+#: Edges, and edges times queries, up to which power iteration is one task's work; the join form gives the same ranks.
+SMALL_EDGES, SMALL_WORK = 200_000, 4_000_000
+#: Damping, tolerance and most iterations of global and of personalised ranks; the part of the latter's start that is uniform.
+DAMPING, GLOBAL, PERSONAL, UNIFORM = 0.85, (1e-6, 100), (1e-4, 50), 0.1
 
 
 def max_normalized(df: DataFrame, score: str, by: list[str] | None = None) -> DataFrame:
@@ -17,48 +21,73 @@ def max_normalized(df: DataFrame, score: str, by: list[str] | None = None) -> Da
     return joined.withColumn(score, F.when(F.col("top_score") > 0, F.col(score) / F.col("top_score")).otherwise(F.col(score))).drop("top_score")
 
 
-def pagerank(edges: DataFrame, seeds: DataFrame | None = None, damping: float = 0.85, iterations: int = 20, tolerance: float | None = None, uniform: float = 0.1) -> DataFrame:
-    """(qid, entity, rank) by power iteration over edges(subj, obj, weight), for all queries of seeds(qid, entity) in one job; qid is 0 without seeds.
+def pagerank(edges: DataFrame, seeds: DataFrame | None = None, damping: float = DAMPING, iterations: int | None = None, tolerance: float | None = None, uniform: float = UNIFORM, nodes: DataFrame | None = None) -> DataFrame:
+    """(qid, entity, rank): global ranks (qid 0), or those of all queries of seeds(qid, entity) in one job.
+
+    Weights of parallel edges(subj, obj, weight) add up.  nodes(entity) are further nodes, without edges.  A query
+    stops by itself when its ranks change by less than the tolerance a node.  Global ranks that do not
+    get there in so many iterations are weighted in-degrees; personalised ones are their start.  A
+    query without a seed that is a node has the global ranks.
+    """
+    tol, most = GLOBAL if seeds is None else PERSONAL
+    found = power_iteration(edges, seeds, damping, iterations or most, tol if tolerance is None else tolerance, uniform, nodes)
+    if seeds is None:
+        incoming = edges.groupBy(F.col("obj").alias("entity")).agg(F.sum("weight").alias("incoming"))
+        return found.join(incoming, "entity", "left").select("qid", "entity", F.when(F.col("converged"), F.col("rank")).otherwise(F.coalesce("incoming", F.lit(0.0))).alias("rank"))
+    own = found.select("qid", "entity", F.when(F.col("converged"), F.col("rank")).otherwise(F.col("start")).alias("rank"))
+    lost = seeds.select(F.col("qid").cast("bigint").alias("qid")).distinct().join(own.select("qid").distinct(), "qid", "left_anti")
+    everyone = pagerank(edges, None, damping, nodes=nodes).select("entity", "rank")
+    return own.unionByName(lost.crossJoin(everyone).select("qid", "entity", "rank"))  # a row for each node and such query, as for all others
+
+
+def semantic(edges: DataFrame) -> DataFrame:
+    """The edges that ranks run on: all but co-occurrences; nodes are left alone."""
+    return edges.where("relation <> 'co_occurrence'")
+
+
+def power_iteration(edges: DataFrame, seeds: DataFrame | None, damping: float, iterations: int, tolerance: float, uniform: float = UNIFORM, nodes: DataFrame | None = None) -> DataFrame:
+    """(qid, entity, rank, start, converged) of power iteration; start is the personalisation, to which the rank of nodes without out-edges goes.
 
-    Weights of parallel edges add up, and the rank of nodes without out-edges goes to the
-    personalisation: uniform, or with seeds 0.1 uniform and 0.9 over those seeds that are nodes.
-    With a tolerance it stops when no query's ranks change by more than that a node.
-    Each iteration joins on the node and sums by (query, node), and ends in a checkpoint.  A graph of
-    at most SMALL_EDGES edges, for at most SMALL_QUERIES queries, is one task's arrays instead.
+    Queries without a seed among the nodes have no row.  Each iteration joins on the node and sums by
+    (query, node), and is written; a small graph, for few queries, is one task's arrays instead.
     """
-    flat = edges.groupBy("subj", "obj").agg(F.sum("weight").alias("w")).persist()
+    flat = stored(edges.groupBy("subj", "obj").agg(F.sum("weight").alias("w")))
+    alone = (nodes.select("entity") if nodes is not None else flat.select(F.col("subj").alias("entity")).limit(0)).distinct()
+    n_edges = flat.count()
     n_queries = 1 if seeds is None else seeds.select("qid").distinct().count()
-    if flat.count() <= SMALL_EDGES and n_queries <= SMALL_QUERIES:
-        return _small_pagerank(flat, seeds, damping, iterations, tolerance, uniform)
+    if n_edges <= SMALL_EDGES and (n_edges + alone.count()) * n_queries <= SMALL_WORK:
+        return _small(flat, seeds, alone, damping, iterations, tolerance, uniform)
     out = flat.groupBy("subj").agg(F.sum("w").alias("out"))
-    step = flat.join(out, "subj").select(F.col("subj").alias("entity"), "obj", (F.col("w") / F.col("out")).alias("share")).persist()
-    names = flat.select(F.col("subj").alias("entity")).unionAll(flat.select("obj")).distinct()
-    sinks = names.join(out, names["entity"] == out["subj"], "left_anti").withColumn("sink", F.lit(1.0))
+    step = stored(flat.join(out, "subj").select(F.col("subj").alias("entity"), "obj", (F.col("w") / F.col("out")).alias("share")))
+    names = stored(flat.select(F.col("subj").alias("entity")).unionAll(flat.select("obj")).unionAll(alone).distinct())
     n = names.count()
     if seeds is None:
-        base = names.select(F.lit(0).cast("bigint").alias("qid"), "entity", F.lit(1.0 / max(n, 1)).alias("p"))
+        base = names.select(F.lit(0).cast("bigint").alias("qid"), "entity", F.lit(1.0 / max(n, 1)).alias("start"))
     else:
-        known = seeds.select("qid", "entity").distinct().join(names, "entity")
+        known = seeds.select(F.col("qid").cast("bigint").alias("qid"), "entity").distinct().join(names, "entity")
         share = known.groupBy("qid").agg(F.count("*").alias("k"))
         extra = known.join(share, "qid").select("qid", "entity", ((1 - uniform) / F.col("k")).alias("extra"))
-        base = names.crossJoin(F.broadcast(share.select("qid"))).join(extra, ["qid", "entity"], "left").select("qid", "entity", (F.lit(uniform / max(n, 1)) + F.coalesce("extra", F.lit(0.0))).alias("p"))
-    base = base.join(sinks, "entity", "left").select("qid", "entity", "p", F.coalesce("sink", F.lit(0.0)).alias("sink")).persist()
-    ranks = base.select("qid", "entity", F.lit(1.0 / max(n, 1)).alias("rank"))
+        base = names.crossJoin(share.select("qid")).join(extra, ["qid", "entity"], "left").select("qid", "entity", (F.lit(uniform / max(n, 1)) + F.coalesce("extra", F.lit(0.0))).alias("start"))
+    sinks = names.join(out, names["entity"] == out["subj"], "left_anti").withColumn("sink", F.lit(True))
+    base = stored(base.join(sinks, "entity", "left").select("qid", "entity", "start", F.coalesce("sink", F.lit(False)).alias("sink")))
+    active = base.select("qid", "entity", F.lit(1.0 / max(n, 1)).alias("rank"), "start", "sink")
+    finished = None
     for _ in range(iterations):
-        moved = ranks.join(step, "entity").groupBy("qid", F.col("obj").alias("entity")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        lost = ranks.join(base.where("sink > 0").select("qid", "entity"), ["qid", "entity"]).groupBy("qid").agg(F.sum("rank").alias("lost"))
-        new = base.join(moved, ["qid", "entity"], "left").join(F.broadcast(lost), "qid", "left").select("qid", "entity", (damping * (F.coalesce("got", F.lit(0.0)) + F.coalesce("lost", F.lit(0.0)) * F.col("p")) + (1 - damping) * F.col("p")).alias("rank"))
-        new = _cut(new)
-        if tolerance is not None:
-            change = new.join(ranks.withColumnRenamed("rank", "was"), ["qid", "entity"]).groupBy("qid").agg(F.sum(F.abs(F.col("rank") - F.col("was"))).alias("d")).agg(F.max("d")).first()[0]
-            ranks = new
-            if change is None or change < n * tolerance:
-                break
-        ranks = new
-    return ranks
-
-
-def _small_pagerank(flat: DataFrame, seeds: DataFrame | None, damping: float, iterations: int, tolerance: float | None, uniform: float) -> DataFrame:
+        moved = active.join(step, "entity").groupBy("qid", F.col("obj").alias("entity")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+        lost = active.where("sink").groupBy("qid").agg(F.sum("rank").alias("lost"))
+        rank = damping * (F.coalesce("got", F.lit(0.0)) + F.coalesce("lost", F.lit(0.0)) * F.col("start")) + (1 - damping) * F.col("start")
+        new = stored(active.withColumnRenamed("rank", "was").join(moved, ["qid", "entity"], "left").join(lost, "qid", "left").select("qid", "entity", rank.alias("rank"), "was", "start", "sink"))
+        over = stored(new.groupBy("qid").agg(F.sum(F.abs(F.col("rank") - F.col("was"))).alias("change")).where(F.col("change") < n * tolerance).select("qid"))
+        done = new.join(over, "qid", "left_semi").select("qid", "entity", "rank", "start", F.lit(True).alias("converged"))
+        finished = done if finished is None else finished.unionAll(done)
+        active = new.join(over, "qid", "left_anti").select("qid", "entity", "rank", "start", "sink")
+        if active.isEmpty():
+            return finished
+    rest = active.select("qid", "entity", "rank", "start", F.lit(False).alias("converged"))
+    return rest if finished is None else finished.unionAll(rest)
+
+
+def _small(flat: DataFrame, seeds: DataFrame | None, alone: DataFrame, damping: float, iterations: int, tolerance: float, uniform: float) -> DataFrame:
     import numpy as np
     import pyarrow as pa
 
@@ -67,47 +96,40 @@ def _small_pagerank(flat: DataFrame, seeds: DataFrame | None, damping: float, it
     def run(rows: pa.Table) -> pa.Table:
         subj, obj, w, qid = (rows.column(c).to_pylist() for c in ("subj", "obj", "w", "qid"))
         edge = [(s, o, x) for s, o, x in zip(subj, obj, w, strict=True) if o is not None]
-        names = sorted({e[0] for e in edge} | {e[1] for e in edge})
+        names = sorted({e[0] for e in edge} | {e[1] for e in edge} | {s for s, o, q in zip(subj, obj, qid, strict=True) if o is None and q is None})
         at = {x: k for k, x in enumerate(names)}
         n = len(names)
         i, j, x = np.array([at[e[0]] for e in edge], int), np.array([at[e[1]] for e in edge], int), np.array([e[2] for e in edge], float)
-        out = np.bincount(i, x, n)
+        out = np.bincount(i, x, n).astype(float)
         share = x / out[i]
         sink = out == 0
-        wanted: dict[int, set[int]] = {} if personal else {0: set()}
+        wanted: dict[int, set[int]] = {} if personal or not n else {0: set()}
         for s, o, q in zip(subj, obj, qid, strict=True):
-            if o is None and s in at:
+            if q is not None and s in at:
                 wanted.setdefault(q, set()).add(at[s])
-        found = {"qid": [], "entity": [], "rank": []}
+        qids, ranks, starts, converged = [], [], [], []
         for q, mine in sorted(wanted.items()):
             p = np.full(n, (uniform if mine else 1.0) / n)
             p[sorted(mine)] += (1 - uniform) / max(len(mine), 1)
-            rank = np.full(n, 1.0 / n)
+            rank, change = np.full(n, 1.0 / n), np.inf
             for _ in range(iterations):
-                new = damping * (np.bincount(j, rank[i] * share, n) + rank[sink].sum() * p) + (1 - damping) * p
+                new = damping * (np.bincount(j, rank[i] * share, n).astype(float) + rank[sink].sum() * p) + (1 - damping) * p
                 change = np.abs(new - rank).sum()
                 rank = new
-                if tolerance is not None and change < n * tolerance:
+                if change < n * tolerance:
                     break
-            found["qid"] += [q] * n
-            found["entity"] += names
-            found["rank"] += rank.tolist()
-        return pa.table({"qid": pa.array(found["qid"], pa.int64()), "entity": pa.array(found["entity"], pa.string()), "rank": pa.array(found["rank"], pa.float64())})
-
-    rows = flat.select(F.lit(None).cast("bigint").alias("qid"), "subj", "obj", "w")
+            qids.append(np.full(n, q))
+            ranks.append(rank)
+            starts.append(p)
+            converged.append(np.full(n, change < n * tolerance))
+        cat = lambda v, t: np.concatenate(v).astype(t) if v else np.zeros(0, t)
+        return pa.table({"qid": cat(qids, np.int64), "entity": pa.array(names * len(qids), pa.string()), "rank": cat(ranks, np.float64), "start": cat(starts, np.float64), "converged": cat(converged, bool)})
+
+    none = lambda t: F.lit(None).cast(t)
+    rows = flat.select(none("bigint").alias("qid"), "subj", "obj", F.col("w").cast("double").alias("w")).unionAll(alone.select(none("bigint"), "entity", none("string"), none("double")))
     if seeds is not None:
-        rows = rows.unionAll(seeds.select(F.col("qid").cast("bigint"), "entity", F.lit(None).cast("string"), F.lit(None).cast("double")))
-    return rows.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(run, "qid bigint, entity string, rank double")
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """df without its lineage, kept where spark.checkpoint.dir says."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphsearch-"))
-    return df.checkpoint()
+        rows = rows.unionAll(seeds.select(F.col("qid").cast("bigint"), "entity", none("string"), none("double")))
+    return rows.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(run, "qid bigint, entity string, rank double, start double, converged boolean")  # at most SMALL_EDGES edges
 
 
 def importance(nodes: DataFrame, pagerank: DataFrame, weights: tuple[float, float, float] = (0.50, 0.15, 0.05)) -> DataFrame:
@@ -127,6 +149,39 @@ def query_blend(importance: DataFrame, personalised: DataFrame, weights: tuple[f
     return max_normalized(every.select("qid", "entity", (weights[0] * F.col("score") + weights[1] * F.coalesce("ppr", F.lit(0.0))).alias("score")), "score", ["qid"])
 
 
+def query_time_scores(nodes: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Of nodes(entity, frequency, avg_link_score), edges with relations and seeds(qid, entity): (qid, entity, score), the blend of importance and personalised rank; without seeds, importance alone (qid 0)."""
+    flat = semantic(edges)
+    base = importance(nodes, pagerank(flat, nodes=nodes))
+    if seeds.isEmpty():
+        return base.select(F.lit(0).cast("bigint").alias("qid"), "entity", "score")
+    return query_blend(base, pagerank(flat, seeds, nodes=nodes))
+
+
+def top_k(scores: DataFrame, nodes: DataFrame, k: int, type: str | None = None, exclude: tuple[str, ...] = (), score: str = "score") -> DataFrame:
+    """(entity, type, score) of the k best of one type, or of all but some types."""
+    typed = scores.join(nodes.select("entity", "type"), "entity")
+    if type is not None:
+        typed = typed.where(F.col("type") == type)
+    if exclude:
+        typed = typed.where(~F.col("type").isin(*exclude))
+    return top_entities(typed, k, score)
+
+
+def separation(edges: DataFrame, one: str, other: str, k: int = 3) -> DataFrame:
+    """(differ): whether the k best personalised ranks of two seeds name different entities."""
+    spark = edges.sparkSession
+    ranks = pagerank(edges, spark.createDataFrame([(0, one), (1, other)], "qid bigint, entity string"))
+    best = Window.partitionBy("qid").orderBy(F.desc(F.round("rank", 9)), "entity")
+    top = ranks.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k)
+    return top.groupBy("entity").agg(F.count_distinct("qid").alias("seeds")).agg((F.max("seeds") < 2).alias("disjoint"), (F.sum((F.col("seeds") < 2).cast("int")) > 0).alias("differ"))
+
+
+def score_distribution(scores: DataFrame, score: str = "score", k: int = 10) -> DataFrame:
+    """(top_1, mean_of_top): the best score, and the mean of the k best."""
+    return scores.orderBy(F.desc(score)).limit(k).agg(F.max(score).alias("top_1"), F.avg(score).alias("mean_of_top"))
+
+
 def top_entities(scores: DataFrame, k: int, score: str = "score") -> DataFrame:
     return scores.orderBy(F.desc(score), "entity").limit(k)
 

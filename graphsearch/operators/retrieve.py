@@ -2,48 +2,124 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphsearch.functions import dates, vectors
 
 FETCH, BOOST, CHUNKS_PER_DOC = 50, 0.15, 2
 #: Queries that are compared with all chunks in one pass; more go pass by pass.
-QUERIES_AT_ONCE = 4096
+QUERIES_AT_ONCE = 1024
+
+
+def _rows(column) -> np.ndarray:
+    return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1)
+
+
+def _best_products(ids: list, vectors: np.ndarray, id: str, vector: str, k: int, digits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            s = np.round(_rows(batch.column(vector)) @ vectors.T, digits)
+            n = len(batch)
+            least = np.partition(s, n - k, axis=0)[n - k] if n > k else np.full(len(ids), -np.inf)
+            row, q = np.nonzero(s >= least)
+            yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in q]), batch.column(id).take(pa.array(row)), pa.array(s[row, q])], ["qid", id, "score"])
 
+    return run
 
-def nearest_chunks(chunks: DataFrame, queries: DataFrame, k: int = FETCH, id: str = "chunk_id", vector: str = "embedding") -> DataFrame:
-    """Of queries(qid, q): (qid, id, score, place) of the k largest inner products; ties go to the smaller id.
 
-    A block of queries, of a checked number, meets every chunk where it lies; each task passes on its
-    k best of each query.
+def nearest_chunks(chunks: DataFrame, queries: DataFrame, k: int = FETCH, id: str = "chunk_id", vector: str = "embedding", digits: int = 9) -> DataFrame:
+    """Of queries(qid, q): (qid, id, score, place) of the k largest inner products, rounded to so many digits; ties go to the smaller id.
+
+    A block of queries, of a fixed number, goes to every chunk where it lies, as one matrix product a
+    batch; a batch passes on its k best of each query.  Null vectors take no part.
     """
     n = queries.count()
     blocks = max(1, -(-n // QUERIES_AT_ONCE))
-    v = F.transform(F.col(vector), lambda x: x.cast("double"))
+    base = chunks.select(F.col(id), F.col(vector).cast("array<double>").alias(vector)).where(F.col(vector).isNotNull())
+    fields = [queries.schema["qid"], base.schema[id], T.StructField("score", T.DoubleType())]
     found = None
     for b in range(blocks):
         some = queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b) if blocks > 1 else queries
-        part = chunks.select(F.col(id).alias("id"), v.alias("v")).crossJoin(F.broadcast(some.select("qid", "q"))).select("qid", "id", vectors.dot(F.col("v"), F.col("q")).alias("score"))
+        rows = [(r["qid"], r["q"]) for r in some.select("qid", F.col("q").cast("array<double>").alias("q")).where("q IS NOT NULL").collect()]
+        if not rows:
+            continue
+        part = base.mapInArrow(_best_products([q for q, _ in rows], np.array([v for _, v in rows]), id, vector, k, digits), T.StructType(fields))
         found = part if found is None else found.unionAll(part)
-    best = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).withColumnRenamed("id", id)
+    if found is None:
+        return base.select(F.lit(None).cast(fields[0].dataType).alias("qid"), id, F.lit(0.0).alias("score"), F.lit(1).alias("place")).limit(0)
+    best = Window.partitionBy("qid").orderBy(F.desc("score"), id)
+    return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
+
+
+def _nearest_cells(centroids: np.ndarray, vectors: np.ndarray, m: int) -> np.ndarray:
+    return np.argsort(-(vectors @ centroids.T), axis=1, kind="stable")[:, :m]
+
 
+def kmeans(vectors: DataFrame, cells: int, id: str = "chunk_id", vector: str = "embedding", steps: int = 8) -> np.ndarray:
+    """Centroids of at most so many cells (256 by rule), by steps of assignment to the largest inner product and normalised means.
 
-def ivf_nearest(chunks: DataFrame, queries: DataFrame, centroids: DataFrame, k: int = FETCH, probes: int = 32, id: str = "chunk_id", vector: str = "embedding") -> DataFrame:
-    """As nearest_chunks, in the cells of each query's nearest centroids(cell, c) only: an equality join on the cell."""
-    cells = F.broadcast(centroids.select("cell", "c"))  # at most 256 by rule
-    near = lambda df, v, key, m: df.crossJoin(cells).withColumn("d", vectors.dot(F.col(v), F.col("c"))).withColumn("p", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("d"), "cell"))).where(F.col("p") <= m)
-    placed = chunks.select(F.col(id).alias("id"), F.col(vector).alias("v")).crossJoin(cells).groupBy("id").agg(F.max_by("cell", F.struct(vectors.dot(F.col("v"), F.col("c")), -F.col("cell"))).alias("cell"), F.first("v").alias("v"))
-    asked = near(queries.select("qid", "q"), "q", "qid", probes).select("qid", "q", "cell")
-    scored = placed.join(asked, "cell").select("qid", "id", vectors.dot(F.col("v"), F.col("q")).alias("score"))
+    A step is one pass whose partial sums have a row for each cell and component; an empty cell keeps
+    its centroid.  It begins with the vectors of least hash of their id.
+    """
+    base = vectors.select(F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL")
+    now = np.array([r["v"] for r in base.orderBy(F.xxhash64("id"), "id").limit(cells).collect()])
+    for _ in range(steps if len(now) else 0):
+
+        def sums(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
+            total = np.zeros_like(now)
+            for batch in batches:
+                if len(batch):
+                    x = _rows(batch.column("v"))
+                    np.add.at(total, _nearest_cells(now, x, 1)[:, 0], x)
+            cell, place = np.nonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(place), pa.array(total[cell, place])], ["cell", "place", "total"])
+
+        new = np.zeros_like(now)
+        for r in base.mapInArrow(sums, "cell bigint, place bigint, total double").groupBy("cell", "place").agg(F.sum("total").alias("total")).collect():
+            new[r["cell"], r["place"]] = r["total"]
+        norm = np.sqrt((new * new).sum(axis=1))
+        now = np.where(norm[:, None] > 0, new / np.where(norm > 0, norm, 1)[:, None], now)
+    return now
+
+
+def ivf_nearest(chunks: DataFrame, queries: DataFrame, centroids: np.ndarray, k: int = FETCH, probes: int = 32, id: str = "chunk_id", vector: str = "embedding") -> DataFrame:
+    """As nearest_chunks, in the cells of each query's nearest centroids only: an equality join on the cell.
+
+    A cell is found by one matrix product a batch, so that no vector is copied before the join.
+    """
+
+    def place(m: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if len(batch):
+                    cells = _nearest_cells(centroids, _rows(batch.column("v")), m)
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells.tolist(), pa.list_(pa.int64()))], [*batch.schema.names, "cells"])
+
+        return run
+
+    put = lambda df, m: df.mapInArrow(place(m), T.StructType([*df.schema.fields, T.StructField("cells", T.ArrayType(T.LongType()))]))
+    placed = put(chunks.select(F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL"), 1).select("id", "v", F.explode("cells").alias("cell"))
+    asked = put(queries.select("qid", F.col("q").cast("array<double>").alias("v")).where("v IS NOT NULL"), probes).select("qid", F.col("v").alias("q"), F.explode("cells").alias("cell"))
+    scored = placed.join(asked, "cell").select("qid", "id", F.round(vectors.dot(F.col("v"), F.col("q")), 9).alias("score"))
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
     return scored.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).withColumnRenamed("id", id)
 
 
-def cell_count(n: int) -> int:
+def cell_count(n: int, exact_upto: int = 50_000) -> int:
     """Cells of an index over n vectors; none (an exact scan) up to 50,000."""
-    return 0 if n <= 50_000 else min(256, int(n**0.5))
+    return 0 if n <= exact_upto else min(256, int(n**0.5))
+
+
+#: Cells that a query is compared with.
+PROBES = 32
 
 
 def document_candidates(hits: DataFrame, chunks: DataFrame, boosts: DataFrame | None = None) -> DataFrame:
@@ -59,14 +135,19 @@ def document_candidates(hits: DataFrame, chunks: DataFrame, boosts: DataFrame |
     return docs.withColumn("retrieval_score", F.col("vector_score") * (1 + BOOST * F.col("graph_boost")))
 
 
-def graph_boosts(links: DataFrame, scores: DataFrame, top: int = 3) -> DataFrame:
-    """(qid, doc_id, graph_boost): the mean of a document's best entity scores, absent scores as 0."""
-    queries = scores.select("qid").distinct()
-    each = links.select("doc_id", "entity").distinct().crossJoin(F.broadcast(queries)).join(scores, ["qid", "entity"], "left")
+def graph_boosts(candidates: DataFrame, links: DataFrame, scores: DataFrame, top: int = 3) -> DataFrame:
+    """Of candidates(qid, doc_id), links(doc_id, entity) and scores(qid, entity, score): (qid, doc_id, graph_boost), the mean of a document's best entity scores, absent scores as 0."""
+    each = candidates.select("qid", "doc_id").distinct().join(links.select("doc_id", "entity").distinct(), "doc_id").join(scores, ["qid", "entity"], "left")
     best = F.slice(F.sort_array(F.collect_list(F.coalesce("score", F.lit(0.0))), asc=False), 1, top)
     return each.groupBy("qid", "doc_id").agg(best.alias("best")).select("qid", "doc_id", (F.aggregate("best", F.lit(0.0), lambda a, x: a + x) / F.size("best")).alias("graph_boost"))
 
 
+def document_hits(hits: DataFrame, documents: DataFrame) -> DataFrame:
+    """Document mode: of hits(qid, doc_id, score, place) on whole documents, those that documents has, with its columns; one a document."""
+    best = hits.groupBy("qid", "doc_id").agg(F.max("score").alias("vector_score"), F.min("place").alias("place"))
+    return best.join(documents, "doc_id").withColumn("graph_boost", F.lit(0.0)).withColumn("retrieval_score", F.col("vector_score"))
+
+
 def merge_variants(hits: DataFrame) -> DataFrame:
     """Of hits(qid, variant_ord, doc_id, score): a document's best score, of the first variant that has it."""
     return hits.groupBy("qid", "doc_id").agg(F.max("score").alias("score"), F.min_by("variant_ord", F.struct(-F.col("score"), "variant_ord")).alias("variant_ord"))

@@ -211,7 +211,7 @@ def link_cascade(spark, sf):
 
 @query(r"""
 WITH m AS (SELECT l_orderkey AS doc_id, 'e' || (l_partkey % 5) AS entity_id, l_returnflag AS type, l_linenumber * 1000000 + l_partkey * 10 + l_suppkey % 10 AS ord, 't' || (l_suppkey % 3) AS text, 1 - l_discount AS score, l_linestatus AS match_type FROM lineitem)
-SELECT doc_id, entity_id, type, first(text ORDER BY ord, text) AS text, max(score) AS link_score, first(match_type ORDER BY ord, match_type) AS match_type, list_distinct_ordered AS aliases FROM (
+SELECT doc_id, entity_id, type, first(text ORDER BY ord, text) AS text, max(score) AS link_score, first(match_type ORDER BY ord, text, match_type) AS match_type, list_distinct_ordered AS aliases FROM (
  SELECT doc_id, entity_id, type, text, score, match_type, ord, list(text) OVER w AS l, list_filter(list(text) OVER w, lambda x, i: list_position(list(text) OVER w, x) = i) AS list_distinct_ordered FROM m WINDOW w AS (PARTITION BY doc_id, entity_id, type ORDER BY ord, text ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) GROUP BY doc_id, entity_id, type, list_distinct_ordered
 """)
 def link_merge(spark, sf):

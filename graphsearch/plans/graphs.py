@@ -119,35 +119,38 @@ def _power_sql(trade: str, seeds: str | None, steps: int) -> str:
     parts += [f"base AS MATERIALIZED ({base})", "it0 AS MATERIALIZED (SELECT qid, entity, 1.0::DOUBLE / n AS rank FROM base, size)"]
     for k in range(steps):
         parts.append(f"it{k + 1} AS MATERIALIZED (SELECT b.qid, b.entity, 0.85 * (coalesce(g.got, 0) + coalesce(l.lost, 0) * b.p) + 0.15 * b.p AS rank FROM base b LEFT JOIN (SELECT qid, obj AS entity, sum(rank * share) AS got FROM it{k} JOIN step ON subj = entity GROUP BY ALL) g ON g.qid = b.qid AND g.entity = b.entity LEFT JOIN (SELECT qid, sum(rank) AS lost FROM it{k} WHERE entity NOT IN (SELECT subj FROM step) GROUP BY qid) l ON l.qid = b.qid)")
+    # The first step that changes a query's ranks by less than the tolerance a node is its last.
+    every = " UNION ALL ".join(f"SELECT {k} AS k, qid, entity, rank FROM it{k}" for k in range(steps + 1))
+    parts += [f"every AS ({every})", f"stop AS (SELECT qid, min(k) AS k FROM (SELECT b.qid, b.k, sum(abs(b.rank - a.rank)) AS d FROM every b JOIN every a ON a.k = b.k - 1 AND a.qid = b.qid AND a.entity = b.entity GROUP BY ALL), size WHERE d < n * {1e-6 if seeds is None else 1e-4} GROUP BY qid)", "ranks AS MATERIALIZED (SELECT qid, entity, rank FROM every JOIN stop USING (qid, k))"]
     return "WITH " + ",\n".join(parts)
 
 
-_GLOBAL, _DANGLING = _power_sql(_ALL, None, 20), _power_sql(_SINKS, None, 20)
+_GLOBAL, _DANGLING = _power_sql(_ALL, None, 24), _power_sql(_SINKS, None, 24)
 _SEED_SQL = "SELECT n_nationkey % 2 AS qid, n_name AS entity FROM nation WHERE n_nationkey IN (2, 3, 6)"
-_PPR = _power_sql(_ALL, _SEED_SQL, 20)
+_PPR = _power_sql(_ALL, _SEED_SQL, 24)
 
 
 def _seeds(spark, sf):
     return table(spark, sf, "nation").where("n_nationkey IN (2, 3, 6)").select((F.col("n_nationkey") % 2).cast("bigint").alias("qid"), F.col("n_name").alias("entity"))
 
 
-@query(_GLOBAL + " SELECT entity, round(rank / max(rank) OVER (), 6) AS pagerank FROM it20")
+@query(_GLOBAL + " SELECT entity, round(rank / max(rank) OVER (), 6) AS pagerank FROM ranks")
 def pagerank(spark, sf):
     return rank.max_normalized(rank.pagerank(trade_of(spark, sf)), "rank").select("entity", F.round("rank", 6).alias("pagerank"))
 
 
-@query(_DANGLING + " SELECT entity, round(rank, 6) AS pagerank FROM it20")
+@query(_DANGLING + " SELECT entity, round(rank, 6) AS pagerank FROM ranks")
 def pagerank_dangling(spark, sf):
     return rank.pagerank(trade_of(spark, sf, True)).select("entity", F.round("rank", 6).alias("pagerank"))
 
 
-@query(_PPR + " SELECT qid::BIGINT AS qid, entity, round(rank, 6) AS ppr FROM it20")
+@query(_PPR + " SELECT qid::BIGINT AS qid, entity, round(rank, 6) AS ppr FROM ranks")
 def personalized_pagerank(spark, sf):
     return rank.pagerank(trade_of(spark, sf), _seeds(spark, sf)).select("qid", "entity", F.round("rank", 6).alias("ppr"))
 
 
 _IMPORTANCE = """n AS (SELECT entity, count(*) AS f, avg(c) AS q FROM (SELECT subj AS entity, max_confidence AS c FROM trade UNION ALL SELECT obj, max_confidence FROM trade) GROUP BY entity),
-m AS (SELECT entity, 0.5 * coalesce(rank / (SELECT max(rank) FROM it20), 0) + 0.15 * f / max(f) OVER () + 0.05 * q / max(q) OVER () AS s FROM n LEFT JOIN it20 USING (entity)),
+m AS (SELECT entity, 0.5 * coalesce(rank / (SELECT max(rank) FROM ranks), 0) + 0.15 * f / max(f) OVER () + 0.05 * q / max(q) OVER () AS s FROM n LEFT JOIN ranks USING (entity)),
 imp AS (SELECT entity, s / max(s) OVER () AS score FROM m)"""
 
 
@@ -173,12 +176,12 @@ def importance_blend(spark, sf):
 
 def _renamed(sql: str) -> str:
     """The parts of a power iteration under other names, after those of another one."""
-    for name in ("flat", "step", "names", "size", "base", *(f"it{k}" for k in range(20, -1, -1))):
+    for name in ("flat", "step", "names", "size", "base", "every", "stop", "ranks", *(f"it{k}" for k in range(24, -1, -1))):
         sql = re.sub(rf"\b{name}\b", f"q_{name}", sql)
     return sql[sql.index("q_flat AS") :]
 
 
-@query(f"""{_GLOBAL}, {_IMPORTANCE}, {_renamed(_PPR)}, bl AS (SELECT qid, entity, 0.6 * score + 0.4 * coalesce(rank / (max(rank) OVER (PARTITION BY qid)), 0) AS s FROM imp JOIN q_it20 USING (entity))
+@query(f"""{_GLOBAL}, {_IMPORTANCE}, {_renamed(_PPR)}, bl AS (SELECT qid, entity, 0.6 * score + 0.4 * coalesce(rank / (max(rank) OVER (PARTITION BY qid)), 0) AS s FROM imp JOIN q_ranks USING (entity))
 SELECT qid::BIGINT AS qid, entity, round(s / max(s) OVER (PARTITION BY qid), 6) AS score FROM bl""")
 def query_blend(spark, sf):
     return rank.query_blend(importance_of(spark, sf), rank.pagerank(trade_of(spark, sf), _seeds(spark, sf))).select("qid", "entity", F.round("score", 6).alias("score"))

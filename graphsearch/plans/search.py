@@ -2,25 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import hashlib
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from graphsearch import storage
 from graphsearch.functions import dates, text, vectors
 from graphsearch.operators import evaluate, retrieve, training
 from graphsearch.operators import query as queries_
 from graphsearch.plans.corpus import _CHUNKS, _TOK, chunks_of
 from graphsearch.plans.registry import query, table
+from graphsearch.sources import tables
 from graphsearch.streaming import ingest
 
 _V = "v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings)"
-_HITS = f"{_V}, hits AS (SELECT q.vec_id AS qid, v.vec_id AS vec_id, list_dot_product(q.e, v.e) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.e, v.e), 9) DESC, v.vec_id) AS place FROM v, v q WHERE q.vec_id < 10 QUALIFY place <= 50)"
+_HITS = f"{_V}, hits AS (SELECT q.vec_id AS qid, v.vec_id AS vec_id, list_dot_product(q.e, v.e) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.e, v.e), 9) DESC, v.vec_id) AS place FROM v, v q WHERE q.vec_id % 50 = 0 QUALIFY place <= 50)"
 
 
-def _asked(spark, sf, n=10):
-    return table(spark, sf, "embeddings").where(F.col("vec_id") < n).select(F.col("vec_id").alias("qid"), F.transform("embedding", lambda x: x.cast("double")).alias("q"))
+def _asked(spark, sf):
+    """The queries of all searches: every vector whose id is divisible by 50."""
+    return table(spark, sf, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.transform("embedding", lambda x: x.cast("double")).alias("q"))
 
 
 def _hits(spark, sf):
@@ -39,12 +40,14 @@ def vector_stats(spark, sf):
     return n.agg(F.round(F.avg((F.col("n") >= 1e-6).cast("int")), 6).alias("coverage"), F.round(F.avg(real), 6).alias("mean"), F.round(F.stddev_pop(real), 6).alias("std"), F.round(F.min(real), 6).alias("min"), F.round(F.max(real), 6).alias("max"))
 
 
-@query(f"WITH {_HITS}, intra AS (SELECT avg(score) AS i FROM hits WHERE place = 2), q AS (SELECT vec_id, e FROM v WHERE vec_id < 10) SELECT round(i, 6) AS intra_top, round((SELECT avg(list_cosine_similarity(a.e, b.e)) FROM q a JOIN q b ON a.vec_id < b.vec_id), 6) AS inter_mean FROM intra")
+@query(f"WITH {_HITS}, intra AS (SELECT avg(score) AS i FROM hits WHERE place = 2), q AS (SELECT vec_id, e FROM v WHERE vec_id % 50 = 0) SELECT round(i, 6) AS intra_top, round((SELECT avg(list_cosine_similarity(a.e, b.e)) FROM q a JOIN q b ON a.vec_id < b.vec_id), 6) AS inter_mean FROM intra")
 def intra_inter_sim(spark, sf):
     intra = _hits(spark, sf).where("place = 2").agg(F.avg("score").alias("i"))
-    q = _asked(spark, sf)
-    pairs = q.select(F.col("qid").alias("a"), F.col("q").alias("x")).join(F.broadcast(q.select(F.col("qid").alias("b"), F.col("q").alias("y"))), F.col("a") < F.col("b"))  # ten queries
-    return intra.crossJoin(pairs.agg(F.avg(vectors.cosine(F.col("x"), F.col("y"))).alias("m"))).select(F.round("i", 6).alias("intra_top"), F.round("m", 6).alias("inter_mean"))
+    # The mean over all pairs of unit vectors, from their sum alone: |sum|^2 is the number of vectors and twice all pairs' cosines.
+    parts = _asked(spark, sf).select("qid", F.posexplode(vectors.normalized(F.col("q"))).alias("i", "x"))
+    sums = parts.groupBy("i").agg(F.sum("x").alias("s"), F.count("*").alias("n")).agg(F.sum(F.col("s") * F.col("s")).alias("s2"), F.max("n").alias("n"))
+    mean = (F.col("s2") - F.col("n")) / (F.col("n") * (F.col("n") - 1))
+    return intra.crossJoin(sums).select(F.round("i", 6).alias("intra_top"), F.round(mean, 6).alias("inter_mean"))
 
 
 @query(f"WITH {_HITS} SELECT qid, vec_id, round(score, 4) AS sim FROM hits WHERE vec_id <> qid AND round(score, 4) >= 0.3 AND place <= 6")
@@ -62,9 +65,10 @@ def embedding_link(spark, sf):
 
 @query()
 def ivf_topk(spark, sf):
-    e = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
-    seeds = e.orderBy(F.xxhash64("vec_id")).limit(16).select(F.col("vec_id").alias("cell"), F.col("embedding").alias("c"))
-    return retrieve.ivf_nearest(e, _asked(spark, sf), seeds, 50, 12, "vec_id").select("qid", "vec_id", F.round("score", 6).alias("score"), "place")
+    """An inverted file of k-means cells; tests hold it against the exact search, which it is when all cells are probed."""
+    e = table(spark, sf, "embeddings")
+    cells = retrieve.cell_count(e.count(), exact_upto=0)
+    return retrieve.ivf_nearest(e, _asked(spark, sf), retrieve.kmeans(e, cells, "vec_id"), 50, retrieve.PROBES, "vec_id").select("qid", "vec_id", F.round("score", 6).alias("score"), "place")
 
 
 @query("""
@@ -83,11 +87,11 @@ def chunk_to_doc_candidates(spark, sf):
     return d.select("doc_id", "chunk_id", F.round("vector_score", 6).alias("vector_score"), "n_chunks", F.round("retrieval_score", 6).alias("retrieval_score"))
 
 
-@query(f"WITH {_V}, s AS (SELECT q.vec_id % 3 AS qid, (q.vec_id / 3)::INT % 3 AS variant_ord, v.vec_id AS doc_id, round(list_dot_product(q.e, v.e), 6) AS score FROM v, v q WHERE q.vec_id < 9 AND q.vec_id % 3 <> 9), m AS (SELECT qid, doc_id, max(score) AS score, first(variant_ord ORDER BY score DESC, variant_ord) AS variant_ord FROM s GROUP BY ALL) SELECT * FROM m".replace("(q.vec_id / 3)::INT % 3", "q.vec_id // 3"))
+@query(f"WITH {_HITS}, s AS (SELECT qid // 150 AS qid, (qid // 50) % 3 AS variant_ord, vec_id AS doc_id, round(score, 6) AS score FROM hits WHERE place <= 20) SELECT qid, doc_id, max(score) AS score, first(variant_ord ORDER BY score DESC, variant_ord) AS variant_ord FROM s GROUP BY ALL")
 def multi_query_merge(spark, sf):
-    e = table(spark, sf, "embeddings")
-    h = retrieve.nearest_chunks(e, _asked(spark, sf, 9), 1 << 30, "vec_id")
-    return retrieve.merge_variants(h.select((F.col("qid") % 3).alias("qid"), F.floor(F.col("qid") / 3).alias("variant_ord"), F.col("vec_id").alias("doc_id"), F.round("score", 6).alias("score")))
+    """Three queries in a row count as variants of one; each has its 20 best."""
+    h = _hits(spark, sf).where("place <= 20")
+    return retrieve.merge_variants(h.select(F.floor(F.col("qid") / 150).alias("qid"), F.floor(F.col("qid") / 50) % 3, F.col("vec_id").alias("doc_id"), F.round("score", 6).alias("score")).toDF("qid", "variant_ord", "doc_id", "score"))
 
 
 @query("SELECT o_orderkey, round(1 - 0.08 * (1 - CASE WHEN o_orderkey % 20 = 0 THEN 0.85 ELSE exp(-greatest(date_diff('day', o_orderdate::DATE, DATE '2024-12-31'), 0) / 365.0) END), 6) AS score FROM orders")
@@ -98,7 +102,7 @@ def date_decay(spark, sf):
 
 def _bm25_sql(k: int) -> str:
     return rf"""t AS (SELECT doc_id, {_TOK.format(x="coalesce(text, '')")} AS t FROM documents), z AS (SELECT count(*) AS n, avg(len(t)) AS a FROM t),
-qt AS (SELECT qid, term, count(*) AS q_tf FROM (SELECT item_id AS qid, unnest({_TOK.format(x="text")}) AS term FROM benchmark WHERE item_id < 8) GROUP BY ALL),
+qt AS (SELECT qid, term, count(*) AS q_tf FROM (SELECT item_id AS qid, unnest({_TOK.format(x="text")}) AS term FROM benchmark) GROUP BY ALL),
 po AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM t) WHERE term IN (SELECT term FROM qt) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM po GROUP BY term),
 sc AS (SELECT qid, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / a)) * q_tf) AS score FROM po JOIN df USING (term) JOIN qt USING (term), z GROUP BY ALL),
@@ -106,7 +110,7 @@ bm AS (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY r
 
 
 def _bm25(spark, sf, k):
-    q = table(spark, sf, "benchmark").where("item_id < 8").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
     return training.bm25(table(spark, sf, "documents"), q, k)
 
 
@@ -128,13 +132,13 @@ def rerank_overlap(spark, sf):
     return _bm25(spark, sf, 20).join(b, "qid").join(d, "doc_id").select("qid", "doc_id", F.round(retrieve.rerank_overlap(F.col("q"), F.col("t")), 6).alias("overlap"))
 
 
-@query(f"""WITH {_HITS}, rel AS (SELECT q.vec_id AS qid, d.vec_id AS id FROM v q JOIN v d ON q.label = d.label WHERE q.vec_id < 10 AND d.vec_id <> q.vec_id), n AS (SELECT qid, count(*) AS r FROM rel GROUP BY qid),
+@query(f"""WITH {_HITS}, rel AS (SELECT q.vec_id AS qid, d.vec_id AS id FROM v q JOIN v d ON q.label = d.label WHERE q.vec_id % 50 = 0 AND d.vec_id <> q.vec_id), n AS (SELECT qid, count(*) AS r FROM rel GROUP BY qid),
 h AS (SELECT hits.qid, place, (rel.id IS NOT NULL)::INT AS hit FROM hits LEFT JOIN rel ON rel.qid = hits.qid AND rel.id = hits.vec_id WHERE place <= 20), s AS (SELECT *, sum(hit) OVER (PARTITION BY qid ORDER BY place) AS seen FROM h), ks AS (SELECT unnest([5, 10, 20]) AS k),
 m AS (SELECT k, qid, any_value(r) AS r, sum(hit) FILTER (place <= k) AS f, min(place) FILTER (hit = 1 AND place <= k) AS p1, sum(hit / log2(place + 1)) FILTER (place <= k) AS dcg, sum(hit * seen / place) AS ap FROM s JOIN n USING (qid), ks GROUP BY ALL)
 SELECT k, round(avg(f / r), 6) AS recall, round(avg(f / k), 6) AS precision, round(avg(coalesce(1 / p1, 0)), 6) AS mrr, round(avg(dcg / list_sum(list_transform(range(1, least(k, r) + 1), lambda i: 1 / log2(i + 1)))), 6) AS ndcg, round(avg(ap / r), 6) AS map FROM m GROUP BY k""")
 def ranking_metrics(spark, sf):
     e = table(spark, sf, "embeddings")
-    rel = e.where("vec_id < 10").select(F.col("vec_id").alias("qid"), "label").join(e.select(F.col("vec_id").alias("id"), "label"), "label").where("qid <> id").select("qid", "id")
+    rel = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "label").join(e.select(F.col("vec_id").alias("id"), "label"), "label").where("qid <> id").select("qid", "id")
     m = evaluate.ranking_metrics(_hits(spark, sf).where("place <= 20").select("qid", F.col("vec_id").alias("id"), "place"), rel)
     return m.select("k", *(F.round(c, 6).alias(c) for c in ("recall", "precision", "mrr", "ndcg", "map")))
 
@@ -171,7 +175,7 @@ def event_windows(spark, sf):
 def stream_dedup_window(spark, sf):
     """The batch's events as a stream: each event once, counted in windows that the watermark has closed."""
     e = table(spark, sf, "events")
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphsearch-")) + f"/{uuid.uuid4().hex}"
+    folder = storage.new_path(spark)
     stream = spark.readStream.schema(e.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     counted = ingest.windowed_counts(ingest.first_seen_stream(stream, "event_id", delay="1 hour"), "event_type", delay=None)
     q = counted.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
@@ -182,7 +186,7 @@ def stream_dedup_window(spark, sf):
 _SEARCH_SQL = rf"""WITH RECURSIVE {_CHUNKS}, ch AS (SELECT doc_id, chunk_index, CASE WHEN title <> '' THEN title || '. ' || part ELSE part END AS x FROM c),
 ct AS (SELECT doc_id, chunk_index, ('0x' || substr(md5(tok), 1, 8))::BIGINT % 256 AS slot, ln(1 + count(*)) AS val FROM (SELECT doc_id, chunk_index, unnest({_TOK.format(x="x")}) AS tok FROM ch) GROUP BY doc_id, chunk_index, slot),
 cv AS (SELECT doc_id, chunk_index, slot, val / sqrt(sum(val * val) OVER (PARTITION BY doc_id, chunk_index)) AS val FROM ct),
-qt AS (SELECT item_id AS qid, ('0x' || substr(md5(tok), 1, 8))::BIGINT % 256 AS slot, ln(1 + count(*)) AS val FROM (SELECT item_id, unnest({_TOK.format(x="text")}) AS tok FROM benchmark WHERE item_id < 3) GROUP BY qid, slot),
+qt AS (SELECT item_id AS qid, ('0x' || substr(md5(tok), 1, 8))::BIGINT % 256 AS slot, ln(1 + count(*)) AS val FROM (SELECT item_id, unnest({_TOK.format(x="text")}) AS tok FROM benchmark) GROUP BY qid, slot),
 qv AS (SELECT qid, slot, val / sqrt(sum(val * val) OVER (PARTITION BY qid)) AS val FROM qt),
 dots AS (SELECT qid, doc_id, chunk_index, round(sum(cv.val * qv.val), 6) AS score FROM cv JOIN qv USING (slot) GROUP BY ALL),
 fe AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id || '_chunk_' || lpad(chunk_index::VARCHAR, 6, '0')) AS place FROM dots QUALIFY place <= 50),
@@ -190,15 +194,33 @@ be AS (SELECT qid, doc_id, max(score) AS score FROM fe GROUP BY ALL)
 SELECT qid, doc_id, score AS retrieval_score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS place FROM be QUALIFY place <= 10"""
 
 
-@query(_SEARCH_SQL)
-def search_flagship(spark, sf):
-    """Chunks and queries by the same encoder, the 50 best chunks, their documents, and the 10 best of these."""
+def _vectors(spark, sf):
+    """The index of the corpus's chunks: built and saved once for an application and folder, then read."""
     c = chunks_of(spark, sf)
+    place = f"{storage.folder(spark)}/index-{hashlib.sha1(sf.encode()).hexdigest()}"
     e = c.select("doc_id", F.concat("doc_id", F.lit("_chunk_"), F.lpad(F.col("chunk_index").cast("string"), 6, "0")).alias("chunk_id"), vectors.encode(F.col("chunk_text")).alias("embedding"))
-    q = queries_.analyse(table(spark, sf, "benchmark").where("item_id < 3").select(F.col("item_id").alias("qid"), F.col("text").alias("query")))
-    q = q.select("qid", vectors.encode(F.col("query")).alias("q"))
-    scored = e.crossJoin(F.broadcast(q)).select("qid", "doc_id", "chunk_id", F.round(vectors.dot(F.col("embedding"), F.col("q")), 6).alias("score"))  # three queries
-    best = Window.partitionBy("qid").orderBy(F.desc("score"), "chunk_id")
-    hits = scored.withColumn("place", F.row_number().over(best)).where("place <= 50")
-    docs = retrieve.document_candidates(hits.select("qid", "chunk_id", "score", "place"), hits.select("chunk_id", "doc_id").distinct())
+    if place not in _saved:
+        tables.save_index({"vectors": e}, place)
+        _saved.add(place)
+    return tables.load_index(spark, place, "vectors")["vectors"]
+
+
+_saved: set[str] = set()
+
+
+@query("SELECT count(*) AS n_chunks, count(DISTINCT doc_id) AS n_docs, true AS unit FROM c".join([f"WITH RECURSIVE {_CHUNKS} ", ""]))
+def index_build(spark, sf):
+    """Chunks, encoded and saved."""
+    _saved.discard(f"{storage.folder(spark)}/index-{hashlib.sha1(sf.encode()).hexdigest()}")
+    v = _vectors(spark, sf)
+    return v.agg(F.count("*").alias("n_chunks"), F.count_distinct("doc_id").alias("n_docs"), F.bool_and((F.abs(vectors.norm(F.col("embedding")) - 1) < 1e-9) | (vectors.norm(F.col("embedding")) == 0)).alias("unit"))
+
+
+@query(_SEARCH_SQL)
+def search_flagship(spark, sf):
+    """Chunks and queries by the same encoder, the 50 best chunks, their documents, and the 10 best of these, for all items."""
+    e = _vectors(spark, sf)
+    q = queries_.analyse(table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query")))
+    hits = retrieve.nearest_chunks(e, q.select("qid", vectors.encode(F.col("query")).alias("q")), 50, digits=6)
+    docs = retrieve.document_candidates(hits, hits.select("chunk_id", F.regexp_extract("chunk_id", "^(.*)_chunk_", 1).cast("bigint").alias("doc_id")).distinct())
     return retrieve.top_hits(docs).select("qid", "doc_id", "retrieval_score", "place")
