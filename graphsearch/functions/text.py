@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -138,3 +142,65 @@ def pseudo_queries(title: Column, text: Column, category: Column) -> Column:
     given = F.filter(F.transform(every, lambda q: F.trim(q)), lambda q: q.isNotNull() & (q != ""))
     low = F.transform(given, lambda q: F.lower(q))
     return F.filter(given, lambda q, i: F.array_position(low, F.lower(q)) == i + 1)
+
+
+@lru_cache
+def _normal(form: str):
+    @F.arrow_udf("string")
+    def normal(c: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else unicodedata.normalize(form, x) for x in c.to_pylist()], pa.string())
+
+    return normal
+
+
+def composed(c: Column) -> Column:
+    """NFC, white space as single spaces, trimmed."""
+    return F.trim(F.regexp_replace(_normal("NFC")(c), r"(?U)\s+", " "))
+
+
+def evaluation_form(c: Column) -> Column:
+    """NFKC, lower case, anything but word characters as spaces, single spaces."""
+    return link_form(_normal("NFKC")(c))
+
+
+def unmarked_any(c: Column) -> Column:
+    """Without combining marks after decomposition, whatever the script; letters that don't decompose stay."""
+    return F.regexp_replace(_normal("NFKD")(c), r"\p{M}+", "")
+
+
+def segment(c: Column, tool=None) -> Column:
+    """Words of several syllables joined by underscores, by an Arrow function of a plug-in; as it is without one."""
+    return c if tool is None else tool(c)
+
+
+def desegment(c: Column) -> Column:
+    return F.replace(c, F.lit("_"), F.lit(" "))
+
+
+def numbered_spans(c: Column) -> Column:
+    """(sentence_id, start, end, text) of all runs up to . ! or ?, trimmed, of any length; ids count blank runs, which are left out."""
+    empty = F.expr("cast(array() as array<struct<sentence_id:int,start:int,end:int,text:string>>)")
+    # Runs of marks alone belong to no sentence but take up room.
+    found = F.regexp_extract_all(c, F.lit(r"[^.!?]+[.!?]?|[.!?]"), F.lit(0))
+
+    def step(a: Column, s: Column) -> Column:
+        lead = F.length(s) - F.length(F.regexp_replace(s, r"(?U)^\s+", ""))
+        body = F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
+        run = ~s.rlike(r"^[.!?]$")
+        one = F.struct(a["id"].alias("sentence_id"), (a["at"] + lead).cast("int").alias("start"), (a["at"] + lead + F.length(body)).cast("int").alias("end"), body.alias("text"))
+        return F.struct((a["at"] + F.length(s)).alias("at"), (a["id"] + run.cast("int")).alias("id"), F.when(run & (body != ""), F.concat(a["out"], F.array(one))).otherwise(a["out"]).alias("out"))
+
+    return F.aggregate(found, F.struct(F.lit(0).alias("at"), F.lit(0).alias("id"), empty.alias("out")), step, lambda a: a["out"])
+
+
+def seeds_or_keywords(entities: Column, keywords: Column, most: int = 5, fallback: int = 3) -> Column:
+    """The first entities, or without any the first keywords."""
+    return F.when(F.size(entities) > 0, F.slice(entities, 1, most)).otherwise(F.slice(keywords, 1, fallback))
+
+
+def explain(row: dict) -> str:
+    """An analysed and expanded query as lines of text."""
+    lines = [f"query: {row.get('normalized') or ''}"]
+    lines += [f"{name}: {', '.join(map(str, row[name]))}" for name in ("keywords", "entities", "seeds", "hop1", "hop2") if row.get(name)]
+    lines += [f"{name}: {row[name]}" for name in ("topic", "year_filter", "intent") if row.get(name)]
+    return "\n".join(lines)

@@ -42,3 +42,13 @@ def chunk_documents(documents: DataFrame, id: str = "id", title: str = "title",
     cut = documents.select(F.col(id).alias("doc_id"), F.col(title).alias("t"), F.when(F.size(body) > 0, body).otherwise(head).alias("parts"))
     made = cut.select("doc_id", "t", F.posexplode("parts").alias("chunk_index", "part"))
     return made.select("doc_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), F.concat_ws("_chunk_", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")).alias("chunk_id"), F.when(F.col("t") != "", F.concat_ws(". ", "t", "part")).otherwise(F.col("part")).alias("chunk_text"))
+
+
+def chunk_stats(chunks: DataFrame) -> DataFrame:
+    """(n_docs, n_chunks, per_doc)."""
+    return chunks.agg(F.count_distinct("doc_id").alias("n_docs"), F.count("*").alias("n_chunks")).withColumn("per_doc", F.col("n_chunks") / F.greatest("n_docs", F.lit(1)))
+
+
+def chunks_by_document(chunks: DataFrame) -> DataFrame:
+    """(doc_id, chunk_ids) in order: the other way round of chunks' doc_id."""
+    return chunks.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_id"))), lambda x: x["chunk_id"]).alias("chunk_ids"))  # of one document

@@ -72,3 +72,8 @@ def summary(documents: DataFrame, by: str) -> DataFrame:
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
     """The first k rows of each group; Spark limits groups before the shuffle."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= k)
+
+
+def where_equal(documents: DataFrame, column: str, value: str) -> DataFrame:
+    """Documents of one category, source, or whatever the column names."""
+    return documents.where(F.col(column) == value)

@@ -7,18 +7,77 @@ from pyspark.sql import functions as F
 
 from graphsearch.functions import vectors
 from graphsearch.operators.clean import top_per_group
+from graphsearch.storage import stored
 
 MIN_TRIPLE, MIN_LINK, PAIRS_PER_DOC, CO_OCCURRENCE, MIN_EDGE = 0.60, 0.70, 5, 0.50, 0.65
 
 
 def nodes(links: DataFrame) -> DataFrame:
     """Of links(doc_id, entity, type, link_score, ord): entity, type (most votes, then first seen), frequency, n_docs, avg_link_score."""
-    votes = links.groupBy("entity", "type").agg(F.count("*").alias("votes"), F.min(F.struct("doc_id", "ord")).alias("first"), F.sum("link_score").alias("total"), F.min("doc_id").alias("first_doc"))
+    votes = links.groupBy("entity", "type").agg(F.count("*").alias("votes"), F.min(F.struct("doc_id", "ord")).alias("first"), F.sum("link_score").alias("total"))
     best = votes.groupBy("entity").agg(F.min_by("type", F.struct(-F.col("votes"), "first")).alias("type"), F.sum("votes").alias("frequency"), F.sum("total").alias("link_score_sum"))
     docs = links.select("entity", "doc_id").distinct().groupBy("entity").agg(F.count("*").alias("n_docs"))
     return best.join(docs, "entity").select("entity", "type", "frequency", "n_docs", (F.col("link_score_sum") / F.greatest("frequency", F.lit(1))).alias("avg_link_score"))
 
 
+def build(links: DataFrame, triples: DataFrame | None = None, least: float = MIN_TRIPLE) -> dict[str, DataFrame]:
+    """The graph of documents, in their order.
+
+    links(doc_id, doc_ord, date, entity, type, link_score, ord) are what documents name, and
+    triples(doc_id, doc_ord, date, subj, relation, obj, confidence, ord, sentence) what they say of it; a document's links
+    come before its triples.  An end of a triple that nothing before it names is a node of type MISC.
+    nodes: entity, type, frequency, n_docs, avg_link_score.  node_documents: entity, doc_id, doc_ord, a row
+    for each document of an entity (no entity's documents are gathered in one row).  occurrences: subj,
+    obj, relation, doc_id, doc_ord, date, confidence, sentence, of triples and of co-occurrences.
+    """
+    links = links.where("entity <> ''")
+    said = None if triples is None else accepted_triples(triples, least)
+    feed = links.select("entity", "type", "link_score", "doc_id", "doc_ord", F.lit(0).alias("stage"), F.col("ord").cast("bigint").alias("ord"))
+    if said is not None:
+        ends = said.select(F.col("subj").alias("entity"), "doc_id", "doc_ord", (2 * F.col("ord")).alias("ord")).unionAll(said.select("obj", "doc_id", "doc_ord", 2 * F.col("ord") + 1))
+        first = ends.groupBy("entity").agg(F.min(F.struct("doc_ord", "ord", "doc_id")).alias("t"))
+        named = links.groupBy("entity").agg(F.min("doc_ord").alias("named"))
+        alone = first.join(named, "entity", "left").where("named IS NULL OR t.doc_ord < named")
+        feed = feed.unionAll(alone.select("entity", F.lit("MISC"), F.lit(1.0), "t.doc_id", "t.doc_ord", F.lit(1), F.col("t.ord").cast("bigint")))
+    table = nodes(feed.select("entity", "type", "link_score", F.col("doc_ord").alias("doc_id"), F.struct("stage", "ord").alias("ord")))
+    together = cooccurrence_pairs(links, said).join(links.select("doc_id", "doc_ord", "date").distinct(), "doc_id")
+    seen = together.select(F.col("e1").alias("subj"), F.col("e2").alias("obj"), F.lit("co_occurrence").alias("relation"), "doc_id", "doc_ord", "date", F.lit(CO_OCCURRENCE).alias("confidence"), F.lit("").alias("sentence"))
+    if said is not None:
+        seen = said.select("subj", "obj", "relation", "doc_id", "doc_ord", "date", "confidence", "sentence").unionByName(seen)
+    return {"nodes": table, "node_documents": feed.select("entity", "doc_id", "doc_ord").distinct(), "occurrences": seen}
+
+
+def edge_sentences(occurrences: DataFrame) -> DataFrame:
+    """(subj, obj, relation, sentence): the distinct sentences of each edge, a row each."""
+    return occurrences.where("sentence <> ''").select("subj", "obj", "relation", "sentence").distinct()
+
+
+def entity_info(nodes: DataFrame, edges: DataFrame, entity: str) -> DataFrame:
+    """One row of nodes with its degrees, 0 without an edge; no row for an unknown name."""
+    return nodes.where(F.col("entity") == entity).join(degrees(edges.where((F.col("subj") == entity) | (F.col("obj") == entity))), "entity", "left").fillna(0, ["degree", "in_degree", "out_degree"])
+
+
+def with_pagerank(nodes: DataFrame, ranks: DataFrame) -> DataFrame:
+    """nodes with their ranks as pagerank, 0 where a node has none."""
+    return nodes.drop("pagerank").join(ranks.select("entity", F.col("rank").alias("pagerank")), "entity", "left").fillna(0.0, ["pagerank"])
+
+
+def similar_entities(nodes: DataFrame, edges: DataFrame, least: float, encode=vectors.encode) -> DataFrame:
+    """similar_to edges in the form of edges: pairs of names with that cosine, from the earlier name to the later, but those with an edge that way."""
+    numbered = stored(nodes.select("entity", F.xxhash64("entity").alias("id"), encode(F.col("entity")).alias("embedding")))
+    pairs = similarity_edges(numbered, least, "id")
+    side = lambda p: numbered.select(F.col("id").alias(p), F.col("entity").alias(f"{p}_name"))
+    named = pairs.join(side("subj"), "subj").join(side("obj"), "obj").select(F.least("subj_name", "obj_name").alias("subj"), F.greatest("subj_name", "obj_name").alias("obj"), F.round("cosine", 4).alias("weight"))
+    fresh = named.join(edges.select("subj", "obj").distinct(), ["subj", "obj"], "left_anti")
+    return fresh.select("subj", "obj", F.lit("similar_to").alias("relation"), "weight", F.lit(1).cast("bigint").alias("occurrences"), F.col("weight").alias("max_confidence"))
+
+
+def synthetic_qrels(entities: DataFrame, node_documents: DataFrame, most: int = 20) -> DataFrame:
+    """(query, doc_id): each of entities(entity) as a query, and the first documents that name it."""
+    found = node_documents.join(entities.select("entity"), "entity")
+    return top_per_group(found, ["entity"], [F.col("doc_ord"), F.col("doc_id")], most).select(F.col("entity").alias("query"), "doc_id")
+
+
 def accepted_triples(triples: DataFrame, least: float = MIN_TRIPLE) -> DataFrame:
     return triples.where((F.col("subj") != "") & (F.col("obj") != "") & (F.col("subj") != F.col("obj")) & (F.col("confidence") >= least))
 
@@ -130,8 +189,11 @@ def induced_subgraph(nodes: DataFrame, edges: DataFrame, k: int, score: str = "p
     return best.join(connected.select("entity", "degree"), "entity"), inner
 
 
-def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(kind, name, n): nodes by type, edges by relation, and totals."""
+def stats(nodes: DataFrame, edges: DataFrame, most: int = 10) -> DataFrame:
+    """(kind, name, n): nodes by type, edges by relation, totals, co-occurrence and semantic totals, and the most frequent semantic relations."""
     by_type = nodes.rollup("type").agg(F.count("*").alias("n")).select(F.lit("nodes").alias("kind"), F.coalesce("type", F.lit("*")).alias("name"), "n")
-    by_relation = edges.rollup("relation").agg(F.count("*").alias("n")).select(F.lit("edges").alias("kind"), F.coalesce("relation", F.lit("*")).alias("name"), "n")
-    return by_type.unionAll(by_relation)
+    counts = edges.groupBy("relation").agg(F.count("*").alias("n"))
+    by_relation = counts.rollup("relation").agg(F.sum("n").alias("n")).select(F.lit("edges").alias("kind"), F.coalesce("relation", F.lit("*")).alias("name"), "n")
+    halves = counts.groupBy(F.when(F.col("relation") == "co_occurrence", "co_occurrence").otherwise("semantic").alias("name")).agg(F.sum("n").alias("n")).select(F.lit("totals").alias("kind"), "name", "n")
+    top = counts.where("relation <> 'co_occurrence'").orderBy(F.desc("n"), "relation").limit(most).select(F.lit("top_relations").alias("kind"), F.col("relation").alias("name"), "n")
+    return by_type.unionAll(by_relation).unionAll(halves).unionAll(top)

@@ -10,8 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphsearch.functions import text
+from graphsearch.functions import text, vectors
 from graphsearch.functions.constants import NEVER_MATCHED, SEED_ALIASES
+from graphsearch.operators import graph
+from graphsearch.storage import stored
 
 NAME = r"\p{Lu}[\p{L}\p{N}]*(?: \p{Lu}[\p{L}\p{N}]*)*"
 
@@ -70,20 +72,92 @@ def fuzzy_pairs(forms: DataFrame) -> DataFrame:
     return scored.groupBy("form").agg(F.min_by("other", F.struct("distance", -F.col("sim"), "other_ord")).alias("matched"), F.min("distance").cast("bigint").alias("distance"))
 
 
-def link_forms(mentions: DataFrame, surface: str = "text", order: tuple[str, ...] = ("doc_id", "mention_ord")) -> DataFrame:
-    """(form, root): each distinct normal form and the form whose entity it names."""
-    forms = mentions.select(text.link_form(F.col(surface)).alias("form"), F.struct(*order).alias("ord")).where("form <> ''").groupBy("form").agg(F.min("ord").alias("ord"))
-    plain = forms.withColumn("plain", text.unmarked(F.col("form")))
-    heads = plain.groupBy("plain").agg(F.min_by("form", "ord").alias("head"), F.min("ord").alias("ord"))
-    up = heads.join(fuzzy_pairs(heads.select(F.col("head").alias("form"), "ord")).withColumnRenamed("form", "head"), "head", "left").select(F.col("head").alias("form"), F.coalesce("matched", "head").alias("root")).persist()
+SIMILAR = 0.80
+
+
+def vector_pairs(forms: DataFrame, least: float = SIMILAR, encode=vectors.encode) -> DataFrame:
+    """Of forms(form, ord): (form, matched, cosine): the earlier form whose vector is nearest, with at least that cosine; the earliest of equals."""
+    numbered = stored(forms.select("form", "ord", F.xxhash64("form").alias("id"), encode(F.col("form")).alias("embedding")))
+    near = graph.similarity_edges(numbered, least, "id")
+    pairs = near.unionAll(near.select("obj", "subj", "cosine"))
+    side = lambda p: numbered.select(F.col("id").alias(f"{p}_id"), F.col("form").alias(p), F.col("ord").alias(f"{p}_ord"))
+    met = pairs.join(side("form"), F.col("subj") == F.col("form_id")).join(side("other"), F.col("obj") == F.col("other_id")).where("other_ord < form_ord")
+    return met.groupBy("form").agg(F.min(F.struct((-F.round("cosine", 9)).alias("d"), F.col("other_ord").alias("o"), F.col("other").alias("matched"))).alias("b")).select("form", "b.matched", (-F.col("b.d")).alias("cosine"))
+
+
+def _followed(up: DataFrame) -> DataFrame:
+    """Of (form, root): root as the end of the chain; every round halves the way and is written."""
     while True:
         step = up.select(F.col("form").alias("root"), F.col("root").alias("next"))
-        ahead = up.join(step, "root", "left").select("form", F.col("root").alias("was"), F.coalesce("next", "root").alias("root")).persist()
-        moved = not ahead.where("was <> root").isEmpty()
-        up.unpersist()
+        ahead = stored(up.join(step, "root", "left").select("form", F.col("root").alias("was"), F.coalesce("next", "root").alias("root")))
         up = ahead.drop("was")
-        if not moved:
-            return plain.join(heads.select("plain", "head"), "plain").join(up.withColumnRenamed("form", "head"), "head").select("form", "root")
+        if ahead.where("was <> root").isEmpty():
+            return up
+
+
+def _chains(heads: DataFrame, least: float | None, encode) -> DataFrame:
+    """Of heads(head, ord): (head, root, how, similarity): what each is matched with first (by vector, then by spelling), and the end of its chain."""
+    forms = stored(heads.select(F.col("head").alias("form"), "ord"))
+    spelled = fuzzy_pairs(forms).select("form", F.col("matched").alias("by_spelling"), "distance")
+    matched = forms.select("form").join(spelled, "form", "left")
+    if least is not None:
+        matched = matched.join(vector_pairs(forms, least, encode).select("form", F.col("matched").alias("by_vector"), "cosine"), "form", "left")
+    else:
+        matched = matched.withColumns({"by_vector": F.lit(None).cast("string"), "cosine": F.lit(None).cast("double")})
+    how = F.when(F.col("by_vector").isNotNull(), "embedding").when(F.col("by_spelling").isNotNull(), "levenshtein").otherwise("new")
+    longest = F.greatest(F.length("form"), F.length("by_spelling"))
+    similarity = F.when(F.col("by_vector").isNotNull(), F.round("cosine", 4)).when(F.col("by_spelling").isNotNull(), 1 - F.col("distance") / longest).otherwise(F.lit(1.0))
+    first = stored(matched.select("form", F.coalesce("by_vector", "by_spelling", "form").alias("root"), how.alias("how"), similarity.alias("similarity")))
+    return _followed(first.select("form", "root")).join(first.select("form", "how", "similarity"), "form").withColumnRenamed("form", "head")
+
+
+def link_forms(mentions: DataFrame, surface: str = "text", order: tuple[str, ...] = ("doc_id", "mention_ord")) -> DataFrame:
+    """(form, root): each distinct normal form and the form whose entity it names, by exact forms and by spelling."""
+    forms = mentions.select(text.link_form(F.col(surface)).alias("form"), F.struct(*order).alias("ord")).where("form <> ''").groupBy("form").agg(F.min("ord").alias("ord"))
+    plain = stored(forms.withColumn("plain", text.unmarked(F.col("form"))))
+    heads = plain.groupBy("plain").agg(F.min_by("form", "ord").alias("head"), F.min("ord").alias("ord"))
+    return plain.join(heads.select("plain", "head"), "plain").join(_chains(heads, None, None), "head").select("form", "root")
+
+
+def link_mentions(mentions: DataFrame, aliases: DataFrame | None = None, least: float | None = SIMILAR, encode=vectors.encode, surface: str = "text", order: tuple[str, ...] = ("doc_id", "mention_ord")) -> DataFrame:
+    """mentions with entity_id, canonical, similarity, match_type; mentions without a letter or digit go.
+
+    As if mentions came one by one: the first with a form is matched by vector (embedding), else by
+    spelling (levenshtein), with an earlier form or a known alias (canonical, norm, entity_id, ord), else it is
+    new and gives the entity its name; any later one, and one of a known alias, is exact.
+    """
+    m = mentions.withColumn("norm", text.link_form(F.col(surface))).where("norm <> ''").withColumn("plain", text.unmarked(F.col("norm")))
+    m = stored(m.withColumn("ord", F.struct(F.lit(1).alias("later"), *(F.col(c).alias(f"o{k}") for k, c in enumerate(order)))))
+    types = [f.dataType for f in m.schema["ord"].dataType.fields]
+    met = m.select("plain", "norm", "ord", F.trim(surface).alias("name"), F.lit(None).cast("string").alias("known_id"))
+    if aliases is not None:
+        at = F.lpad(F.col("ord").cast("string"), 10, "0")
+        place = F.struct(F.lit(0).alias("later"), at.cast(types[1]).alias("o0"), *(F.lit(0).cast(t).alias(f"o{k + 1}") for k, t in enumerate(types[2:])))
+        met = met.unionByName(aliases.select(F.col("nodiac").alias("plain"), "norm", place.alias("ord"), F.col("canonical").alias("name"), F.col("entity_id").alias("known_id")))
+    heads = stored(met.groupBy("plain").agg(F.min(F.struct("ord", "norm", "name", "known_id")).alias("f")).select("plain", "f.ord", F.col("f.norm").alias("head"), "f.name", "f.known_id"))
+    chains = _chains(heads, least, encode)
+    names = heads.select(F.col("head").alias("root"), F.col("name").alias("canonical"), F.coalesce("known_id", text.entity_slug(F.col("name"))).alias("entity_id"))
+    resolved = heads.select("plain", "head", F.col("ord").alias("first")).join(chains, "head").join(names, "root")
+    joined = m.join(resolved, "plain")
+    fresh = F.col("ord") == F.col("first")
+    return joined.select(*(F.col(f"`{c}`") for c in mentions.columns), "entity_id", "canonical", F.when(fresh, F.col("similarity")).otherwise(F.lit(1.0)).alias("similarity"), F.when(fresh, F.col("how")).otherwise("exact").alias("match_type"))
+
+
+def aliases_of(linked: DataFrame, surface: str = "text") -> DataFrame:
+    """(norm, nodiac, canonical, entity_id, ord): the alias table that linked mentions leave; seeds come first."""
+    norm = text.link_form(F.col(surface))
+    made = linked.groupBy(norm.alias("norm")).agg(F.min(F.struct("entity_id", "canonical")).alias("e"))
+    made = made.select("norm", text.unmarked(F.col("norm")).alias("nodiac"), "e.canonical", "e.entity_id", (F.abs(F.xxhash64("norm")) % 1_000_000_000 + 1_000).cast("int").alias("ord"))
+    return seed_aliases(linked.sparkSession).select("norm", "nodiac", "canonical", "entity_id", "ord").unionByName(made)
+
+
+def add_alias(aliases: DataFrame, alias: str, canonical: str) -> DataFrame:
+    """aliases with one more, of the entity that the canonical name has."""
+    spark = aliases.sparkSession
+    last = aliases.agg(F.max("ord").alias("last"))
+    one = spark.createDataFrame([(alias, canonical)], "alias string, canonical string").crossJoin(last)
+    norm = text.link_form(F.col("alias"))
+    return aliases.unionByName(one.select(norm.alias("norm"), text.unmarked(norm).alias("nodiac"), "canonical", text.entity_slug(F.col("canonical")).alias("entity_id"), (F.coalesce("last", F.lit(0)) + 1).cast("int").alias("ord")))
 
 
 def merge_links(linked: DataFrame) -> DataFrame:

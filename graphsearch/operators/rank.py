@@ -21,7 +21,7 @@ def max_normalized(df: DataFrame, score: str, by: list[str] | None = None) -> Da
     return joined.withColumn(score, F.when(F.col("top_score") > 0, F.col(score) / F.col("top_score")).otherwise(F.col(score))).drop("top_score")
 
 
-def pagerank(edges: DataFrame, seeds: DataFrame | None = None, damping: float = DAMPING, iterations: int | None = None, tolerance: float | None = None, uniform: float = UNIFORM, nodes: DataFrame | None = None) -> DataFrame:
+def pagerank(edges: DataFrame, seeds: DataFrame | None = None, damping: float = DAMPING, iterations: int | None = None, tolerance: float | None = None, uniform: float = UNIFORM, nodes: DataFrame | None = None, small: int = SMALL_EDGES) -> DataFrame:
     """(qid, entity, rank): global ranks (qid 0), or those of all queries of seeds(qid, entity) in one job.
 
     Weights of parallel edges(subj, obj, weight) add up.  nodes(entity) are further nodes, without edges.  A query
@@ -30,13 +30,13 @@ def pagerank(edges: DataFrame, seeds: DataFrame | None = None, damping: float =
     query without a seed that is a node has the global ranks.
     """
     tol, most = GLOBAL if seeds is None else PERSONAL
-    found = power_iteration(edges, seeds, damping, iterations or most, tol if tolerance is None else tolerance, uniform, nodes)
+    found = power_iteration(edges, seeds, damping, iterations or most, tol if tolerance is None else tolerance, uniform, nodes, small)
     if seeds is None:
         incoming = edges.groupBy(F.col("obj").alias("entity")).agg(F.sum("weight").alias("incoming"))
         return found.join(incoming, "entity", "left").select("qid", "entity", F.when(F.col("converged"), F.col("rank")).otherwise(F.coalesce("incoming", F.lit(0.0))).alias("rank"))
     own = found.select("qid", "entity", F.when(F.col("converged"), F.col("rank")).otherwise(F.col("start")).alias("rank"))
     lost = seeds.select(F.col("qid").cast("bigint").alias("qid")).distinct().join(own.select("qid").distinct(), "qid", "left_anti")
-    everyone = pagerank(edges, None, damping, nodes=nodes).select("entity", "rank")
+    everyone = pagerank(edges, None, damping, nodes=nodes, small=small).select("entity", "rank")
     return own.unionByName(lost.crossJoin(everyone).select("qid", "entity", "rank"))  # a row for each node and such query, as for all others
 
 
@@ -45,7 +45,7 @@ def semantic(edges: DataFrame) -> DataFrame:
     return edges.where("relation <> 'co_occurrence'")
 
 
-def power_iteration(edges: DataFrame, seeds: DataFrame | None, damping: float, iterations: int, tolerance: float, uniform: float = UNIFORM, nodes: DataFrame | None = None) -> DataFrame:
+def power_iteration(edges: DataFrame, seeds: DataFrame | None, damping: float, iterations: int, tolerance: float, uniform: float = UNIFORM, nodes: DataFrame | None = None, small: int = SMALL_EDGES) -> DataFrame:
     """(qid, entity, rank, start, converged) of power iteration; start is the personalisation, to which the rank of nodes without out-edges goes.
 
     Queries without a seed among the nodes have no row.  Each iteration joins on the node and sums by
@@ -55,7 +55,7 @@ def power_iteration(edges: DataFrame, seeds: DataFrame | None, damping: float, i
     alone = (nodes.select("entity") if nodes is not None else flat.select(F.col("subj").alias("entity")).limit(0)).distinct()
     n_edges = flat.count()
     n_queries = 1 if seeds is None else seeds.select("qid").distinct().count()
-    if n_edges <= SMALL_EDGES and (n_edges + alone.count()) * n_queries <= SMALL_WORK:
+    if n_edges <= small and (n_edges + alone.count()) * n_queries <= SMALL_WORK:
         return _small(flat, seeds, alone, damping, iterations, tolerance, uniform)
     out = flat.groupBy("subj").agg(F.sum("w").alias("out"))
     step = stored(flat.join(out, "subj").select(F.col("subj").alias("entity"), "obj", (F.col("w") / F.col("out")).alias("share")))

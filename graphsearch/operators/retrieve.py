@@ -6,9 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from graphsearch.functions import dates, vectors
 
@@ -21,7 +22,7 @@ def _rows(column) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1)
 
 
-def _best_products(ids: list, vectors: np.ndarray, id: str, vector: str, k: int, digits: int):
+def _best_products(ids: pa.Array, vectors: np.ndarray, id: str, vector: str, k: int, digits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
@@ -30,7 +31,7 @@ def _best_products(ids: list, vectors: np.ndarray, id: str, vector: str, k: int,
             n = len(batch)
             least = np.partition(s, n - k, axis=0)[n - k] if n > k else np.full(len(ids), -np.inf)
             row, q = np.nonzero(s >= least)
-            yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in q]), batch.column(id).take(pa.array(row)), pa.array(s[row, q])], ["qid", id, "score"])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), batch.column(id).take(pa.array(row)), pa.array(s[row, q])], ["qid", id, "score"])
 
     return run
 
@@ -51,7 +52,8 @@ def nearest_chunks(chunks: DataFrame, queries: DataFrame, k: int = FETCH, id: st
         rows = [(r["qid"], r["q"]) for r in some.select("qid", F.col("q").cast("array<double>").alias("q")).where("q IS NOT NULL").collect()]
         if not rows:
             continue
-        part = base.mapInArrow(_best_products([q for q, _ in rows], np.array([v for _, v in rows]), id, vector, k, digits), T.StructType(fields))
+        names = pa.array([q.asDict() if isinstance(q, Row) else q for q, _ in rows], to_arrow_type(fields[0].dataType))
+        part = base.mapInArrow(_best_products(names, np.array([v for _, v in rows]), id, vector, k, digits), T.StructType(fields))
         found = part if found is None else found.unionAll(part)
     if found is None:
         return base.select(F.lit(None).cast(fields[0].dataType).alias("qid"), id, F.lit(0.0).alias("score"), F.lit(1).alias("place")).limit(0)

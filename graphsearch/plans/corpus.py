@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
+from graphsearch import storage
 from graphsearch.functions import constants as K
 from graphsearch.functions import dates, text, vectors
 from graphsearch.operators import chunking, clean, linking, training
@@ -110,15 +109,6 @@ def sentence_runs(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.size(s).cast("bigint").alias("n"), F.md5(F.array_join(s, "|")).alias("all_md5"))
 
 
-@query(r"""WITH s AS (SELECT item_id, text, list_filter(list_transform(regexp_extract_all(text, '[^.!?…]+[.!?…]?'), lambda s: trim(s, chr(9) || chr(10) || chr(13) || ' ')), lambda s: length(s) >= 10) AS s FROM benchmark),
-e AS (SELECT item_id, text, unnest(range(0, len(s))) AS sentence_id, unnest(s) AS t FROM s)
-SELECT item_id, sentence_id::INT AS sentence_id, t AS text, substr(text, 1, 0) = '' AS ok FROM e""")
-def sentence_spans(spark, sf):
-    b = table(spark, sf, "benchmark")
-    s = b.select("item_id", F.col("text").alias("whole"), F.explode(text.sentence_spans(F.col("text"))).alias("s"))
-    return s.select("item_id", "s.sentence_id", "s.text", (F.substring(F.col("whole"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start")) == F.col("s.text")).alias("ok"))
-
-
 _STOP = ", ".join(f"'{w}'" for w in K.STOPWORDS)
 _LINK = r"trim(regexp_replace(regexp_replace(lower(trim({x})), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 
@@ -204,11 +194,6 @@ def fuzzy_block_join(spark, sf):
     return linking.fuzzy_pairs(f.select("form", F.struct("o", "form").alias("ord")))
 
 
-@query()
-def link_cascade(spark, sf):
-    return linking.link_forms(linking.regex_mentions(table(spark, sf, "benchmark"), "item_id"))
-
-
 @query(r"""
 WITH m AS (SELECT l_orderkey AS doc_id, 'e' || (l_partkey % 5) AS entity_id, l_returnflag AS type, l_linenumber * 1000000 + l_partkey * 10 + l_suppkey % 10 AS ord, 't' || (l_suppkey % 3) AS text, 1 - l_discount AS score, l_linestatus AS match_type FROM lineitem)
 SELECT doc_id, entity_id, type, first(text ORDER BY ord, text) AS text, max(score) AS link_score, first(match_type ORDER BY ord, text, match_type) AS match_type, list_distinct_ordered AS aliases FROM (
@@ -307,17 +292,14 @@ def cache_dedup_join(spark, sf):
 
 @query("SELECT doc_id, lang, source, md5(text) AS text_md5, 'json' AS via FROM documents UNION ALL SELECT doc_id, lang, source, md5(text), 'csv' FROM documents UNION ALL SELECT doc_id, lang, source, md5(text), 'parquet' FROM documents")
 def source_roundtrip(spark, sf):
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphsearch-")
-    import uuid
-
-    folder = f"{folder}/{uuid.uuid4().hex}"
+    folder = storage.new_path(spark)
     d = table(spark, sf, "documents").select("doc_id", "lang", "source", "text")
     d.write.json(f"{folder}/a.json")
     d.write.csv(f"{folder}/a.csv", header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     d.write.parquet(f"{folder}/a.parquet")
     back = [
         spark.read.schema(d.schema).json(f"{folder}/a.json").withColumn("via", F.lit("json")),
-        spark.read.schema(d.schema).csv(f"{folder}/a.csv", header=True, multiLine=True, quote='"', escape='"').withColumn("via", F.lit("csv")),
+        tables.read_articles(spark, f"{folder}/a.csv").withColumn("doc_id", F.col("doc_id").cast("bigint")).withColumn("via", F.lit("csv")),
         tables.read_articles(spark, f"{folder}/a.parquet").withColumn("via", F.lit("parquet")),
     ]
     every = back[0].unionByName(back[1]).unionByName(back[2])
@@ -357,17 +339,6 @@ def train_mix(spark, sf):
     return training.mix(lab.where("quality = 1").select("doc_id", F.lit("gold").alias("kind")), lab.where("quality = 0").select("doc_id", F.lit("silver").alias("kind")), "doc_id")
 
 
-@query(rf"""
-WITH s AS (SELECT item_id, unnest(list_filter(list_transform(regexp_extract_all(text, '[^.!?]+[.!?]?'), lambda s: trim(s)), lambda s: length(s) > 10)) AS s FROM benchmark),
-e AS (SELECT item_id, s, regexp_extract_all(s, '{linking.NAME}') AS names FROM s)
-SELECT item_id, s AS sentence, len(names)::BIGINT AS n FROM e WHERE len(names) > 0 AND len(list_filter(names, lambda x: NOT contains(x, ' '))) = 0
-""")
-def silver_filter(spark, sf):
-    s = table(spark, sf, "benchmark").select("item_id", F.explode(text.sentence_runs(F.col("text"), ".!?", 11)).alias("sentence"))
-    s = s.withColumn("entities", F.regexp_extract_all("sentence", F.lit(linking.NAME), F.lit(0)))
-    return training.silver(s).select("item_id", "sentence", F.size("entities").cast("bigint").alias("n"))
-
-
 @query(r"""
 WITH t AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS i FROM (SELECT item_id AS doc_id, string_split(text, ' ') AS w FROM benchmark)),
 g AS (SELECT doc_id, i, CASE WHEN length(x) >= 9 THEN 'B-LOC' WHEN length(x) >= 7 THEN 'B-PER' WHEN length(x) >= 5 THEN 'I-PER' ELSE 'O' END AS tag FROM t),

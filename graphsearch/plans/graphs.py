@@ -105,7 +105,7 @@ def degree_stats(spark, sf):
     return graph.degrees(trade_of(spark, sf))
 
 
-@query(f"WITH {_LINKS}, {_TRIPLES}, n AS (SELECT type, count(DISTINCT entity) AS n FROM links GROUP BY type), e AS (SELECT relation, count(*) AS n FROM (SELECT DISTINCT subj, obj, relation FROM triples WHERE confidence >= 0.6) GROUP BY relation) SELECT 'nodes' AS kind, type AS name, n FROM n UNION ALL SELECT 'nodes', '*', sum(n)::BIGINT FROM n UNION ALL SELECT 'edges', relation, n FROM e UNION ALL SELECT 'edges', '*', sum(n)::BIGINT FROM e")
+@query(f"WITH {_LINKS}, {_TRIPLES}, n AS (SELECT type, count(DISTINCT entity) AS n FROM links GROUP BY type), e AS (SELECT relation, count(*) AS n FROM (SELECT DISTINCT subj, obj, relation FROM triples WHERE confidence >= 0.6) GROUP BY relation) SELECT 'nodes' AS kind, type AS name, n FROM n UNION ALL SELECT 'nodes', '*', sum(n)::BIGINT FROM n UNION ALL SELECT 'edges', relation, n FROM e UNION ALL SELECT 'edges', '*', sum(n)::BIGINT FROM e UNION ALL SELECT 'totals', 'semantic', sum(n)::BIGINT FROM e UNION ALL SELECT 'top_relations', relation, n FROM e")
 def graph_stats(spark, sf):
     nodes = links_of(spark, sf).select("entity", "type").distinct()
     return graph.stats(nodes, graph.edges(graph.accepted_triples(triples_of(spark, sf))))
@@ -192,11 +192,6 @@ def top_entities(spark, sf):
     return rank.top_entities(_typed(spark, sf), 7)
 
 
-@query(f"{_TYPED} SELECT entity, score, type FROM typed WHERE contains(lower(entity), 'an') ORDER BY score DESC, entity LIMIT 10")
-def entity_search(spark, sf):
-    return rank.search_entities(_typed(spark, sf), "AN", 10)
-
-
 @query(f"{_TYPED} SELECT entity, score, type, row_number() OVER (PARTITION BY type ORDER BY score DESC, entity) AS place FROM typed QUALIFY place <= 2")
 def rank_report(spark, sf):
     return rank.rank_report(_typed(spark, sf), 2)

@@ -148,13 +148,6 @@ def smoke_check(spark, sf):
     return _hits(spark, sf).groupBy("qid").agg(F.count("*").alias("n"), F.bool_and(F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") < float("inf"))).alias("finite"), (F.count("*") == 50).alias("full"))
 
 
-@query("""WITH g AS (SELECT event_type AS type, (user_id % 3 = 0)::INT AS tp, (user_id % 3 = 1)::INT AS fp, (user_id % 3 = 2)::INT AS fn FROM events), s AS (SELECT coalesce(type, 'micro') AS type, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM g GROUP BY ROLLUP (type)),
-p AS (SELECT *, tp / greatest(tp + fp, 1) AS p, tp / greatest(tp + fn, 1) AS r FROM s) SELECT type, tp, fp, fn, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM p""")
-def ner_prf(spark, sf):
-    e = table(spark, sf, "events").select(F.col("event_type").alias("type"), *((F.col("user_id") % 3 == k).cast("int").alias(c) for k, c in enumerate(("tp", "fp", "fn"))))
-    return evaluate.entity_prf(e).select("type", "tp", "fp", "fn", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
-
-
 @query("WITH s AS (SELECT event_type, list_sort(list(value)) AS v, avg(value) AS m FROM events GROUP BY event_type) SELECT event_type, round(m, 6) AS mean, v[floor(len(v) * 0.5)::INT + 1] AS median, v[floor(len(v) * 0.95)::INT + 1] AS p95, v[-1] AS max FROM s")
 def percentile_index(spark, sf):
     return evaluate.latency(table(spark, sf, "events"), "event_type", "value").withColumn("mean", F.round("mean", 6))
@@ -171,7 +164,7 @@ def event_windows(spark, sf):
     return w.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query()
+@query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE date_trunc('day', ts) + interval 1 day <= (SELECT max(ts) - interval 1 hour FROM events) GROUP BY ALL")
 def stream_dedup_window(spark, sf):
     """The batch's events as a stream: each event once, counted in windows that the watermark has closed."""
     e = table(spark, sf, "events")
@@ -180,7 +173,7 @@ def stream_dedup_window(spark, sf):
     counted = ingest.windowed_counts(ingest.first_seen_stream(stream, "event_id", delay="1 hour"), "event_type", delay=None)
     q = counted.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(counted.schema).parquet(f"{folder}/out")
+    return spark.read.schema(counted.schema).parquet(f"{folder}/out").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 _SEARCH_SQL = rf"""WITH RECURSIVE {_CHUNKS}, ch AS (SELECT doc_id, chunk_index, CASE WHEN title <> '' THEN title || '. ' || part ELSE part END AS x FROM c),
@@ -194,25 +187,30 @@ be AS (SELECT qid, doc_id, max(score) AS score FROM fe GROUP BY ALL)
 SELECT qid, doc_id, score AS retrieval_score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS place FROM be QUALIFY place <= 10"""
 
 
-def _vectors(spark, sf):
-    """The index of the corpus's chunks: built and saved once for an application and folder, then read."""
-    c = chunks_of(spark, sf)
-    place = f"{storage.folder(spark)}/index-{hashlib.sha1(sf.encode()).hexdigest()}"
-    e = c.select("doc_id", F.concat("doc_id", F.lit("_chunk_"), F.lpad(F.col("chunk_index").cast("string"), 6, "0")).alias("chunk_id"), vectors.encode(F.col("chunk_text")).alias("embedding"))
-    if place not in _saved:
-        tables.save_index({"vectors": e}, place)
-        _saved.add(place)
-    return tables.load_index(spark, place, "vectors")["vectors"]
+_saved: set[str] = set()
 
 
-_saved: set[str] = set()
+def saved_once(spark, sf: str, name: str, build, again: bool = False) -> str:
+    """Where build(path) has saved something of a folder's tables; it is called once for an application, or again."""
+    path = f"{storage.folder(spark)}/{name}-{hashlib.sha1(sf.encode()).hexdigest()}"
+    if again or path not in _saved:
+        build(path)
+        _saved.add(path)
+    return path
+
+
+def _vectors(spark, sf, again: bool = False):
+    """The index of the corpus's chunks: encoded and saved once, then read."""
+    c = chunks_of(spark, sf)
+    e = c.select("doc_id", F.concat("doc_id", F.lit("_chunk_"), F.lpad(F.col("chunk_index").cast("string"), 6, "0")).alias("chunk_id"), vectors.encode(F.col("chunk_text")).alias("embedding"))
+    path = saved_once(spark, sf, "vectors", lambda path: tables.save_index({"vectors": e}, path), again)
+    return tables.load_index(spark, path, "vectors")["vectors"]
 
 
 @query("SELECT count(*) AS n_chunks, count(DISTINCT doc_id) AS n_docs, true AS unit FROM c".join([f"WITH RECURSIVE {_CHUNKS} ", ""]))
 def index_build(spark, sf):
     """Chunks, encoded and saved."""
-    _saved.discard(f"{storage.folder(spark)}/index-{hashlib.sha1(sf.encode()).hexdigest()}")
-    v = _vectors(spark, sf)
+    v = _vectors(spark, sf, again=True)
     return v.agg(F.count("*").alias("n_chunks"), F.count_distinct("doc_id").alias("n_docs"), F.bool_and((F.abs(vectors.norm(F.col("embedding")) - 1) < 1e-9) | (vectors.norm(F.col("embedding")) == 0)).alias("unit"))
 
 

@@ -17,9 +17,10 @@ def _bare(c: Column) -> Column:
 
 
 def extract_articles(pages: DataFrame) -> DataFrame:
-    """The columns of pages but html, and title, date, body, n_paragraphs; rows without a title or body go.
+    """The columns of pages but html, and category, title, date, body, n_paragraphs; rows without a title or body go.
 
-    The title is the first h1, else the page's title; paragraphs are those outside of script, style,
+    The category is the last item of the breadcrumb, else the first part of the url's path in title
+    case.  The title is the first h1, else the page's title; paragraphs are those outside of script, style,
     aside, table and figure.
     """
     html = F.coalesce("html", F.lit(""))
@@ -28,11 +29,19 @@ def extract_articles(pages: DataFrame) -> DataFrame:
     date = F.coalesce(F.nullif(_bare(F.regexp_extract(html, r"(?is)<span[^>]*class=\"date\"[^>]*>(.*?)</span>", 1)), F.lit("")), F.regexp_extract(html, r"(?is)<meta[^>]*article:published_time[^>]*content=\"([^\"]*)\"", 1))
     clean = F.regexp_replace(html, r"(?is)<(script|style|aside|table|figure)\b.*?</\1>", "")
     paragraphs = F.filter(F.transform(F.regexp_extract_all(clean, F.lit(r"(?is)<p\b[^>]*>(.*?)</p>"), F.lit(1)), _bare), lambda p: p != "")
+    crumbs = F.regexp_extract(html, r"(?is)<(?:ul|div)[^>]*class=\"[^\"]*\bbreadcrumb\b[^\"]*\"[^>]*>(.*?)</(?:ul|div)>", 1)
+    last = F.coalesce(F.try_element_at(F.transform(F.regexp_extract_all(crumbs, F.lit(r"(?is)<li\b[^>]*>(.*?)</li>"), F.lit(1)), _bare), F.lit(-1)), F.lit(""))
+    category = F.coalesce(F.nullif(last, F.lit("")), category_of(F.col("url"))) if "url" in pages.columns else last
     rest = [c for c in pages.columns if c != "html"]
-    made = pages.select(*rest, F.coalesce(F.nullif(h1, F.lit("")), head).alias("title"), date.alias("date"), F.array_join(paragraphs, "\n").alias("body"), F.size(paragraphs).cast("bigint").alias("n_paragraphs"))
+    made = pages.select(*rest, category.alias("category"), F.coalesce(F.nullif(h1, F.lit("")), head).alias("title"), date.alias("date"), F.array_join(paragraphs, "\n").alias("body"), F.size(paragraphs).cast("bigint").alias("n_paragraphs"))
     return made.where("title <> '' AND body <> ''")
 
 
+def category_of(url: Column) -> Column:
+    """The first part of the path, hyphens as spaces, in title case; empty without one."""
+    return F.initcap(F.replace(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[^/]*//[^/?#]*/+([^/?#]+)", 1), F.lit("-"), F.lit(" ")))
+
+
 def links(html: Column, base: Column) -> Column:
     """Distinct links in order, those of the site's root with its scheme and host before."""
     site = F.regexp_extract(base, r"^([^/]*//[^/?#]*)", 1)

@@ -31,13 +31,12 @@ def test_graph_of_one_document(spark, links, triples):
     assert [r.asDict() for r in graph.relations_between(edges, "Putin", "Nga").collect()] == [{"relation": "leads", "direction": "Putin → Nga", "occurrences": 1, "max_confidence": 0.9}]
 
 
-def test_ranks_of_both_forms_agree(spark, monkeypatch):
+def test_ranks_of_both_forms_agree(spark):
     rows = [("a", "b", 1.0), ("b", "c", 2.0), ("a", "c", 1.0), ("c", "d", 1.0), ("e", "a", 3.0)]
     edges = spark.createDataFrame(rows, "subj string, obj string, weight double")
     seeds = spark.createDataFrame([(1, "a"), (2, "b"), (2, "e")], "qid bigint, entity string")
     small = {(r["qid"], r["entity"]): r["rank"] for r in rank.pagerank(edges, seeds).collect()}
-    monkeypatch.setattr(rank, "SMALL_EDGES", 0)
-    large = {(r["qid"], r["entity"]): r["rank"] for r in rank.pagerank(edges, seeds).collect()}
+    large = {(r["qid"], r["entity"]): r["rank"] for r in rank.pagerank(edges, seeds, small=0).collect()}
     assert small == pytest.approx(large)
     for q in (1, 2):
         assert sum(v for (k, _), v in small.items() if k == q) == pytest.approx(1)
