@@ -23,8 +23,8 @@ from graphsearch.llm.tables import read, stored
 PIVOTS, PREFIX = 64, 24
 #: Vectors of a shard and queries of a block.
 SHARD, BLOCK = 4096, 2048
-#: Part of each shard that is ranked again.
-RERANKED = 0.5
+#: Part of each shard that is ranked again, and at least so many for each neighbour that is asked for.
+RERANKED, LEAST_RERANKED = 0.5, 15
 
 
 def clean_vectors(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -93,7 +93,7 @@ def _search(pivots: np.ndarray, prefix: int, k: int, part: float):
             own = own[order]
             base, base_ids = vectors[own], ids[own]
             shard = Shard(base, pivots, prefix)
-            most = min(len(own), max(k + 1, 10 * k, int(np.ceil(part * len(own)))))
+            most = min(len(own), max(k + 1, LEAST_RERANKED * k, int(np.ceil(part * len(own)))))
             for q, places in zip(asked, _orders(vectors[asked], pivots, shard.prefix), strict=True):
                 distance = shard.footrule(places)
                 near = np.sort(np.argsort(distance, kind="stable")[:most])
