@@ -111,7 +111,7 @@ def test_annotators_cache_and_evaluation(spark):
     gold = spark.createDataFrame([("Ann met Bob Lee", [("ANN", "MISC"), ("Bob", "MISC"), ("Eve", "PER")])], "sentence string, entities array<struct<text:string,type:string>>")
     got = {r["type"]: (r["tp"], r["fp"], r["fn"]) for r in ner.evaluate_ner(gold).collect()}
     assert got == {"MISC": (2, 0, 0), "PER": (0, 0, 1), "micro": (2, 0, 1)}
-    assert ner.silver_labels(docs, least=0.8).count() == 4 and ner.silver_labels(docs).count() == 0
+    assert ner.silver_labels(docs, least=0.8).count() == 4 and ner.silver_labels(docs).count() == 2  # one word more makes a name sure
 
 
 def one_by_one(mentions, seeds, least):
