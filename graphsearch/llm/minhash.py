@@ -13,6 +13,10 @@
    without meeting the group that it almost belongs to.  Pairs that do meet are decided by signatures,
    then whole sets, and new links join components once more.
 
+A band key or a shingle that holds more than one in HOT of all its table's rows is hot.  Fewer than HOT can
+be, so their list is broadcast; rows of a hot key are dealt by a hash of their id, and what is joined to them
+is repeated for every share.
+
 A pair at similarity 0.8 misses all bands with a probability of 5e-8, and falls under the signature
 limit (five standard deviations below) with 3e-7.
 """
@@ -31,6 +35,8 @@ from graphsearch.llm.tables import map_arrow, read, stored, without
 from graphsearch.llm.wordbytes import SPACED_FOLDED, Words, grams, mix, pieces
 
 BANDS, ROWS = 32, 4
+#: A key with more than one in HOT of all rows is dealt into SALTS shares.
+HOT, SALTS = 10_000, 64
 _A, _B = np.random.Generator(np.random.PCG64(77)).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -146,12 +152,31 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("component").take(take), pa.array(sizes).take(take), pa.array([int(s.sum()) for s in sets], pa.int64()).take(take), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))], ["id", "component", "n", "mark", "token"])
 
 
+def _hot(keys: DataFrame, key: str, n: str) -> DataFrame:
+    """Of keys, a row each with its number of rows: those with more than one in HOT of all, fewer than HOT."""
+    total = keys.agg(F.sum(n)).first()[0] or 0
+    return keys.where(F.col(n) > total / HOT).select(key, F.lit(True).alias("hot"))
+
+
+def _dealt(rows: DataFrame, hot: DataFrame, key: str) -> DataFrame:
+    """rows, with the share of its key that each is in."""
+    share = F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).otherwise(0)
+    return rows.join(F.broadcast(hot), key, "left").withColumn("salt", share).drop("hot")
+
+
+def _for_shares(keys: DataFrame, hot: DataFrame, key: str) -> DataFrame:
+    """keys, a row for every share of each."""
+    shares = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return keys.join(F.broadcast(hot), key, "left").withColumn("salt", F.explode(shares)).drop("hot")
+
+
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     """Of (id, component, shingles): the first shingles of each set, rarest first, as many as any link needs; place counts from 1."""
     tokens = stored(map_arrow(sets.select("id", "component", "shingles"), _tokens, "id bigint, component bigint, n bigint, mark bigint, token bigint"))
-    counts = tokens.groupBy("token").agg(F.count("*").alias("times"))
+    counts = stored(tokens.groupBy("token").agg(F.count("*").alias("times")))
+    hot = _hot(counts, "token", "times")
     order = Window.partitionBy("id", "n", "mark").orderBy("times", "token")
-    placed = tokens.join(counts, "token").withColumn("place", F.dense_rank().over(order))  # a repeated row shares its places
+    placed = _dealt(tokens, hot, "token").join(_for_shares(counts, hot, "token"), ["token", "salt"]).withColumn("place", F.dense_rank().over(order))  # a repeated row shares its places
     return placed.where(F.col("place") <= F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1).where("times > 1").select("token", "id", "component", "n", "place")
 
 
@@ -174,8 +199,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id: str
     ours = sketched.where("n_shingles > 0").join(classed.where("id = rep").select("id").distinct(), "id")
 
     in_band = ours.select("id", F.explode("bands").alias("key"))
-    centres = in_band.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.min_by("id", F.xxhash64("id")).alias("other")).where("least < most").drop("most")
-    members = stored(in_band.join(centres, "key"))
+    centres = stored(in_band.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.max("id").alias("most"), F.min_by("id", F.xxhash64("id")).alias("other")).where("least < most").drop("most"))
+    hot = _hot(centres, "key", "n")
+    members = stored(_dealt(in_band, hot, "key").join(_for_shares(centres.drop("n"), hot, "key"), ["key", "salt"]))
     candidates = stored(members.select("id").distinct())
     signatures = stored(ours.join(candidates, "id").select("id", "signature"))
     limit = percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / (BANDS * ROWS)) ** 0.5
@@ -196,11 +222,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id: str
     links = stored(confirmed(first))
     component = stored(connected_components(links))
 
-    placed = members.select("key", "id").join(component, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    placed = members.select("key", "salt", "id").join(component, F.col("id") == F.col("node"), "left").select("key", "salt", "id", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    placed = stored(placed.join(mixed, "key"))
+    placed = stored(placed.join(_for_shares(mixed, hot, "key"), ["key", "salt"]))
     largest = placed.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
-    outside = placed.join(largest, "key").where("component <> largest").select("id").distinct()
+    outside = placed.join(_for_shares(largest, hot, "key"), ["key", "salt"]).where("component <> largest").select("id").distinct()
     ranked = stored(_prefixes(whole.join(placed.select("id", "component").distinct(), "id"), percent))
     # Two sets of sizes n and m that reach the limit share at least this many shingles, so one of the first size - share + 1 of each.
     share = F.ceil(F.lit(percent) * (F.col("n") + F.col("m")) / (100 + percent))

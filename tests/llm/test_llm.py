@@ -90,6 +90,16 @@ def test_near_duplicates_of_repeated_and_no_rows(spark):
     assert minhash.near_duplicates(documents(spark, rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [1, 20, 1 << 40])
+def test_near_duplicates_whatever_is_hot(spark, monkeypatch, hot):
+    """Without hot keys, with some and with all, links are those of brute force."""
+    monkeypatch.setattr(minhash, "HOT", hot)
+    common = " ".join(f"c{k}" for k in range(30))
+    rows = near_copies(2) + [(1000 + k, f"{common} own{k}") for k in range(60)] + [(2000 + k, f"{common} " + " ".join(f"w{k}_{j}" for j in range(6))) for k in range(30)]
+    got = minhash.near_duplicates(documents(spark, rows), words=2).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(minhash.brute_force(rows, 2), key=str)
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(10, 30)] + [(1, 40), (40, 41), (2, 2), (50, 51)]
     got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
