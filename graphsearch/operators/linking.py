@@ -45,29 +45,29 @@ def spelled_alike(form: Column, other: Column) -> Column:
     return F.when((F.length(form) >= 4) & (F.length(other) >= 4) & (F.abs(F.length(form) - F.length(other)) <= 2), F.levenshtein(form, other, 2).between(0, 2) & (F.levenshtein(form, other, 2) <= F.when(longest < 8, 1).otherwise(2))).otherwise(F.lit(False))
 
 
-def fuzzy_pairs(forms: DataFrame) -> DataFrame:
-    """Of forms(form, ord): (form, matched, distance): the earlier form that is spelled most alike (least distance, largest similarity, least ord).
+def fuzzy_pairs(forms: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """Of forms(form, ord): (form, matched, distance): the earlier form that is spelled most alike (least distance, largest similarity, least ord); of wanted(form, ord) among them only, if that is given.
 
     Two forms within two edits share their first character by rule, and one of the three parts of
-    the shorter by need: both make equality keys, so that a frequent first letter is no one block.
+    either by need: both make equality keys, so that a frequent first letter is no one block.
     """
     # A string within 2 edits keeps one of its 3 parts, moved by 2 places at most.
     n = F.length("form")
     third = lambda k: F.floor(n * k / 3).cast("int")
     part = lambda k: F.struct(F.lit(k).alias("part"), third(k).alias("at"), F.substr(F.col("form"), third(k) + 1, third(k + 1) - third(k)).alias("piece"))
-    shorter = forms.where(n >= 4).withColumn("first", F.substring("form", 1, 1)).withColumn("n", n)
-    pieces = shorter.select("form", "ord", "first", "n", F.explode(F.array(part(0), part(1), part(2))).alias("p")).select("form", "ord", "first", "n", "p.part", "p.at", "p.piece")
-    lengths = shorter.select(F.col("form").alias("other"), F.col("ord").alias("other_ord"), "first", F.col("n").alias("m"), F.explode(F.sequence(F.greatest(F.col("n") - 2, F.lit(4)), F.col("n") + 2)).alias("n"))
+    long_enough = lambda df: df.where(n >= 4).withColumn("first", F.substring("form", 1, 1)).withColumn("n", n)
+    pieces = long_enough(forms).select(F.col("form").alias("other"), F.col("ord").alias("other_ord"), "first", "n", F.explode(F.array(part(0), part(1), part(2))).alias("p")).select("other", "other_ord", "first", "n", "p.part", "p.piece")
+    lengths = long_enough(forms if wanted is None else wanted).select("form", "ord", "first", F.explode(F.sequence(F.greatest(F.col("n") - 2, F.lit(4)), F.col("n") + 2)).alias("n"))
     k = F.explode(F.sequence(F.lit(0), F.lit(2)))
     # Every piece of the probing form that could be a part of a form of length n.
-    probes = lengths.select("other", "other_ord", "first", "m", "n", k.alias("part"))
+    probes = lengths.select("form", "ord", "first", "n", k.alias("part"))
     begin, end = F.floor(F.col("n") * F.col("part") / 3).cast("int"), F.floor(F.col("n") * (F.col("part") + 1) / 3).cast("int")
-    probes = probes.select("other", "other_ord", "first", "n", "part", (end - begin).alias("size"), F.explode(F.sequence(F.greatest(begin - 2, F.lit(0)), begin + 2)).alias("from"))
-    probes = probes.select("other", "other_ord", "first", "n", "part", F.substr(F.col("other"), F.col("from") + 1, F.col("size")).alias("piece")).distinct()
-    pairs = pieces.join(probes, ["first", "n", "part", "piece"]).where("form <> other").select("form", "ord", "other", "other_ord").distinct()
-    both = pairs.unionAll(pairs.select("other", "other_ord", "form", "ord")).distinct().where("other_ord < ord")
+    probes = probes.select("form", "ord", "first", "n", "part", (end - begin).alias("size"), F.explode(F.sequence(F.greatest(begin - 2, F.lit(0)), begin + 2)).alias("from"))
+    probes = probes.select("form", "ord", "first", "n", "part", F.substr(F.col("form"), F.col("from") + 1, F.col("size")).alias("piece")).distinct()
+    pairs = pieces.join(probes, ["first", "n", "part", "piece"]).where("other_ord < ord AND form <> other").where(spelled_alike(F.col("form"), F.col("other")))
+    both = pairs.select("form", "ord", "other", "other_ord").distinct()
     never = forms.sparkSession.createDataFrame([(a, b) for a, b in NEVER_MATCHED] + [(b, a) for a, b in NEVER_MATCHED], "a string, b string").select(text.link_form(F.col("a")).alias("form"), text.link_form(F.col("b")).alias("other"))
-    alike = both.where(spelled_alike(F.col("form"), F.col("other"))).join(never, ["form", "other"], "left_anti")
+    alike = both.join(never, ["form", "other"], "left_anti")
     scored = alike.withColumn("distance", F.levenshtein("form", "other")).withColumn("sim", 1 - F.col("distance") / F.greatest(F.length("form"), F.length("other")))
     return scored.groupBy("form").agg(F.min_by("other", F.struct("distance", -F.col("sim"), "other_ord")).alias("matched"), F.min("distance").cast("bigint").alias("distance"))
 
@@ -76,13 +76,25 @@ SIMILAR = 0.80
 
 
 def vector_pairs(forms: DataFrame, least: float = SIMILAR, encode=vectors.encode) -> DataFrame:
-    """Of forms(form, ord): (form, matched, cosine): the earlier form whose vector is nearest, with at least that cosine; the earliest of equals."""
-    numbered = stored(forms.select("form", "ord", F.xxhash64("form").alias("id"), encode(F.col("form")).alias("embedding")))
-    near = graph.similarity_edges(numbered, least, "id")
+    """Of forms(form, ord): (form, matched, cosine): the earlier form whose vector is nearest, with at least that cosine; the earliest of equals.
+
+    Forms with one vector are compared as one, by their first, and all but the first are matched
+    with it or an earlier form in its direction.  So the work is that of distinct vectors.
+    """
+    numbered = stored(forms.select("form", "ord", encode(F.col("form")).alias("embedding")).withColumn("id", F.xxhash64("embedding")))
+    first = F.min(F.struct("ord", "form")).alias("f")
+    classes = stored(numbered.groupBy("id").agg(first, F.first("embedding").alias("embedding")).select("id", "f.ord", "f.form", "embedding"))
+    near = graph.similarity_edges(classes, least, "id")
     pairs = near.unionAll(near.select("obj", "subj", "cosine"))
-    side = lambda p: numbered.select(F.col("id").alias(f"{p}_id"), F.col("form").alias(p), F.col("ord").alias(f"{p}_ord"))
+    side = lambda p: classes.select(F.col("id").alias(f"{p}_id"), F.col("form").alias(p), F.col("ord").alias(f"{p}_ord"))
     met = pairs.join(side("form"), F.col("subj") == F.col("form_id")).join(side("other"), F.col("obj") == F.col("other_id")).where("other_ord < form_ord")
-    return met.groupBy("form").agg(F.min(F.struct((-F.round("cosine", 9)).alias("d"), F.col("other_ord").alias("o"), F.col("other").alias("matched"))).alias("b")).select("form", "b.matched", (-F.col("b.d")).alias("cosine"))
+    one = lambda cosine, o, matched: F.struct((-F.round(cosine, 9)).alias("d"), F.col(o).alias("o"), F.col(matched).alias("matched"))
+    best = met.groupBy("form_id").agg(F.min(one(F.col("cosine"), "other_ord", "other")).alias("earlier"))
+    v = vectors.normalized(F.col("embedding"))
+    own = F.when(vectors.dot(v, v) >= least, one(vectors.dot(v, v), "ord", "form"))
+    found = classes.join(best, F.col("id") == F.col("form_id"), "left").select("id", F.col("form").alias("head"), "earlier", F.least(own, "earlier").alias("later"))
+    b = F.when(F.col("form") == F.col("head"), F.col("earlier")).otherwise(F.col("later"))
+    return numbered.select("form", "id").join(found, "id").withColumn("b", b).where("b IS NOT NULL").select("form", "b.matched", (-F.col("b.d")).alias("cosine"))
 
 
 def _followed(up: DataFrame) -> DataFrame:
@@ -98,12 +110,14 @@ def _followed(up: DataFrame) -> DataFrame:
 def _chains(heads: DataFrame, least: float | None, encode) -> DataFrame:
     """Of heads(head, ord): (head, root, how, similarity): what each is matched with first (by vector, then by spelling), and the end of its chain."""
     forms = stored(heads.select(F.col("head").alias("form"), "ord"))
-    spelled = fuzzy_pairs(forms).select("form", F.col("matched").alias("by_spelling"), "distance")
-    matched = forms.select("form").join(spelled, "form", "left")
     if least is not None:
-        matched = matched.join(vector_pairs(forms, least, encode).select("form", F.col("matched").alias("by_vector"), "cosine"), "form", "left")
+        matched = stored(forms.join(vector_pairs(forms, least, encode).select("form", F.col("matched").alias("by_vector"), "cosine"), "form", "left"))
+        wanted = matched.where("by_vector IS NULL").select("form", "ord")
     else:
-        matched = matched.withColumns({"by_vector": F.lit(None).cast("string"), "cosine": F.lit(None).cast("double")})
+        matched = forms.withColumns({"by_vector": F.lit(None).cast("string"), "cosine": F.lit(None).cast("double")})
+        wanted = None
+    spelled = fuzzy_pairs(forms, wanted).select("form", F.col("matched").alias("by_spelling"), "distance")
+    matched = matched.join(spelled, "form", "left")
     how = F.when(F.col("by_vector").isNotNull(), "embedding").when(F.col("by_spelling").isNotNull(), "levenshtein").otherwise("new")
     longest = F.greatest(F.length("form"), F.length("by_spelling"))
     similarity = F.when(F.col("by_vector").isNotNull(), F.round("cosine", 4)).when(F.col("by_spelling").isNotNull(), 1 - F.col("distance") / longest).otherwise(F.lit(1.0))

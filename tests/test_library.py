@@ -177,6 +177,31 @@ def test_linking_is_that_of_mentions_one_by_one(spark):
     assert {r["match_type"] for r in second.join(first.select(F.lower("text").alias("t")).distinct(), F.lower("text") == F.col("t")).collect()} == {"exact"}
 
 
+def test_forms_are_compared_by_their_distinct_vectors(spark, monkeypatch):
+    table = {"a": [1.0, 0.0], "b": [2.0, 0.0], "c": [0.0, 1.0], "d": [0.8, 0.6], "z": [0.0, 0.0]}
+    said = [random.Random(k).choice("abcdz") + str(k) for k in range(60)]
+    forms = spark.createDataFrame([(f, k) for k, f in enumerate(said)], "form string, ord int")
+    encode = lambda c: F.element_at(F.create_map(*(x for k, v in table.items() for x in (F.lit(k), F.array(*map(F.lit, v))))), F.substring(c, 1, 1))
+    seen, compared = graph.similarity_edges, []
+    monkeypatch.setattr(graph, "similarity_edges", lambda df, *a: compared.append(df.count()) or seen(df, *a))
+    got = {r["form"]: (r["matched"], r["cosine"]) for r in linking.vector_pairs(forms, 0.75, encode).collect()}
+    want = {}
+    for k, f in enumerate(said):
+        x = np.array(table[f[0]])
+        cosine = lambda g, x=x: round(float(x @ (y := np.array(table[g[0]]))) / ((np.linalg.norm(x) * np.linalg.norm(y)) or 1), 9)
+        near = [(-cosine(g), j) for j, g in enumerate(said[:k]) if cosine(g) >= 0.75]
+        if near:
+            want[f] = (said[min(near)[1]], -min(near)[0])
+    assert got == want and compared == [5]
+
+
+def test_spelling_of_wanted_forms_only(spark):
+    forms = spark.createDataFrame([(f, k) for k, f in enumerate(["samsung", "samsumg", "hanoi", "hanoii", "samsum"])], "form string, ord int")
+    every = {tuple(r) for r in linking.fuzzy_pairs(forms).collect()}
+    assert every == {("samsumg", "samsung", 1), ("hanoii", "hanoi", 1), ("samsum", "samsumg", 1)}
+    assert {tuple(r) for r in linking.fuzzy_pairs(forms, forms.where("ord = 4")).collect()} == {("samsum", "samsumg", 1)}
+
+
 def test_cells_with_all_probes_are_the_exact_search(spark):
     x = np.random.default_rng(1).normal(size=(300, 8))
     table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)] + [(900, None)], "chunk_id bigint, embedding array<double>")
