@@ -10,7 +10,7 @@ from graphsearch.functions import dates, text, vectors
 from graphsearch.operators import chunking, clean, graph, linking, ner, rank, retrieve, search, training
 from graphsearch.plans import graphs
 from graphsearch.plans.corpus import _CHUNKS, _FIRST, _LINK, _REST, _STOP, _TOK, _WS, _norm, chunks_of
-from graphsearch.plans.registry import ORACLES, query, table
+from graphsearch.plans.registry import ORACLES, query, streamed, table
 from graphsearch.sources import fetch, tables
 from graphsearch.streaming import ingest
 
@@ -320,10 +320,9 @@ def head_corpus(spark, sf):
 @query("SELECT event_id, user_id, event_type FROM events")
 def stream_append(spark, sf):
     """A stream appended to files with a checkpoint, in two runs of the same query."""
-    e = table(spark, sf, "events")
     path, state = storage.new_path(spark), storage.new_path(spark)
     for _ in range(2):
-        stream = spark.readStream.schema(e.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+        stream = streamed(spark, sf, "events")
         ingest.append_stream(stream.select("event_id", "user_id", "event_type"), path, state).awaitTermination()
     return spark.read.schema("event_id bigint, user_id bigint, event_type string").parquet(path)
 
@@ -331,9 +330,8 @@ def stream_append(spark, sf):
 @query(f"WITH {graphs._TRIPLES} SELECT subj, obj, relation, count(*) AS occurrences, max(confidence)::DOUBLE AS max_confidence FROM triples GROUP BY ALL")
 def stream_upsert_edges(spark, sf):
     """Occurrences as a stream; a batch that is written twice counts once."""
-    li = table(spark, sf, "lineitem")
     path = storage.new_path(spark)
-    stream = spark.readStream.schema(li.schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf)
+    stream = streamed(spark, sf, "lineitem")
     said = stream.select(F.concat(F.lit("s"), "l_suppkey").alias("subj"), F.concat(F.lit("p"), "l_partkey").alias("obj"), F.lit("supplies").alias("relation"), F.round(0.5 + F.col("l_tax") * 4, 4).alias("confidence"))
 
     def twice(batch, number):
@@ -349,7 +347,7 @@ def stream_annotations(spark, sf):
     """Annotations as JSON lines, batch by batch; what is left after a first part is annotated later."""
     d = table(spark, sf, "documents")
     path = storage.new_path(spark)
-    stream = spark.readStream.schema(d.schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    stream = streamed(spark, sf, "documents")
     ingest.annotate_stream(stream.where("doc_id % 3 = 0"), path, storage.new_path(spark)).awaitTermination()
     done = spark.read.schema("doc_id bigint, text_key string, entities string").json(path).select("doc_id", "text_key", "entities")
     rest = ingest.resume_annotation(d.select("doc_id", "text"), done).select("doc_id", "text_key", F.to_json("entities").alias("entities"))

@@ -11,7 +11,7 @@ from graphsearch.functions import dates, text, vectors
 from graphsearch.operators import evaluate, retrieve, training
 from graphsearch.operators import query as queries_
 from graphsearch.plans.corpus import _CHUNKS, _TOK, chunks_of
-from graphsearch.plans.registry import query, table
+from graphsearch.plans.registry import query, streamed, table
 from graphsearch.sources import tables
 from graphsearch.streaming import ingest
 
@@ -167,9 +167,8 @@ def event_windows(spark, sf):
 @query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE date_trunc('day', ts) + interval 1 day <= (SELECT max(ts) - interval 1 hour FROM events) GROUP BY ALL")
 def stream_dedup_window(spark, sf):
     """The batch's events as a stream: each event once, counted in windows that the watermark has closed."""
-    e = table(spark, sf, "events")
     folder = storage.new_path(spark)
-    stream = spark.readStream.schema(e.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    stream = streamed(spark, sf, "events")
     counted = ingest.windowed_counts(ingest.first_seen_stream(stream, "event_id", delay="1 hour"), "event_type", delay=None)
     q = counted.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
