@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import lru_cache
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
@@ -42,17 +43,20 @@ def token_slot(token: Column, width: int) -> Column:
 @lru_cache
 def _unit(width: int):
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
-    def unit(slots: pa.Array) -> pa.Array:
-        size = np.asarray(pc.fill_null(pc.list_value_length(slots), 0), dtype=np.int64)
-        place = np.repeat(np.arange(len(slots)) * width, size) + np.asarray(slots.flatten(), dtype=np.int64)
-        values = np.log1p(np.bincount(place, minlength=len(slots) * width).astype(float)).reshape(len(slots), width)
+    def unit(words: pa.Array) -> pa.Array:
+        size = np.asarray(pc.fill_null(pc.list_value_length(words), 0), dtype=np.int64)
+        # A batch's distinct tokens are hashed once, as token_slot does.
+        coded = words.flatten().dictionary_encode()
+        slot = np.array([int.from_bytes(md5(w).digest()[:4], "big") % width for w in coded.dictionary.cast(pa.binary()).to_pylist()], dtype=np.int64)
+        place = np.repeat(np.arange(len(words)) * width, size) + slot[np.asarray(coded.indices, dtype=np.int64)]
+        values = np.log1p(np.bincount(place, minlength=len(words) * width).astype(float)).reshape(len(words), width)
         norm = np.sqrt((values * values).sum(axis=1))
         values /= np.where(norm > 0, norm, 1e-8)[:, None]
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(slots) + 1, dtype=np.int32) * width), pa.array(values.ravel()), mask=slots.is_null())
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1, dtype=np.int32) * width), pa.array(values.ravel()), mask=words.is_null())
 
     return unit
 
 
 def encode(text: Column, width: int = 256) -> Column:
     """A unit vector of log token counts by slot: the stand-in for a sentence encoder.  Null for null."""
-    return _unit(width)(F.transform(tokens(text), lambda t: token_slot(t, width)))
+    return _unit(width)(tokens(text))

@@ -36,7 +36,8 @@ def register_reranker(name: str, score: Callable[[Column, Column], Column] | Non
 def build_index(articles: DataFrame, path: str, annotator: str = "capitals", encoder: str = "hashed", triples: DataFrame | None = None, min_ratio: float | None = 0.05, strategy: str = "sentence_window") -> dict[str, DataFrame]:
     """Builds all tables of articles (ord, url, title, content, date, category, source), writes them, and reads them again."""
     spark = articles.sparkSession
-    built = clean.first_seen(clean.build_documents(articles, min_ratio).where("reason IS NULL"), "url", "ord").drop("reason")
+    # Written first: the filter and both sides of first_seen would each clean the texts again.
+    built = clean.first_seen(storage.stored(clean.build_documents(articles, min_ratio)).where("reason IS NULL"), "url", "ord").drop("reason")
     tables.save_index({"documents": built}, path)
     documents = tables.load_index(spark, path, "documents")["documents"]
     found = ner.mentions(ner.annotate(documents, annotator, "full_text"), "id")
