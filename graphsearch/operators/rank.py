@@ -56,7 +56,7 @@ def power_iteration(edges: DataFrame, seeds: DataFrame | None, damping: float, i
     n_edges = flat.count()
     n_queries = 1 if seeds is None else seeds.select("qid").distinct().count()
     if n_edges <= small and (n_edges + alone.count()) * n_queries <= SMALL_WORK:
-        return _small(flat, seeds, alone, damping, iterations, tolerance, uniform)
+        return stored(_small(flat, seeds, alone, damping, iterations, tolerance, uniform))  # blends read it many times
     out = flat.groupBy("subj").agg(F.sum("w").alias("out"))
     step = stored(flat.join(out, "subj").select(F.col("subj").alias("entity"), "obj", (F.col("w") / F.col("out")).alias("share")))
     names = stored(flat.select(F.col("subj").alias("entity")).unionAll(flat.select("obj")).unionAll(alone).distinct())
@@ -152,10 +152,10 @@ def query_blend(importance: DataFrame, personalised: DataFrame, weights: tuple[f
 def query_time_scores(nodes: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """Of nodes(entity, frequency, avg_link_score), edges with relations and seeds(qid, entity): (qid, entity, score), the blend of importance and personalised rank; without seeds, importance alone (qid 0)."""
     flat = semantic(edges)
-    base = importance(nodes, pagerank(flat, nodes=nodes))
+    base = stored(importance(nodes, pagerank(flat, nodes=nodes)))
     if seeds.isEmpty():
         return base.select(F.lit(0).cast("bigint").alias("qid"), "entity", "score")
-    return query_blend(base, pagerank(flat, seeds, nodes=nodes))
+    return query_blend(base, stored(pagerank(flat, seeds, nodes=nodes)))
 
 
 def top_k(scores: DataFrame, nodes: DataFrame, k: int, type: str | None = None, exclude: tuple[str, ...] = (), score: str = "score") -> DataFrame:

@@ -49,6 +49,14 @@ def test_ranks_of_both_forms_agree(spark):
         assert sum(v for (k, _), v in small.items() if k == q) == pytest.approx(1)
 
 
+def test_scores_of_queries_iterate_once(spark):
+    """Blends read ranks many times, so these are written and not iterated again for each."""
+    edges = spark.createDataFrame([("a", "b", "leads", 1.0), ("b", "c", "leads", 2.0)], "subj string, obj string, relation string, weight double")
+    nodes = spark.createDataFrame([(n, 1, 1.0) for n in "abc"], "entity string, frequency bigint, avg_link_score double")
+    scores = rank.query_time_scores(nodes, edges, spark.createDataFrame([(1, "a"), (2, "c")], "qid bigint, entity string"))
+    assert scores.count() == 6 and "InArrow" not in scores._jdf.queryExecution().toString()
+
+
 def test_expansion(spark):
     edges = spark.createDataFrame([("Putin", "Nga", "leads"), ("Nga", "Ukraine", "attacks"), ("Nga", "Donetsk", "supports"), ("Zelensky", "Ukraine", "leads"), ("NATO", "Ukraine", "supports"), ("Biden", "Ukraine", "supports")], "subj string, obj string, relation string")
     seeds = spark.createDataFrame([(0, 0, "Nga"), (0, 1, "Ukraine")], "qid bigint, seed_ord int, seed string")
