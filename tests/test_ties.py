@@ -24,7 +24,7 @@ def tied(spark, tmp_path_factory):
     return sf
 
 
-@pytest.mark.parametrize("name", ["cooccurrence_topk", "graph_edges", "index_roundtrip"])
+@pytest.mark.parametrize("name", ["cooccurrence_topk", "graph_build_edges", "graph_edges", "index_roundtrip"])
 def test_lines_of_one_place(spark, tied, name):
     names, got = compare.rows_of(spark, catalog.QUERIES[name], tied)
     assert got and (names, got) == compare.oracle_rows(catalog.ORACLES[name], tied)
