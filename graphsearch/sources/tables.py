@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,8 @@ INDEX = ("documents", "chunks", "vectors", "links", "nodes", "edges", "occurrenc
 def read_articles(spark: SparkSession, path: str) -> DataFrame:
     """CSV with a header and quoted lines, or a JSON array, by the path's end."""
     if path.endswith(".csv"):
-        df = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', encoding="UTF-8")
+        # Nothing is null and "" is empty, since no text is the mark of a null; a quote is the escape of a quote's escape, or NUL would be.
+        df = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', charToEscapeQuoteEscaping='"', nullValue=uuid.uuid4().hex, encoding="UTF-8")
         return df.toDF(*(c.lstrip("﻿") for c in df.columns))
     if path.endswith(".json"):
         return _array(spark.read.json(path, multiLine=True), path)
