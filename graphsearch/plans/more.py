@@ -106,7 +106,8 @@ def _build(spark, sf):
     li = table(spark, sf, "lineitem")
     links = graphs.links_of(spark, sf).withColumns({"doc_ord": F.col("doc_id"), "date": F.lit("")})
     item = li.select(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("p"), "l_partkey").alias("entity"), F.concat(F.lit("s"), "l_suppkey").alias("supplier"), "l_tax", (F.col("l_linenumber") * 1000000 + F.col("l_partkey") * 10 + F.col("l_suppkey") % 10).alias("ord"))
-    head = F.first("entity").over(Window.partitionBy("doc_id").orderBy("ord"))
+    # Of first entities with equal ord, which the SQL's order leaves open, the least name: rows don't change from run to run.
+    head = F.first("entity").over(Window.partitionBy("doc_id").orderBy("ord", "entity"))
     row = lambda df, subj, relation, base: df.select("doc_id", F.col("doc_id").alias("doc_ord"), F.lit("").alias("date"), subj.alias("subj"), F.lit(relation).alias("relation"), F.col("entity").alias("obj"), F.round(base + F.col("l_tax") * 4, 4).alias("confidence"), "ord", F.concat(F.lit("line "), F.col("ord") % 3).alias("sentence"))
     triples = row(item, F.col("supplier"), "supplies", 0.5).unionAll(row(item.withColumn("head", head), F.col("head"), "sold_with", 0.52))
     return graph.build(links, triples)
